@@ -10,12 +10,13 @@ from typing import NamedTuple
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fathom.functions import text as tx
 from fathom.functions.statistics import ratio
 from fathom.operators.corpus import UNCATEGORIZED, category_label, with_category_names
 from fathom.operators.profile import finding
-from fathom.plans.ordering import quantiles_of_counts
+from fathom.plans.ordering import positions, quantiles_of_counts
 from fathom.plans.storage import materialise
 
 # Lengths that count as short and long, and list sizes.
@@ -68,12 +69,10 @@ def length_summary(records: DataFrame) -> DataFrame:
     """Minimum, maximum, mean, median and nearest-rank 90th percentile of the lengths."""
     counts = materialise(length_counts(records), "lengths")
     middle = quantiles_of_counts(counts.withColumnRenamed("length", "value"), [], "value", [0.5])
-    total = F.sum("n").over(Window.partitionBy())
-    reached = F.sum("n").over(Window.orderBy("length"))
-    # The table has one row per length. Rank half-way cases go to the even rank.
-    ranked = counts.select("length", "n", total.alias("total"), reached.alias("reached"))
-    rank = F.rint((F.col("total") - 1) * 0.9)
-    at_rank = ranked.where(F.col("reached") > rank).agg(F.min("length").alias("p90"))
+    # Half-way ranks go to the even one.
+    rank = F.rint((counts.agg(F.sum("n")).scalar() - 1) * 0.9)
+    holds = (F.col("before") <= rank) & (rank < F.col("before") + F.col("n"))
+    at_rank = positions(counts, "length").where(holds).agg(F.min("length"))
     return counts.agg(
         F.coalesce(F.min("length"), F.lit(0)).alias("min_length"),
         F.coalesce(F.max("length"), F.lit(0)).alias("max_length"),
@@ -286,12 +285,12 @@ def plain_label(name: str) -> str:
     return re.sub(r"[\s_\-]+", "", name.casefold())
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _plain_labels(names: pd.Series) -> pd.Series:
     return names.map(plain_label)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _similarities(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for left, right in batches:
         yield pd.Series(

@@ -336,7 +336,7 @@ def column_warnings() -> Column:
     return F.array_compact(F.array(*[F.when(test, F.lit(flag)) for flag, test in flags.items()]))
 
 
-def _written_counts(df: DataFrame) -> tuple[DataFrame, int, int]:
+def written_counts(df: DataFrame) -> tuple[DataFrame, int, int]:
     seen = Observation()
     watched = value_counts(df).observe(
         seen, F.count(F.lit(1)).alias("rows"), F.count_if("is_digest").alias("digests")
@@ -353,7 +353,7 @@ def column_profiles(df: DataFrame, *, one_task_rows: int = ONE_TASK_ROWS) -> Dat
     few, quartiles come from the same aggregate as the other statistics; beyond
     ``one_task_rows`` they come from table-wide positions.
     """
-    counts, rows, digests = _written_counts(df)
+    counts, rows, digests = written_counts(df)
     few = rows <= one_task_rows
     measured = value_statistics(counts, with_quartiles=few)
     if not few:
