@@ -40,7 +40,7 @@ def categories_of(spark: SparkSession, folder: str) -> DataFrame:
     quality = table(spark, folder, "labels").select("quality").distinct()
     named = quality.select(
         F.concat(F.lit("q"), F.col("quality").cast("string")).alias("id"),
-        F.concat(F.lit("Quality "), F.col("quality").cast("string")).alias("name"),
+        F.concat(F.lit("Quality rating "), F.col("quality").cast("string")).alias("name"),
     )
     return corpora.conform(named, corpora.CATEGORY_SCHEMA)
 
@@ -83,7 +83,7 @@ BASE = """corpus AS (
         CASE WHEN l.toxic = 1 THEN [d.lang, d.source, 'toxic'] ELSE [d.lang, d.source] END AS tags
     FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id),
     categories AS (SELECT DISTINCT 'q' || CAST(quality AS VARCHAR) AS id,
-        'Quality ' || CAST(quality AS VARCHAR) AS name FROM labels)"""
+        'Quality rating ' || CAST(quality AS VARCHAR) AS name FROM labels)"""
 STRIP = "trim({0}, '" + tx.WHITESPACE + "')"
 FOLD = "replace(replace(lower(replace({0}, 'İ', 'i̇')), 'ß', 'ss'), 'ſ', 's')"
 
@@ -103,9 +103,9 @@ def _split_sql(parts: str, drops_last: bool) -> tuple[str, str]:
     last = "CASE WHEN parts[-1] = '' THEN 1 ELSE 0 END" if drops_last else "0"
     pieces = f"""WITH cut AS (SELECT doc_id, {parts} AS parts FROM (SELECT doc_id,
             regexp_replace(text, '\\r\\n?', chr(10), 'g') AS text FROM documents)),
-        pieces AS (SELECT doc_id, unnest(parts) AS piece, generate_subscripts(parts, 1) AS at FROM cut),
-        kept AS (SELECT doc_id, at, {strip_sql('piece')} AS content FROM pieces WHERE {strip_sql('piece')} <> '')"""
-    rows = f"""{pieces}, numbered AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY doc_id ORDER BY at) - 1 AS i FROM kept)
+        pieces AS (SELECT doc_id, unnest(parts) AS piece, generate_subscripts(parts, 1) AS pos FROM cut),
+        kept AS (SELECT doc_id, pos, {strip_sql('piece')} AS content FROM pieces WHERE {strip_sql('piece')} <> '')"""
+    rows = f"""{pieces}, numbered AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS i FROM kept)
         SELECT 'text_' || sha256('doc-' || doc_id || chr(0) || i || chr(0) || content)[1:16] AS id,
             md5(content) AS digest FROM numbered"""
     skipped = f"""{pieces} SELECT CAST((SELECT SUM(len(parts) - {last}) FROM cut)
@@ -252,10 +252,10 @@ def _(spark, folder):
 @query(
     "length_summary",
     f"""WITH {BASE}, measured AS (SELECT length({strip_sql('content')}) AS n FROM corpus),
-    ranked AS (SELECT n, ROW_NUMBER() OVER (ORDER BY n) - 1 AS at, COUNT(*) OVER () AS total FROM measured)
+    ranked AS (SELECT n, ROW_NUMBER() OVER (ORDER BY n) - 1 AS pos, COUNT(*) OVER () AS total FROM measured)
     SELECT MIN(n) AS min_length, MAX(n) AS max_length, ROUND(AVG(n), 6) AS mean_length,
         ROUND(MEDIAN(n), 6) AS median_length,
-        MAX(n) FILTER (at = CAST(ROUND_EVEN((total - 1) * 0.9, 0) AS BIGINT)) AS p90_length FROM ranked""",
+        MAX(n) FILTER (pos = CAST(ROUND_EVEN((total - 1) * 0.9, 0) AS BIGINT)) AS p90_length FROM ranked""",
 )
 def _(spark, folder):
     rows = rounded(corpus_profile.length_summary(records_of(spark, folder)), "mean_length", "median_length")
@@ -370,7 +370,7 @@ def _(spark, folder):
 RUNS = f"""runs AS (SELECT id, unnest(regexp_extract_all({fold_sql('content')}, '[\\x{{4e00}}-\\x{{9fff}}]+|[a-z0-9_]+')) AS run FROM corpus),
     tokens AS (SELECT id, run AS token FROM runs WHERE length(run) >= 2
         AND NOT (length(run) > 4 AND regexp_matches(run, '^[\\x{{4e00}}-\\x{{9fff}}]'))
-        UNION ALL SELECT id, substr(run, at, 2) FROM (SELECT id, run, unnest(generate_series(1, length(run) - 1)) AS at
+        UNION ALL SELECT id, substr(run, pos, 2) FROM (SELECT id, run, unnest(generate_series(1, length(run) - 1)) AS pos
             FROM runs WHERE length(run) > 4 AND regexp_matches(run, '^[\\x{{4e00}}-\\x{{9fff}}]')))"""
 
 
@@ -489,7 +489,7 @@ def _(spark, folder):
 
 @query(
     "text_category_chart_dangling",
-    f"""WITH {BASE} SELECT COALESCE(CASE WHEN category_id = 'q1' THEN 'Quality 1' END, category_id, 'Uncategorised') AS x,
+    f"""WITH {BASE} SELECT COALESCE(CASE WHEN category_id = 'q1' THEN 'Quality rating 1' END, category_id, 'Uncategorised') AS x,
         COUNT(*) AS source_count FROM corpus GROUP BY 1""",
 )
 def _(spark, folder):
@@ -522,7 +522,7 @@ def _(spark, folder):
     return rows.rows
 
 
-LOWERED = f"""words(keyword, at) AS (VALUES {", ".join(f"('{w}', {i})" for i, w in enumerate(KEYWORDS))}),
+LOWERED = f"""words(keyword, pos) AS (VALUES {", ".join(f"('{w}', {i})" for i, w in enumerate(KEYWORDS))}),
     hits AS (SELECT keyword, label FROM labelled JOIN words
         ON contains(lower(replace(content, 'İ', 'i̇')), lower(keyword)))"""
 
@@ -530,7 +530,7 @@ LOWERED = f"""words(keyword, at) AS (VALUES {", ".join(f"('{w}', {i})" for i, w
 @query(
     "text_keyword_chart",
     f"""WITH {BASE}, {LABELS}, {LOWERED} SELECT w.keyword AS x, COUNT(h.keyword) AS source_count
-    FROM words w LEFT JOIN hits h ON h.keyword = w.keyword WHERE w.at < 5 GROUP BY w.keyword""",
+    FROM words w LEFT JOIN hits h ON h.keyword = w.keyword WHERE w.pos < 5 GROUP BY w.keyword""",
 )
 def _(spark, folder):
     return corpus_reduce.keyword_chart(records_of(spark, folder), KEYWORDS, limit=5).rows
@@ -652,7 +652,7 @@ def _(spark, folder):
 def _(spark, folder):
     roles = table(spark, folder, "conversations").select(F.col("role").alias("name"))
     again = table(spark, folder, "labels").select(
-        F.concat(F.lit(" QUALITY "), F.col("quality").cast("string")).alias("name")
+        F.concat(F.lit(" QUALITY RATING "), F.col("quality").cast("string")).alias("name")
     )
     both = corpus.ensure_categories(categories_of(spark, folder), roles.unionByName(again))
     return both.select("id", "name")
@@ -660,7 +660,7 @@ def _(spark, folder):
 
 @query(
     "upsert_categories",
-    "SELECT DISTINCT 'new' || quality AS id, 'Quality ' || quality AS name, 'replaced' AS description FROM labels",
+    "SELECT DISTINCT 'new' || quality AS id, 'Quality rating ' || quality AS name, 'replaced' AS description FROM labels",
 )
 def _(spark, folder):
     old = categories_of(spark, folder)
@@ -768,9 +768,9 @@ def _(spark, folder):
 @query(
     "audit_log",
     f"""WITH {BASE} SELECT 1 AS place, 'delete_to_uncategorized' AS action, 'q0' AS source_category_id,
-        'Quality 0' AS source_category_name, NULL AS target_category_name, COUNT(category_id) AS affected_record_count FROM corpus
-    UNION ALL SELECT 2, 'merge', 'q1', 'Good', 'Quality 0', COUNT(*) FILTER (category_id = 'q1') FROM corpus
-    UNION ALL SELECT 3, 'rename', 'q1', 'Quality 1', 'Good', COUNT(*) FILTER (category_id = 'q1') FROM corpus""",
+        'Quality rating 0' AS source_category_name, NULL AS target_category_name, COUNT(category_id) AS affected_record_count FROM corpus
+    UNION ALL SELECT 2, 'merge', 'q1', 'Good', 'Quality rating 0', COUNT(*) FILTER (category_id = 'q1') FROM corpus
+    UNION ALL SELECT 3, 'rename', 'q1', 'Quality rating 1', 'Good', COUNT(*) FILTER (category_id = 'q1') FROM corpus""",
 )
 def _(spark, folder):
     first = corpus.rename_category(
