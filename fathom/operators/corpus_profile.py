@@ -16,7 +16,7 @@ from fathom.functions import text as tx
 from fathom.functions.statistics import ratio
 from fathom.operators.corpus import UNCATEGORIZED, category_label, with_category_names
 from fathom.operators.profile import finding
-from fathom.plans.ordering import positions, quantiles_of_counts
+from fathom.plans.ordering import positions
 from fathom.plans.storage import materialise
 
 # Lengths that count as short and long, and list sizes.
@@ -68,19 +68,24 @@ def length_counts(records: DataFrame) -> DataFrame:
 def length_summary(records: DataFrame) -> DataFrame:
     """Minimum, maximum, mean, median and nearest-rank 90th percentile of the lengths."""
     counts = materialise(length_counts(records), "lengths")
-    middle = quantiles_of_counts(counts.withColumnRenamed("length", "value"), [], "value", [0.5])
-    # Half-way ranks go to the even one.
-    rank = F.rint((counts.agg(F.sum("n")).scalar() - 1) * 0.9)
-    holds = (F.col("before") <= rank) & (rank < F.col("before") + F.col("n"))
-    at_rank = positions(counts, "length").where(holds).agg(F.min("length"))
+    ranked = positions(counts, "length")
+    total = counts.agg(F.sum("n")).scalar()
+
+    def at(rank: Column) -> Column:
+        holds = (F.col("before") <= rank) & (rank < F.col("before") + F.col("n"))
+        return ranked.where(holds).agg(F.min("length")).scalar()
+
+    # Half-way ranks of the percentile go to the even one.
+    middle = (at(F.floor((total - 1) / 2)) + at(F.ceil((total - 1) / 2))) / 2
+    p90 = at(F.rint((total - 1) * 0.9))
     return counts.agg(
         F.coalesce(F.min("length"), F.lit(0)).alias("min_length"),
         F.coalesce(F.max("length"), F.lit(0)).alias("max_length"),
         F.coalesce(F.sum(F.col("length") * F.col("n")) / F.sum("n"), F.lit(0.0)).alias("mean_length"),
     ).withColumns(
         {
-            "median_length": F.coalesce(middle.select(F.col("quantiles")[0]).scalar(), F.lit(0.0)),
-            "p90_length": F.coalesce(at_rank.scalar(), F.lit(0)),
+            "median_length": F.coalesce(middle, F.lit(0.0)),
+            "p90_length": F.coalesce(p90, F.lit(0)),
         }
     )
 

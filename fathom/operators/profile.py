@@ -6,24 +6,27 @@ shuffles a row per task, one count of distinct values, one over row keys.
 
 from __future__ import annotations
 
+import functools
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fathom.functions import casts
 from fathom.functions.statistics import ratio
-from fathom.functions.text import digest_long
 from fathom.operators.steps import duplicate_row_count
 from fathom.plans.keys import as_text, ref
-from fathom.plans.ordering import ONE_TASK_ROWS, spread_quantiles
-from fathom.plans.storage import materialise
+from fathom.plans.ordering import bracket_ends, narrowed_quantiles
+from fathom.plans.storage import materialise, materialise_measured
 
 TOP_VALUES = 10
 KEY_LIMIT = 64
 QUARTILES = (0.25, 0.5, 0.75)
 
+# Up to this many distinct values the exact aggregate may hold them in one task.
+FEW_VALUES = 100_000
+
 # Column names with a role of their own.
 LATITUDE_NAMES = ("lat", "latitude", "geo_latitude")
 LONGITUDE_NAMES = ("lon", "lng", "longitude", "geo_longitude")
@@ -74,7 +77,7 @@ def schema_listing(df: DataFrame) -> DataFrame:
 
 
 def typed_statistics(df: DataFrame) -> DataFrame:
-    """Rows per table; range, mean and deviation of every number and time column.
+    """Rows per table; range, mean, deviation and rough quartiles of number and time columns.
 
     One pass over typed columns, one row per task to shuffle.
     """
@@ -84,6 +87,8 @@ def typed_statistics(df: DataFrame) -> DataFrame:
         column, family = ref(field.name), type_family(field.dataType)
         low = high = no_text
         mean = deviation = no_number
+        ends = F.lit(None).cast("array<double>")
+        present = F.lit(None).cast("long")
         if family in ("numeric", "datetime"):
             aggregates += [F.min(column).alias(f"min_{index}"), F.max(column).alias(f"max_{index}")]
             low, high = (F.col(f"{end}_{index}").cast("string") for end in ("min", "max"))
@@ -92,8 +97,11 @@ def typed_statistics(df: DataFrame) -> DataFrame:
             aggregates += [
                 F.avg(number).alias(f"mean_{index}"),
                 F.stddev_samp(number).alias(f"stddev_{index}"),
+                F.count(number).alias(f"present_{index}"),
+                bracket_ends(number, QUARTILES).alias(f"ends_{index}"),
             ]
             mean, deviation = F.col(f"mean_{index}"), F.col(f"stddev_{index}")
+            ends, present = F.col(f"ends_{index}"), F.col(f"present_{index}")
         entries.append(
             F.struct(
                 F.lit(index).alias("position"),
@@ -105,77 +113,110 @@ def typed_statistics(df: DataFrame) -> DataFrame:
                 high.alias("max_value"),
                 mean.alias("mean_value"),
                 deviation.alias("stddev_value"),
+                present.alias("total"),
+                ends.alias("ends"),
             )
         )
     return df.agg(*aggregates).select(F.inline(F.array(*entries)))
 
 
-def _cell(index: int, field: T.StructField) -> Column:
-    """One value as a number where its type allows, else as text or digest."""
-    column, data_type = ref(field.name), field.dataType
-    whole, fraction = F.lit(None).cast("long"), F.lit(None).cast("double")
-    text = long_length = long_number = long_time = None
-    if isinstance(data_type, T.IntegralType):
-        whole = column.cast("long")
-    elif isinstance(data_type, T.DoubleType):
-        fraction = column
-    else:
-        full = as_text(column, data_type)
-        text = digest_long(full, KEY_LIMIT)
-        if _may_be_long(data_type):
-            is_long = F.length(full) > KEY_LIMIT
-            long_length = F.when(is_long, F.length(full))
-            long_number = F.when(is_long, casts.text_to_double(full).isNotNull())
-            long_time = F.when(is_long, casts.text_to_timestamp(full).isNotNull())
-
-    def or_null(value: Column | None, kind: str) -> Column:
-        return F.lit(None).cast(kind) if value is None else value
-
-    return F.struct(
-        F.lit(index).alias("position"),
-        whole.alias("whole"),
-        fraction.alias("fraction"),
-        or_null(text, "string").alias("text"),
-        or_null(long_length, "int").alias("long_length"),
-        or_null(long_number, "boolean").alias("long_number"),
-        or_null(long_time, "boolean").alias("long_time"),
+def _text_key(full: Column, data_type: T.DataType) -> Column:
+    """Short texts as they are, long ones as digest with their length and shape."""
+    if not _may_be_long(data_type):
+        return full
+    notes = F.concat_ws(
+        "",
+        F.when(casts.text_to_double(full).isNotNull(), F.lit("n")),
+        F.when(casts.text_to_timestamp(full).isNotNull(), F.lit("t")),
+    )
+    digest = F.concat_ws(
+        "\0", F.substring(full, 1, KEY_LIMIT), F.sha2(full, 256), F.length(full).cast("string"), notes
+    )
+    return F.when(F.length(full) > KEY_LIMIT, digest).otherwise(full)
+
+
+def _stacked(df: DataFrame, cells: dict[int, Column]) -> DataFrame | None:
+    """Counts of the distinct values of columns of one type."""
+    if not cells:
+        return None
+    wide = df.select(*[cell.alias(str(index)) for index, cell in cells.items()])
+    long = wide.unpivot([], wide.columns, "position", "value")
+    present = long.where(F.col("value").isNotNull())
+    return present.groupBy(F.col("position").cast("int").alias("position"), "value").agg(
+        F.count(F.lit(1)).alias("n")
     )
 
 
 def value_counts(df: DataFrame) -> DataFrame:
     """Occurrences ``n`` of every distinct value of every column.
 
-    All columns share one shuffle. Equal values meet on the map side, numbers
-    travel as numbers and long texts as digests, so the shuffle holds short
-    rows, one per distinct value and task.
+    Columns of one kind share a pass and a shuffle: whole numbers, fractions,
+    times and everything else as text. Equal values meet on the map side, and
+    long texts travel as digests, so the shuffle holds one short row per
+    distinct value and task.
     """
-    cells = df.select(
-        F.inline(F.array(*[_cell(index, field) for index, field in enumerate(df.schema.fields)]))
-    )
-    present = (
-        F.col("whole").isNotNull() | F.col("fraction").isNotNull() | F.col("text").isNotNull()
+    whole, fractions, times, texts = {}, {}, {}, {}
+    fields = df.schema.fields
+    for index, field in enumerate(fields):
+        column, data_type = ref(field.name), field.dataType
+        if isinstance(data_type, T.IntegralType):
+            whole[index] = column.cast("long")
+        elif isinstance(data_type, T.DoubleType):
+            fractions[index] = column
+        elif is_datetime(data_type):
+            times[index] = column.cast("timestamp_ntz")
+        else:
+            texts[index] = _text_key(as_text(column, data_type), data_type)
+    kinds = {"whole": "long", "fraction": "double", "time": "timestamp_ntz", "text": "string"}
+    parts = [
+        counts.select(
+            "position",
+            *[
+                (F.col("value") if name == kind else F.lit(None)).cast(data_type).alias(name)
+                for name, data_type in kinds.items()
+            ],
+            "n",
+        )
+        for kind, cells in zip(kinds, (whole, fractions, times, texts))
+        if (counts := _stacked(df, cells)) is not None
+    ]
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+def described(counts: DataFrame, schema: T.StructType) -> DataFrame:
+    """Text, number, length and shape of counted values; a reader pays for what it uses."""
+
+    def at(kind) -> Column:
+        found = [i for i, field in enumerate(schema.fields) if kind(field.dataType)]
+        return F.col("position").isin(found) if found else F.lit(False)
+
+    text = F.col("text")
+    day = F.col("time").cast("date").cast("string")
+    shown_time = F.when(at(lambda t: isinstance(t, T.DateType)), day).otherwise(
+        F.col("time").cast("string")
     )
-    counts = cells.where(present).groupBy(*cells.columns).agg(F.count(F.lit(1)).alias("n"))
-    numeric = [i for i, f in enumerate(df.schema.fields) if is_numeric(f.dataType)]
-    times = [i for i, f in enumerate(df.schema.fields) if is_datetime(f.dataType)]
-    key = F.coalesce("text", F.col("whole").cast("string"), F.col("fraction").cast("string"))
-    is_number, is_time = F.col("position").isin(numeric), F.col("position").isin(times)
-    typed = is_number | is_time
+    key = F.coalesce(text, F.col("whole").cast("string"), F.col("fraction").cast("string"), shown_time)
+    numeric = at(is_numeric)
     number = F.coalesce(
-        F.col("whole").cast("double"),
-        "fraction",
-        F.when(is_number, F.col("text").try_cast("double")),
+        F.col("whole").cast("double"), "fraction", F.when(numeric, text.try_cast("double"))
+    )
+    is_digest = F.coalesce(F.length(text) > KEY_LIMIT, F.lit(False))
+    notes = F.substring_index(text, "\0", -1)
+    noted_length = F.substring_index(F.substring_index(text, "\0", -2), "\0", 1).try_cast("int")
+    number_like = numeric | F.when(is_digest, F.contains(notes, F.lit("n"))).otherwise(
+        casts.text_to_double(text).isNotNull()
     )
-    looks_number = F.coalesce("long_number", casts.text_to_double(F.col("text")).isNotNull())
-    looks_time = F.coalesce("long_time", casts.text_to_timestamp(F.col("text")).isNotNull())
+    time_like = F.col("time").isNotNull() | F.when(
+        is_digest, F.contains(notes, F.lit("t"))
+    ).otherwise(~numeric & casts.text_to_timestamp(text).isNotNull())
     return counts.select(
         "position",
         key.alias("key"),
         number.alias("number"),
-        F.col("long_length").isNotNull().alias("is_digest"),
-        F.coalesce("long_length", F.length(key)).alias("length"),
-        F.when(typed, is_number).otherwise(looks_number).alias("number_like"),
-        F.when(typed, is_time).otherwise(looks_time).alias("time_like"),
+        is_digest.alias("is_digest"),
+        F.when(is_digest, noted_length).otherwise(F.length(key)).alias("length"),
+        number_like.alias("number_like"),
+        time_like.alias("time_like"),
         "n",
     )
 
@@ -244,7 +285,7 @@ def _with_long_texts(df: DataFrame, counts: DataFrame, limit: int) -> DataFrame:
     texts = (
         df.select(F.inline(F.array(*fields)))
         .where(F.length("value") > KEY_LIMIT)
-        .withColumn("key", digest_long(F.col("value"), KEY_LIMIT))
+        .withColumn("key", _text_key(F.col("value"), T.StringType()))
     )
     wanted = near.where("is_digest").select("position", "key", "n")
     found = texts.join(wanted, ["position", "key"]).groupBy("position", "key")
@@ -337,35 +378,38 @@ def column_warnings() -> Column:
 
 
 def written_counts(df: DataFrame) -> tuple[DataFrame, int, int]:
-    seen = Observation()
-    watched = value_counts(df).observe(
-        seen, F.count(F.lit(1)).alias("rows"), F.count_if("is_digest").alias("digests")
+    """The value counts, their number, and how many of them are digests."""
+    counts, measured = materialise_measured(
+        value_counts(df), "values", digests=F.count_if(F.length("text") > KEY_LIMIT)
     )
-    counts = materialise(watched, "values")
-    measures = seen.get
-    return counts, measures["rows"], measures["digests"]
+    return described(counts, df.schema), measured["rows"], measured["digests"]
 
 
-def column_profiles(df: DataFrame, *, one_task_rows: int = ONE_TASK_ROWS) -> DataFrame:
+def column_profiles(df: DataFrame, *, few_values: int = FEW_VALUES) -> DataFrame:
     """One row of statistics, role and warnings per column.
 
     The value counts are written once and measured on the way. While they are
     few, quartiles come from the same aggregate as the other statistics; beyond
-    ``one_task_rows`` they come from table-wide positions.
+    ``few_values`` they come from narrow brackets around them.
     """
+    typed = materialise(typed_statistics(df), "typed")
     counts, rows, digests = written_counts(df)
-    few = rows <= one_task_rows
+    few = rows <= few_values or not any(is_numeric(field.dataType) for field in df.schema.fields)
     measured = value_statistics(counts, with_quartiles=few)
     if not few:
-        numbers = counts.where(F.col("number").isNotNull()).select("position", "number", "n")
-        found = spread_quantiles(numbers, ["position"], "number", QUARTILES)
-        found = found.withColumnRenamed("quantiles", "quartiles")
+        numbers = counts.where(F.col("number").isNotNull()).select(
+            F.struct("position").alias("key"), F.col("number").alias("value"), "n"
+        )
+        rough = typed.where(F.col("total") > 0).select(F.struct("position").alias("key"), "total", "ends")
+        found = narrowed_quantiles(numbers, rough, QUARTILES).select(
+            F.col("key.position").alias("position"), F.col("quantiles").alias("quartiles")
+        )
         measured = measured.join(found, "position", "left")
     # One row per column from here on.
     measured = materialise(measured, "statistics")
     quartiles = measured.where(F.col("quartiles").isNotNull()).select("position", "quartiles")
     stats = (
-        typed_statistics(df)
+        typed.drop("total", "ends")
         .join(measured, "position", "left")
         .join(outlier_counts(counts, quartiles), "position", "left")
         .join(top_values(df, counts, has_digests=digests > 0), "position", "left")
@@ -511,6 +555,14 @@ def dataset_quality(
     )
 
 
+def no_duplicates(columns: DataFrame) -> DataFrame | None:
+    """A count of zero when some column tells all rows apart, so rows need no comparison."""
+    key = columns.where((F.col("distinct_count") == F.col("row_count")) | (F.col("row_count") == 0))
+    if not key.head(1):
+        return None
+    return columns.sparkSession.createDataFrame([(0,)], "duplicate_row_count long")
+
+
 def parse_failure_summary(*, reported: bool = False, count: int | None = None) -> Column:
     """How reading went: not known, counted, or strict (a failure would have stopped it)."""
     method = "not_available"
@@ -616,11 +668,12 @@ def profile_table(
     df: DataFrame,
     parse_failures: Column | None = None,
     *,
-    one_task_rows: int = ONE_TASK_ROWS,
+    few_values: int = FEW_VALUES,
 ) -> Profile:
     """Profile every column and the table; the small results are written once."""
-    columns = materialise(column_profiles(df, one_task_rows=one_task_rows), "profile")
-    dataset = materialise(
-        dataset_quality(columns, duplicate_row_count(df), parse_failures), "quality"
-    )
+    columns = materialise(column_profiles(df, few_values=few_values), "profile")
+    duplicates = no_duplicates(columns)
+    if duplicates is None:
+        duplicates = duplicate_row_count(df)
+    dataset = materialise(dataset_quality(columns, duplicates, parse_failures), "quality")
     return Profile(columns, dataset, quality_findings(dataset))

@@ -10,12 +10,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fathom.functions.statistics import division_up, whole_division
-from fathom.plans.storage import materialise, materialise_counted
+from fathom.plans.storage import materialise, materialise_measured
 
 # Up to this many distinct rows one task sorts them faster than a range
 # partitioning can be set up. The number is measured, never assumed.
 ONE_TASK_ROWS = 1_000_000
 
+# Rank error of approximate percentiles is one part in ``ACCURACY``; brackets
+# are three times as wide, and what falls outside is noticed.
+ACCURACY = 10_000
+MARGIN = 3 / ACCURACY
+
 
 def counted(df: DataFrame, *columns: str) -> DataFrame:
     """Distinct rows with their count ``n``. Equal rows meet on the map side first."""
@@ -31,13 +36,20 @@ def positions(
     and counted on the way; a short list is summed in one task, a longer one by
     :func:`spread_positions`. ``part`` names the piece a row was summed in.
     """
-    stored, rows = materialise_counted(counts, "counts")
+    stored, measured = materialise_measured(counts, "counts")
+    return stored_positions(stored, measured["rows"], *order, one_task_rows=one_task_rows)
+
+
+def stored_positions(
+    stored: DataFrame, rows: int, *order: str, one_task_rows: int = ONE_TASK_ROWS
+) -> DataFrame:
+    """:func:`positions` for counts that are already written and counted."""
     if rows > one_task_rows:
         return spread_positions(stored, *order)
     keys = [F.col(name).asc_nulls_first() for name in order]
     ahead = Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
     return stored.select(
-        *counts.columns,
+        *stored.columns,
         F.lit(0).alias("part"),
         F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("before"),
     )
@@ -85,6 +97,12 @@ def spread_positions(counts: DataFrame, *order: str) -> DataFrame:
     )
 
 
+def bracket_ends(value: str | Column, probabilities: Sequence[float]) -> Column:
+    """Approximate percentiles just below and just above every probability."""
+    ends = [end for p in probabilities for end in (max(p - MARGIN, 0.0), min(p + MARGIN, 1.0))]
+    return F.percentile_approx(value, ends, ACCURACY)
+
+
 def quantiles(
     df: DataFrame,
     keys: Sequence[str],
@@ -95,44 +113,109 @@ def quantiles(
 ) -> DataFrame:
     """Exact interpolated quantiles of ``value`` per key as an array ``quantiles``.
 
-    Groups without a value are absent. A group of any size stays spread out.
+    Groups without a value are absent. A first pass counts the groups and
+    brackets their quantiles. While no group has more than ``one_task_rows``
+    values, the built-in exact aggregate holds them; beyond that, see
+    :func:`narrowed_quantiles`.
     """
+    key = F.struct(*keys) if keys else F.struct(F.lit(0).alias("all"))
     present = df.where(F.col(value).isNotNull()).select(
-        *keys, F.col(value).cast("double").alias(value)
+        key.alias("key"), F.col(value).cast("double").alias("value")
     )
-    return quantiles_of_counts(
-        counted(present, *keys, value), keys, value, probabilities, one_task_rows=one_task_rows
+    rough = present.groupBy("key").agg(
+        F.count(F.lit(1)).alias("total"), bracket_ends("value", probabilities).alias("ends")
     )
+    groups, measured = materialise_measured(rough, "groups", largest=F.max("total"))
+    if (measured["largest"] or 0) > one_task_rows:
+        counts = present.withColumn("n", F.lit(1).cast("long"))
+        found = narrowed_quantiles(counts, groups, probabilities, one_task_rows=one_task_rows)
+    else:
+        asked = F.array(*[F.lit(float(p)) for p in probabilities])
+        found = present.groupBy("key").agg(F.percentile("value", asked).alias("quantiles"))
+    return found.select(*[F.col("key")[name].alias(name) for name in keys], "quantiles")
 
 
-def quantiles_of_counts(
+def narrowed_quantiles(
     counts: DataFrame,
-    keys: Sequence[str],
-    value: str,
+    groups: DataFrame,
     probabilities: Sequence[float],
     *,
     one_task_rows: int = ONE_TASK_ROWS,
 ) -> DataFrame:
-    """As :func:`quantiles`, for distinct ``keys`` and ``value`` with their count ``n``.
+    """Exact quantiles without moving the bulk of the values.
 
-    The counts are written once. While they are few in all, no group can hold
-    many, and the built-in aggregate with a frequency does; beyond that, see
-    :func:`spread_quantiles`.
+    ``counts`` has ``key``, ``value`` and count ``n``; ``groups`` has ``key``,
+    ``total`` and the bracket ``ends``. One pass counts the values below each
+    bracket and keeps the distinct ones inside, a few in ten thousand. Their
+    positions give the answer. Should a bracket miss its position, the table-wide
+    order decides instead.
     """
-    stored, rows = materialise_counted(counts.select(*keys, value, "n"), "counts")
-    if rows > one_task_rows:
-        return spread_quantiles(stored, keys, value, probabilities)
-    asked = F.array(*[F.lit(float(p)) for p in probabilities])
-    found = stored.groupBy(*keys).agg(F.percentile(value, asked, F.col("n")).alias("quantiles"))
-    return found.where(F.col("quantiles").isNotNull())
+    asked = F.array(
+        *[
+            F.struct(F.lit(index).alias("index"), F.lit(float(p)).alias("p"))
+            for index, p in enumerate(probabilities)
+        ]
+    )
+    exact = F.col("p") * (F.col("total") - 1)
+    wanted = groups.select("key", "total", "ends", F.inline(asked)).select(
+        "key",
+        "index",
+        F.floor(exact).alias("lower"),
+        F.least(F.floor(exact) + 1, F.col("total") - 1).alias("upper"),
+        (exact - F.floor(exact)).alias("weight"),
+        F.element_at("ends", F.col("index") * 2 + 1).alias("low"),
+        F.element_at("ends", F.col("index") * 2 + 2).alias("high"),
+    )
+    near = counts.join(wanted.select("key", "index", "low", "high"), "key").where(
+        F.col("value") <= F.col("high")
+    )
+    # A missing value stands for everything below the bracket.
+    inside = F.when(F.col("value") >= F.col("low"), F.col("value"))
+    kept = near.groupBy("key", "index", inside.alias("value")).agg(F.sum("n").alias("n"))
+    kept, measured = materialise_measured(kept, "brackets")
+    below = F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0))
+    reached = kept.groupBy("key", "index").agg(below.alias("below"), F.sum("n").alias("through"))
+    targets = wanted.drop("low", "high").join(reached, ["key", "index"])
+    missed = (F.col("lower") < F.col("below")) | (F.col("upper") >= F.col("through"))
+    if targets.where(missed).head(1):
+        return spread_quantiles(counts.groupBy("key", "value").agg(F.sum("n").alias("n")), probabilities)
+    ranked = stored_positions(
+        kept.where(F.col("value").isNotNull()),
+        measured["rows"],
+        "key",
+        "index",
+        "value",
+        one_task_rows=one_task_rows,
+    )
+    starts = ranked.groupBy("key", "index").agg(F.min("before").alias("start"))
+    placed = ranked.join(targets.join(starts, ["key", "index"]), ["key", "index"])
+    at = F.col("below") + F.col("before") - F.col("start")
 
+    def holding(position: str) -> Column:
+        hit = (F.col(position) >= at) & (F.col(position) < at + F.col("n"))
+        return F.max(F.when(hit, F.col("value")))
 
-def spread_quantiles(
-    counts: DataFrame, keys: Sequence[str], value: str, probabilities: Sequence[float]
-) -> DataFrame:
-    """Quantiles from table-wide positions; no group is gathered in one task."""
-    key = F.struct(*keys) if keys else F.struct(F.lit(0).alias("all"))
-    ranked = spread_positions(counts.select(key.alias("key"), value, "n"), "key", value)
+    blended = placed.groupBy("key", "index", "weight").agg(
+        holding("lower").alias("low"), holding("upper").alias("high")
+    )
+    return _per_key(
+        blended.select(
+            "key", "index", (F.col("low") + (F.col("high") - F.col("low")) * F.col("weight")).alias("quantile")
+        )
+    )
+
+
+def _per_key(found: DataFrame) -> DataFrame:
+    """One array per key, in the order of the probabilities."""
+    ordered = F.array_sort(F.collect_list(F.struct("index", "quantile")))
+    return found.groupBy("key").agg(
+        F.transform(ordered, lambda entry: entry["quantile"]).alias("quantiles")
+    )
+
+
+def spread_quantiles(counts: DataFrame, probabilities: Sequence[float]) -> DataFrame:
+    """Quantiles from table-wide positions of distinct ``key`` and ``value`` with count ``n``."""
+    ranked = spread_positions(counts.select("key", "value", "n"), "key", "value")
     spans = ranked.groupBy("key", "part").agg(
         F.min("before").alias("first"), F.sum("n").alias("size")
     )
@@ -170,16 +253,13 @@ def spread_quantiles(
     hit = (F.col("at") >= F.col("before")) & (F.col("at") < F.col("before") + F.col("n"))
     found = ranked.join(located, ["key", "part"]).where(hit)
     is_lower = F.col("at") == F.col("lower")
-    low = F.max(F.when(is_lower, F.col(value)))
-    high = F.max(F.when(~is_lower, F.col(value)))
-    blended = found.groupBy("key", "index").agg(
-        (low + F.coalesce((high - low) * F.max("weight"), F.lit(0.0))).alias("quantile")
-    )
-    ordered = F.array_sort(F.collect_list(F.struct("index", "quantile")))
-    per_key = blended.groupBy("key").agg(
-        F.transform(ordered, lambda entry: entry["quantile"]).alias("quantiles")
+    low = F.max(F.when(is_lower, F.col("value")))
+    high = F.max(F.when(~is_lower, F.col("value")))
+    return _per_key(
+        found.groupBy("key", "index").agg(
+            (low + F.coalesce((high - low) * F.max("weight"), F.lit(0.0))).alias("quantile")
+        )
     )
-    return per_key.select(*[F.col("key")[name].alias(name) for name in keys], "quantiles")
 
 
 def bucket_means(ranked: DataFrame, x: str, y: str, buckets: int, total: Column) -> DataFrame:

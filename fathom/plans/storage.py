@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -36,13 +36,17 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     Later passes read the written columns they need instead of repeating the
     plan, and a lost executor costs a re-read instead of a recomputation.
     """
-    return materialise_counted(df, label)[0]
-
-
-def materialise_counted(df: DataFrame, label: str) -> tuple[DataFrame, int]:
-    """As :func:`materialise`, with the number of rows seen while writing."""
-    spark = df.sparkSession
-    path = scratch_path(spark, label)
-    written = Observation()
-    df.observe(written, F.count(F.lit(1)).alias("rows")).write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path), written.get["rows"]
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def materialise_measured(
+    df: DataFrame, label: str, **measures: Column
+) -> tuple[DataFrame, dict[str, int]]:
+    """As :func:`materialise`, with aggregates taken while writing; ``rows`` is always there."""
+    seen = Observation()
+    wanted = {"rows": F.count(F.lit(1)), **measures}
+    watched = df.observe(seen, *[value.alias(name) for name, value in wanted.items()])
+    stored = materialise(watched, label)
+    return stored, seen.get
