@@ -17,16 +17,13 @@ from fathom.functions import casts
 from fathom.functions.statistics import ratio
 from fathom.operators.steps import duplicate_row_count
 from fathom.plans.keys import as_text, ref
-from fathom.plans.ordering import bracket_ends, narrowed_quantiles
+from fathom.plans.ordering import MAP_VALUES, bracket_ends, narrowed_quantiles
 from fathom.plans.storage import materialise, materialise_measured
 
 TOP_VALUES = 10
 KEY_LIMIT = 64
 QUARTILES = (0.25, 0.5, 0.75)
 
-# Up to this many distinct values the exact aggregate may hold them in one task.
-FEW_VALUES = 100_000
-
 # Column names with a role of their own.
 LATITUDE_NAMES = ("lat", "latitude", "geo_latitude")
 LONGITUDE_NAMES = ("lon", "lng", "longitude", "geo_longitude")
@@ -385,7 +382,7 @@ def written_counts(df: DataFrame) -> tuple[DataFrame, int, int]:
     return described(counts, df.schema), measured["rows"], measured["digests"]
 
 
-def column_profiles(df: DataFrame, *, few_values: int = FEW_VALUES) -> DataFrame:
+def column_profiles(df: DataFrame, *, few_values: int = MAP_VALUES) -> DataFrame:
     """One row of statistics, role and warnings per column.
 
     The value counts are written once and measured on the way. While they are
@@ -668,7 +665,7 @@ def profile_table(
     df: DataFrame,
     parse_failures: Column | None = None,
     *,
-    few_values: int = FEW_VALUES,
+    few_values: int = MAP_VALUES,
 ) -> Profile:
     """Profile every column and the table; the small results are written once."""
     columns = materialise(column_profiles(df, few_values=few_values), "profile")

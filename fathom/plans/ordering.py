@@ -16,6 +16,10 @@ from fathom.plans.storage import materialise, materialise_measured
 # partitioning can be set up. The number is measured, never assumed.
 ONE_TASK_ROWS = 1_000_000
 
+# Up to this many values per group the built-in exact percentile may keep them in
+# a map; a task holds the maps of many groups at a time.
+MAP_VALUES = 100_000
+
 # Rank error of approximate percentiles is one part in ``ACCURACY``; brackets
 # are three times as wide, and what falls outside is noticed.
 ACCURACY = 10_000
@@ -114,7 +118,7 @@ def quantiles(
     """Exact interpolated quantiles of ``value`` per key as an array ``quantiles``.
 
     Groups without a value are absent. A first pass counts the groups and
-    brackets their quantiles. While no group has more than ``one_task_rows``
+    brackets their quantiles. While no group has more than ``MAP_VALUES``
     values, the built-in exact aggregate holds them; beyond that, see
     :func:`narrowed_quantiles`.
     """
@@ -126,7 +130,7 @@ def quantiles(
         F.count(F.lit(1)).alias("total"), bracket_ends("value", probabilities).alias("ends")
     )
     groups, measured = materialise_measured(rough, "groups", largest=F.max("total"))
-    if (measured["largest"] or 0) > one_task_rows:
+    if (measured["largest"] or 0) > min(one_task_rows, MAP_VALUES):
         counts = present.withColumn("n", F.lit(1).cast("long"))
         found = narrowed_quantiles(counts, groups, probabilities, one_task_rows=one_task_rows)
     else:
@@ -175,9 +179,9 @@ def narrowed_quantiles(
     kept, measured = materialise_measured(kept, "brackets")
     below = F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0))
     reached = kept.groupBy("key", "index").agg(below.alias("below"), F.sum("n").alias("through"))
-    targets = wanted.drop("low", "high").join(reached, ["key", "index"])
-    missed = (F.col("lower") < F.col("below")) | (F.col("upper") >= F.col("through"))
-    if targets.where(missed).head(1):
+    targets = wanted.drop("low", "high").join(reached, ["key", "index"], "left")
+    held = (F.col("lower") >= F.col("below")) & (F.col("upper") < F.col("through"))
+    if targets.where(~F.coalesce(held, F.lit(False))).head(1):
         return spread_quantiles(counts.groupBy("key", "value").agg(F.sum("n").alias("n")), probabilities)
     ranked = stored_positions(
         kept.where(F.col("value").isNotNull()),
