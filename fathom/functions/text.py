@@ -97,17 +97,24 @@ def raw_segments(text: Column, mode: str, delimiter: str = "") -> Column:
         return F.split(text, re.escape(delimiter), -1)
     if mode not in SPLIT_MODES:
         raise ValueError(f"Unknown split mode: {mode}")
-    parts = F.split(text, SENTENCE_BREAK if mode == "sentence" else LINE_BREAK, -1)
-    # A final break ends the last segment; it does not start an empty one.
-    return F.when(
-        F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)
-    ).otherwise(parts)
+    return F.split(text, SENTENCE_BREAK if mode == "sentence" else LINE_BREAK, -1)
 
 
 def kept_segments(raw: Column) -> Column:
     return F.filter(F.transform(raw, strip), lambda segment: segment != "")
 
 
+def skipped_segments(raw: Column, kept: Column, mode: str) -> Column:
+    """How many blank segments were dropped.
+
+    A final line or sentence break ends the last segment; it starts no empty one.
+    """
+    skipped = F.size(raw) - F.size(kept)
+    if mode in ("non_empty_line", "sentence"):
+        skipped -= (F.element_at(raw, -1) == "").cast("int")
+    return skipped
+
+
 def clean_tags(parts: Column) -> Column:
     """Trim, drop blanks, keep the first of equal tags."""
     return F.array_distinct(F.filter(F.transform(parts, strip), lambda tag: tag != ""))

@@ -17,6 +17,7 @@ from fathom.functions.statistics import ratio
 from fathom.operators.corpus import UNCATEGORIZED, category_label, with_category_names
 from fathom.operators.profile import finding
 from fathom.plans.ordering import positions
+from fathom.plans.parallel import spread_small
 from fathom.plans.storage import materialise
 
 # Lengths that count as short and long, and list sizes.
@@ -211,7 +212,8 @@ def keyword_matches(records: DataFrame, keywords: Sequence[str]) -> DataFrame:
     words = distinct_keywords(keywords)
     if not words:
         raise ValueError("keyword_matches needs keywords.")
-    folded = records.select("primary_category_id", tx.casefold(F.col("content")).alias("folded"))
+    texts = spread_small(records.select("primary_category_id", "content"))
+    folded = texts.select("primary_category_id", tx.casefold(F.col("content")).alias("folded"))
     hits = folded.select(
         F.nullif("primary_category_id", F.lit("")).alias("primary_category_id"),
         F.explode(keyword_hits(F.col("folded"), words, str.casefold)).alias("keyword"),
@@ -252,7 +254,8 @@ def keyword_category_counts(
 
 
 def token_counts(records: DataFrame) -> DataFrame:
-    runs = records.select(F.explode(tx.token_runs(F.col("content"))).alias("run"))
+    texts = spread_small(records.select("content"))
+    runs = texts.select(F.explode(tx.token_runs(F.col("content"))).alias("run"))
     long_enough = runs.where(F.length("run") >= 2)
     tokens = long_enough.select(F.explode(tx.run_tokens(F.col("run"))).alias("token"))
     return tokens.groupBy("token").agg(F.count(F.lit(1)).alias("count"))

@@ -17,6 +17,7 @@ from fathom.operators.reduce import (
     describe,
     sum_with_remainder,
 )
+from fathom.plans.parallel import spread_small
 
 # How many keywords and tags a result may have.
 KEYWORDS = 30
@@ -97,7 +98,8 @@ def source_category_chart(
 
 
 def _keyword_rows(records: DataFrame, words: Sequence[str]) -> DataFrame:
-    lowered = records.select("primary_category_id", F.lower("content").alias("lowered"))
+    texts = spread_small(records.select("primary_category_id", "content"))
+    lowered = texts.select("primary_category_id", F.lower("content").alias("lowered"))
     return lowered.select(
         "primary_category_id",
         F.explode(keyword_hits(F.col("lowered"), words, str.lower)).alias("keyword"),

@@ -18,6 +18,7 @@ from fathom.functions.statistics import ratio
 from fathom.operators.steps import duplicate_row_count
 from fathom.plans.keys import as_text, ref
 from fathom.plans.ordering import MAP_VALUES, bracket_ends, narrowed_quantiles
+from fathom.plans.parallel import spread_small
 from fathom.plans.storage import materialise, materialise_measured
 
 TOP_VALUES = 10
@@ -152,6 +153,7 @@ def value_counts(df: DataFrame) -> DataFrame:
     long texts travel as digests, so the shuffle holds one short row per
     distinct value and task.
     """
+    df = spread_small(df)
     whole, fractions, times, texts = {}, {}, {}, {}
     fields = df.schema.fields
     for index, field in enumerate(fields):

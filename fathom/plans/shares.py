@@ -9,7 +9,7 @@ OTHER_LABEL = "Other"
 
 
 def leading(grouped: DataFrame, label: str, limit: int, size: str = "source_count") -> DataFrame:
-    """The ``limit`` largest labels, ties by name. At most ``limit`` rows."""
+    """The ``limit`` largest labels of counted rows, ties by name. At most ``limit`` rows."""
     return (
         grouped.groupBy(label)
         .agg(F.sum(size).alias(size))
@@ -27,15 +27,17 @@ def with_remainder(
     size: str = "source_count",
     other: str = OTHER_LABEL,
 ) -> DataFrame:
-    """Rename every label outside the ``limit`` largest to ``other``.
+    """Rename every label outside the ``limit`` largest to ``other``; one row per label.
 
     The kept labels are at most ``limit`` rows, so broadcasting them is bounded.
+    Ordering by all columns keeps both uses of ``grouped`` alike, so that Spark
+    aggregates once and reuses the exchange.
     """
-    kept = leading(grouped, label, limit, size).select(
-        F.col(label).alias("_kept")
-    )
+    rest = [F.asc(name) for name in grouped.columns if name not in (label, size)]
+    kept = grouped.orderBy(F.desc(size), F.asc(label), *rest).limit(limit)
+    named = kept.select(F.col(label).alias("_kept"))
     return (
-        grouped.join(F.broadcast(kept), F.col(label) == F.col("_kept"), "left")
+        grouped.join(F.broadcast(named), F.col(label) == F.col("_kept"), "left")
         .withColumn(label, F.coalesce("_kept", F.lit(other)))
         .drop("_kept")
     )

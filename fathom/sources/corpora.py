@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from fathom.functions import text as tx
 from fathom.functions.casts import text_to_timestamp
+from fathom.plans.parallel import spread_small
 from fathom.sources.tables import java_charset
 
 # Fixed value: the colour of a category that names none.
@@ -120,12 +121,11 @@ def records_from_texts(
     """Split texts (columns ``scope``, ``content`` and optionally ``source``) into records."""
     raw = tx.raw_segments(clean_text(F.col("content")), mode, delimiter)
     source = F.col("source") if "source" in texts.columns else F.lit(None).cast("string")
-    split = texts.select(
-        "scope", source.alias("source"), raw.alias("raw")
-    ).withColumn("kept", tx.kept_segments(F.col("raw")))
+    inputs = spread_small(texts.select("scope", source.alias("source"), "content"))
+    split = inputs.select("scope", "source", raw.alias("raw")).withColumn("kept", tx.kept_segments(F.col("raw")))
     segments = split.select("scope", "source", F.posexplode("kept").alias("index", "content"))
     skipped = split.agg(
-        F.coalesce(F.sum(F.size("raw") - F.size("kept")), F.lit(0)).cast("long").alias("skipped_segments")
+        F.coalesce(F.sum(tx.skipped_segments(F.col("raw"), F.col("kept"), mode)), F.lit(0)).cast("long").alias("skipped_segments")
     )
     records = _with_defaults(segments, corpus_id, default_category, default_tags, default_source)
     return Corpus(records, _default_categories(texts.sparkSession, default_category), skipped)
@@ -215,14 +215,15 @@ def read_text_corpus(
     if mode == "non_empty_line" and charset == "UTF-8":
         lines = numbered_lines(spark, path)
         pieces = lines.select(
-            "file", "scope", "split", "line", F.posexplode(tx.raw_segments(F.col("value"), mode)).alias("piece", "content")
+            "file",
+            "scope",
+            "split",
+            "line",
+            F.posexplode(tx.raw_segments(F.col("value"), mode)).alias("piece", "content"),
         ).withColumn("content", tx.strip(F.col("content")))
         blank = F.col("content") == ""
         kept = ordinals(pieces.where(~blank), "line", "piece")
-        empty_lines = lines.agg(F.count_if(F.col("value") == "")).scalar()
-        skipped = pieces.agg(F.count_if(blank).alias("blank")).select(
-            (F.col("blank") + empty_lines).alias("skipped_segments")
-        )
+        skipped = pieces.agg(F.count_if(blank).alias("skipped_segments"))
         records = _with_defaults(
             kept.withColumn("source", F.col("file")),
             corpus_id,
