@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fathom.functions import text as tx
+from fathom.operators.steps import deduplicate_rows
 from fathom.sources.corpora import CATEGORY_SCHEMA, RECORD_SCHEMA, categories_for_names, conform
 
 UNCATEGORIZED = "__uncategorized__"
@@ -131,10 +132,9 @@ def upsert_categories(categories: DataFrame, incoming: DataFrame) -> DataFrame:
 def ensure_categories(categories: DataFrame, names: DataFrame) -> DataFrame:
     """Add the names that no category has yet, ignoring case."""
     folded = tx.casefold(F.col("name"))
+    folded_names = categories_for_names(names).withColumn("folded", folded)
     new = (
-        categories_for_names(names)
-        .withColumn("folded", folded)
-        .dropDuplicates(["folded"])
+        deduplicate_rows(folded_names, ["folded"], order_by=[F.asc("name")])
         .join(categories.select(folded.alias("folded")), "folded", "left_anti")
         .drop("folded")
     )

@@ -16,13 +16,16 @@ from pyspark.sql import types as T
 from fathom.functions import casts
 from fathom.functions.statistics import ratio
 from fathom.operators.steps import duplicate_row_count
-from fathom.plans.keys import as_text, ref
+from fathom.plans.keys import as_text, plain_number, ref
 from fathom.plans.ordering import MAP_VALUES, bracket_ends, narrowed_quantiles
 from fathom.plans.parallel import spread_small
 from fathom.plans.storage import materialise, materialise_measured
 
 TOP_VALUES = 10
 KEY_LIMIT = 64
+
+# Up to this many digests, a few megabytes, are sent to where the texts are.
+FEW_DIGESTS = 20_000
 QUARTILES = (0.25, 0.5, 0.75)
 
 # Column names with a role of their own.
@@ -75,7 +78,7 @@ def schema_listing(df: DataFrame) -> DataFrame:
 
 
 def typed_statistics(df: DataFrame) -> DataFrame:
-    """Rows per table; range, mean, deviation and rough quartiles of number and time columns.
+    """Rows per table; range, mean and deviation of every number and time column.
 
     One pass over typed columns, one row per task to shuffle.
     """
@@ -85,8 +88,6 @@ def typed_statistics(df: DataFrame) -> DataFrame:
         column, family = ref(field.name), type_family(field.dataType)
         low = high = no_text
         mean = deviation = no_number
-        ends = F.lit(None).cast("array<double>")
-        present = F.lit(None).cast("long")
         if family in ("numeric", "datetime"):
             aggregates += [F.min(column).alias(f"min_{index}"), F.max(column).alias(f"max_{index}")]
             low, high = (F.col(f"{end}_{index}").cast("string") for end in ("min", "max"))
@@ -95,11 +96,8 @@ def typed_statistics(df: DataFrame) -> DataFrame:
             aggregates += [
                 F.avg(number).alias(f"mean_{index}"),
                 F.stddev_samp(number).alias(f"stddev_{index}"),
-                F.count(number).alias(f"present_{index}"),
-                bracket_ends(number, QUARTILES).alias(f"ends_{index}"),
             ]
             mean, deviation = F.col(f"mean_{index}"), F.col(f"stddev_{index}")
-            ends, present = F.col(f"ends_{index}"), F.col(f"present_{index}")
         entries.append(
             F.struct(
                 F.lit(index).alias("position"),
@@ -111,8 +109,6 @@ def typed_statistics(df: DataFrame) -> DataFrame:
                 high.alias("max_value"),
                 mean.alias("mean_value"),
                 deviation.alias("stddev_value"),
-                present.alias("total"),
-                ends.alias("ends"),
             )
         )
     return df.agg(*aggregates).select(F.inline(F.array(*entries)))
@@ -194,7 +190,9 @@ def described(counts: DataFrame, schema: T.StructType) -> DataFrame:
     shown_time = F.when(at(lambda t: isinstance(t, T.DateType)), day).otherwise(
         F.col("time").cast("string")
     )
-    key = F.coalesce(text, F.col("whole").cast("string"), F.col("fraction").cast("string"), shown_time)
+    key = F.coalesce(
+        text, F.col("whole").cast("string"), plain_number(F.col("fraction")), shown_time
+    )
     numeric = at(is_numeric)
     number = F.coalesce(
         F.col("whole").cast("double"), "fraction", F.when(numeric, text.try_cast("double"))
@@ -286,7 +284,11 @@ def _with_long_texts(df: DataFrame, counts: DataFrame, limit: int) -> DataFrame:
         .where(F.length("value") > KEY_LIMIT)
         .withColumn("key", _text_key(F.col("value"), T.StringType()))
     )
-    wanted = near.where("is_digest").select("position", "key", "n")
+    wanted, measured = materialise_measured(
+        near.where("is_digest").select("position", "key", "n"), "digests"
+    )
+    if measured["rows"] <= FEW_DIGESTS:
+        wanted = F.broadcast(wanted)
     found = texts.join(wanted, ["position", "key"]).groupBy("position", "key")
     looked_up = found.agg(F.any_value("n").alias("n"), F.any_value("value").alias("value"))
     return short.unionByName(looked_up.select("position", "n", "value"))
@@ -384,6 +386,27 @@ def written_counts(df: DataFrame) -> tuple[DataFrame, int, int]:
     return described(counts, df.schema), measured["rows"], measured["digests"]
 
 
+def rough_quartiles(df: DataFrame) -> DataFrame:
+    """Brackets around the quartiles of every numeric column, in one pass."""
+    aggregates, entries = [], []
+    for index, field in enumerate(df.schema.fields):
+        if is_numeric(field.dataType):
+            number = ref(field.name).cast("double")
+            aggregates += [
+                F.count(number).alias(f"n_{index}"),
+                bracket_ends(number, QUARTILES).alias(f"ends_{index}"),
+            ]
+            entries.append(
+                F.struct(
+                    F.struct(F.lit(index).alias("position")).alias("key"),
+                    F.col(f"n_{index}").alias("total"),
+                    F.col(f"ends_{index}").alias("ends"),
+                )
+            )
+    listed = df.agg(*aggregates).select(F.inline(F.array(*entries)))
+    return listed.where(F.col("total") > 0)
+
+
 def column_profiles(df: DataFrame, *, few_values: int = MAP_VALUES) -> DataFrame:
     """One row of statistics, role and warnings per column.
 
@@ -391,7 +414,6 @@ def column_profiles(df: DataFrame, *, few_values: int = MAP_VALUES) -> DataFrame
     few, quartiles come from the same aggregate as the other statistics; beyond
     ``few_values`` they come from narrow brackets around them.
     """
-    typed = materialise(typed_statistics(df), "typed")
     counts, rows, digests = written_counts(df)
     few = rows <= few_values or not any(is_numeric(field.dataType) for field in df.schema.fields)
     measured = value_statistics(counts, with_quartiles=few)
@@ -399,8 +421,8 @@ def column_profiles(df: DataFrame, *, few_values: int = MAP_VALUES) -> DataFrame
         numbers = counts.where(F.col("number").isNotNull()).select(
             F.struct("position").alias("key"), F.col("number").alias("value"), "n"
         )
-        rough = typed.where(F.col("total") > 0).select(F.struct("position").alias("key"), "total", "ends")
-        found = narrowed_quantiles(numbers, rough, QUARTILES).select(
+        rough = materialise(rough_quartiles(df), "brackets")
+        found = narrowed_quantiles(numbers, rough, QUARTILES, few_groups=True).select(
             F.col("key.position").alias("position"), F.col("quantiles").alias("quartiles")
         )
         measured = measured.join(found, "position", "left")
@@ -408,7 +430,7 @@ def column_profiles(df: DataFrame, *, few_values: int = MAP_VALUES) -> DataFrame
     measured = materialise(measured, "statistics")
     quartiles = measured.where(F.col("quartiles").isNotNull()).select("position", "quartiles")
     stats = (
-        typed.drop("total", "ends")
+        typed_statistics(df)
         .join(measured, "position", "left")
         .join(outlier_counts(counts, quartiles), "position", "left")
         .join(top_values(df, counts, has_digests=digests > 0), "position", "left")

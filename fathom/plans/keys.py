@@ -13,6 +13,16 @@ def ref(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def plain_number(value: Column) -> Column:
+    """The shortest text of a fraction, without an exponent from 0.0001 up to 10^16."""
+    short = value.cast("string")
+    digits = short.try_cast("decimal(38,20)").cast("string")
+    plain = F.regexp_replace(F.regexp_replace(digits, "0+$", ""), "\\.$", ".0")
+    size = F.abs(value)
+    in_reach = F.contains(short, F.lit("E")) & (size >= 1e-4) & (size < 1e16)
+    return F.when(in_reach, plain).otherwise(short)
+
+
 def as_text(column: Column, data_type: T.DataType) -> Column:
     """The text form of a value; nested values as JSON, negative zero as zero."""
     if isinstance(data_type, (T.ArrayType, T.MapType, T.StructType)):

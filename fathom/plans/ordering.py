@@ -20,6 +20,9 @@ ONE_TASK_ROWS = 1_000_000
 # a map; a task holds the maps of many groups at a time.
 MAP_VALUES = 100_000
 
+# Up to this many groups, a few megabytes with their brackets, are broadcast.
+FEW_GROUPS = 20_000
+
 # Rank error of approximate percentiles is one part in ``ACCURACY``; brackets
 # are three times as wide, and what falls outside is noticed.
 ACCURACY = 10_000
@@ -132,7 +135,13 @@ def quantiles(
     groups, measured = materialise_measured(rough, "groups", largest=F.max("total"))
     if (measured["largest"] or 0) > min(one_task_rows, MAP_VALUES):
         counts = present.withColumn("n", F.lit(1).cast("long"))
-        found = narrowed_quantiles(counts, groups, probabilities, one_task_rows=one_task_rows)
+        found = narrowed_quantiles(
+            counts,
+            groups,
+            probabilities,
+            few_groups=measured["rows"] <= FEW_GROUPS,
+            one_task_rows=one_task_rows,
+        )
     else:
         asked = F.array(*[F.lit(float(p)) for p in probabilities])
         found = present.groupBy("key").agg(F.percentile("value", asked).alias("quantiles"))
@@ -144,6 +153,7 @@ def narrowed_quantiles(
     groups: DataFrame,
     probabilities: Sequence[float],
     *,
+    few_groups: bool = False,
     one_task_rows: int = ONE_TASK_ROWS,
 ) -> DataFrame:
     """Exact quantiles without moving the bulk of the values.
@@ -152,7 +162,8 @@ def narrowed_quantiles(
     ``total`` and the bracket ``ends``. One pass counts the values below each
     bracket and keeps the distinct ones inside, a few in ten thousand. Their
     positions give the answer. Should a bracket miss its position, the table-wide
-    order decides instead.
+    order decides instead. ``few_groups`` says that the groups were counted and
+    the brackets may be broadcast.
     """
     asked = F.array(
         *[
@@ -170,7 +181,8 @@ def narrowed_quantiles(
         F.element_at("ends", F.col("index") * 2 + 1).alias("low"),
         F.element_at("ends", F.col("index") * 2 + 2).alias("high"),
     )
-    near = counts.join(wanted.select("key", "index", "low", "high"), "key").where(
+    brackets = wanted.select("key", "index", "low", "high")
+    near = counts.join(F.broadcast(brackets) if few_groups else brackets, "key").where(
         F.col("value") <= F.col("high")
     )
     # A missing value stands for everything below the bracket.

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fathom.plans.keys import ref
+
 # Delimiters by name, supported encodings and rows of a preview.
 DELIMITERS = {"comma": ",", "tab": "\t", "semicolon": ";", "pipe": "|"}
 ENCODINGS = ("utf-8-sig", "utf-8", "gb18030", "shift_jis")
@@ -85,7 +87,12 @@ def read_delimited(
     reader = _reader(spark, encoding, delimiter, multi_line).option("header", has_header)
     reader = reader.option("enforceSchema", True)
     reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
-    return reader.csv(path).toDF(*names)
+    read = reader.csv(path).toDF(*names)
+    # Inferred times are wall-clock times without a zone.
+    zoned = [f.name for f in read.schema.fields if isinstance(f.dataType, T.TimestampType)]
+    if schema is None and zoned:
+        return read.withColumns({name: ref(name).cast("timestamp_ntz") for name in zoned})
+    return read
 
 
 def first_lines(spark: SparkSession, path: str, encoding: str, count: int) -> list[str]:

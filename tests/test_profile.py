@@ -127,3 +127,12 @@ def test_constant_columns_have_no_correlation(spark):
     df = spark.range(10).select("id", F.lit(3).alias("c"))
     (row,) = findings.correlation_pairs(df, ["id", "c"]).collect()
     assert row["correlation"] is None and row["row_count"] == 10
+
+
+def test_numbers_are_shown_without_exponents(spark):
+    values = [1.0e7, 123456789.25, 1.5e-4, -2.0e15, 1.0e16, 0.1]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    (row,) = profile.column_profiles(df).collect()
+    assert {entry["value"] for entry in row["top_values"]} == {
+        "10000000.0", "123456789.25", "0.00015", "-2000000000000000.0", "1.0E16", "0.1",
+    }
