@@ -9,13 +9,13 @@ from __future__ import annotations
 import functools
 import operator
 from collections.abc import Sequence
-from itertools import combinations
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fathom.functions.statistics import correlation, division_up, pair_count
+from fathom.functions.statistics import division_up
+from fathom.operators.findings import correlation_pairs
 from fathom.plans.keys import ref
 from fathom.plans.ordering import (
     ONE_TASK_ROWS,
@@ -356,34 +356,41 @@ def box_quantiles(
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> Reduced:
-    """Pearson r of every ordered pair with its row count; one pass over the upper triangle."""
+    """Pearson r of every ordered pair with its row count; the upper triangle is computed once."""
     if len(columns) < 2:
         raise ValueError("A correlation matrix needs two columns.")
-    aggregates = [F.count(F.lit(1)).alias("rows")]
-    cells: dict[tuple[int, int], tuple[Column, Column]] = {}
-    for i, name in enumerate(columns):
-        aggregates.append(F.count(ref(name)).alias(f"n_{i}"))
-        own = F.when(F.col(f"n_{i}") > 0, F.lit(1.0))
-        cells[i, i] = (own, F.col(f"n_{i}"))
-    for i, j in combinations(range(len(columns)), 2):
-        x, y = ref(columns[i]), ref(columns[j])
-        aggregates += [correlation(x, y).alias(f"r_{i}_{j}"), pair_count(x, y).alias(f"n_{i}_{j}")]
-        cells[i, j] = cells[j, i] = (F.col(f"r_{i}_{j}"), F.col(f"n_{i}_{j}"))
-    entries = [
-        F.struct(
-            F.lit(columns[i]).alias("x"),
-            F.lit(columns[j]).alias("y"),
-            cells[i, j][0].alias("value"),
-            cells[i, j][1].alias("source_count"),
+    own = [F.count(F.lit(1)).alias("rows")]
+    own += [F.count(ref(name)).alias(f"n_{i}") for i, name in enumerate(columns)]
+    summed = df.agg(*own)
+    diagonal = summed.select(
+        F.inline(
+            F.array(
+                *[
+                    F.struct(
+                        F.lit(name).alias("x"),
+                        F.lit(name).alias("y"),
+                        F.when(F.col(f"n_{i}") > 0, F.lit(1.0)).alias("value"),
+                        F.col(f"n_{i}").alias("source_count"),
+                    )
+                    for i, name in enumerate(columns)
+                ]
+            )
         )
-        for i in range(len(columns))
-        for j in range(len(columns))
-    ]
-    summed = df.agg(*aggregates)
-    rows = summed.select(F.inline(F.array(*entries)))
+    )
+
+    def side(x: str, y: str) -> Column:
+        return F.struct(
+            F.col(x).alias("x"),
+            F.col(y).alias("y"),
+            F.col("correlation").alias("value"),
+            F.col("row_count").alias("source_count"),
+        )
+
+    both = F.inline(F.array(side("left_column", "right_column"), side("right_column", "left_column")))
+    rows = diagonal.unionByName(correlation_pairs(df, columns).select(both))
     meta = summed.select(
         F.col("rows").alias("original_rows"),
-        F.lit(len(entries)).cast("long").alias("rendered_rows"),
+        F.lit(len(columns) ** 2).cast("long").alias("rendered_rows"),
         F.lit("pearson_correlation_matrix").alias("method"),
         F.create_map(F.lit("fields"), F.lit(", ".join(columns))).alias("parameters"),
         F.lit(False).alias("approximate"),

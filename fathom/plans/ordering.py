@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
@@ -120,34 +121,56 @@ def quantiles(
 ) -> DataFrame:
     """Exact interpolated quantiles of ``value`` per key as an array ``quantiles``.
 
-    Groups without a value are absent. A first pass counts the groups and
-    brackets their quantiles. While no group has more than ``MAP_VALUES``
-    values, the built-in exact aggregate holds them; beyond that, see
-    :func:`narrowed_quantiles`.
+    Groups without a value are absent. A first pass counts the groups. Those of
+    at most ``MAP_VALUES`` values fit the built-in exact aggregate; larger ones
+    go through :func:`narrowed_quantiles`.
     """
     key = F.struct(*keys) if keys else F.struct(F.lit(0).alias("all"))
     present = df.where(F.col(value).isNotNull()).select(
         key.alias("key"), F.col(value).cast("double").alias("value")
     )
-    rough = present.groupBy("key").agg(
-        F.count(F.lit(1)).alias("total"), bracket_ends("value", probabilities).alias("ends")
-    )
-    groups, measured = materialise_measured(rough, "groups", largest=F.max("total"))
-    if (measured["largest"] or 0) > min(one_task_rows, MAP_VALUES):
-        counts = present.withColumn("n", F.lit(1).cast("long"))
-        found = narrowed_quantiles(
-            counts,
-            groups,
-            probabilities,
-            few_groups=measured["rows"] <= FEW_GROUPS,
-            one_task_rows=one_task_rows,
+    is_large = F.col("total") > min(one_task_rows, MAP_VALUES)
+    sizes = present.groupBy("key").agg(F.count(F.lit(1)).alias("total"))
+    groups, measured = materialise_measured(sizes, "groups", large=F.count_if(is_large))
+    few = measured["large"] <= FEW_GROUPS
+    parts = []
+    if measured["large"] < measured["rows"] or measured["rows"] == 0:
+        small = present
+        if measured["large"]:
+            small = _members(present, groups, is_large, few, "left_anti")
+        parts.append(_built_in_quantiles(small, probabilities))
+    if measured["large"]:
+        large = _members(present, groups, is_large, few, "left_semi")
+        rough = large.groupBy("key").agg(
+            F.count(F.lit(1)).alias("total"), bracket_ends("value", probabilities).alias("ends")
+        )
+        counts = large.withColumn("n", F.lit(1).cast("long"))
+        parts.append(
+            narrowed_quantiles(
+                counts,
+                materialise(rough, "groups"),
+                probabilities,
+                few_groups=few,
+                one_task_rows=one_task_rows,
+            )
         )
-    else:
-        asked = F.array(*[F.lit(float(p)) for p in probabilities])
-        found = present.groupBy("key").agg(F.percentile("value", asked).alias("quantiles"))
+    found = functools.reduce(DataFrame.unionByName, parts)
     return found.select(*[F.col("key")[name].alias(name) for name in keys], "quantiles")
 
 
+def _members(
+    present: DataFrame, groups: DataFrame, is_large: Column, few: bool, how: str
+) -> DataFrame:
+    """The values of the large groups, or of all others."""
+    large = groups.where(is_large).select("key")
+    return present.join(F.broadcast(large) if few else large, "key", how)
+
+
+def _built_in_quantiles(present: DataFrame, probabilities: Sequence[float]) -> DataFrame:
+    asked = F.array(*[F.lit(float(p)) for p in probabilities])
+    return present.groupBy("key").agg(F.percentile("value", asked).alias("quantiles"))
+
+
 def narrowed_quantiles(
     counts: DataFrame,
     groups: DataFrame,

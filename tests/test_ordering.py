@@ -20,7 +20,7 @@ def skewed(spark):
     )
 
 
-@pytest.mark.parametrize("one_task_rows", [0, 10, 1_000_000])
+@pytest.mark.parametrize("one_task_rows", [0, 10, 15_000, 1_000_000])
 def test_quantiles_match_numpy(skewed, one_task_rows):
     probabilities = [0.0, 0.25, 0.5, 0.9, 1.0]
     found = ordering.quantiles(skewed, ["k"], "v", probabilities, one_task_rows=one_task_rows)

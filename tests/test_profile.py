@@ -136,3 +136,21 @@ def test_numbers_are_shown_without_exponents(spark):
     assert {entry["value"] for entry in row["top_values"]} == {
         "10000000.0", "123456789.25", "0.00015", "-2000000000000000.0", "1.0E16", "0.1",
     }
+
+
+def test_many_pairs_match_few(spark):
+    df = spark.range(500).select(
+        *[
+            F.when(F.col("id") % (i + 2) != 0, F.pmod(F.xxhash64("id", F.lit(i)), F.lit(97)).cast("double")).alias(f"c{i}")
+            for i in range(10)
+        ]
+    )
+    names = df.columns
+    many = {tuple(r)[:2]: tuple(r)[2:] for r in findings.correlation_pairs(df, names).collect()}
+    assert len(many) == 45
+    few = findings.correlation_pairs(df, names[:4]).collect()
+    for row in few:
+        n, r = many[row["left_column"], row["right_column"]]
+        assert n == row["row_count"] and r == pytest.approx(row["correlation"])
+    empty = findings.correlation_pairs(df.limit(0), names).collect()
+    assert len(empty) == 45 and {row["row_count"] for row in empty} == {0}
