@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fathom.llm import bpe, exact_dedup, sharding, token_files
+from fathom.llm import bpe, decontamination, exact_dedup, near_dedup, sharding, token_files, toxicity
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -19,6 +19,18 @@ def op4_feistel_shards(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.assign_shards(_documents(spark, folder))
 
 
+def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.score_toxicity(_documents(spark, folder), spark.read.parquet(f"{folder}/labels.parquet"))
+
+
+def op6_near_copies(spark: SparkSession, folder: str) -> DataFrame:
+    return near_dedup.near_components(_documents(spark, folder), percent=85)
+
+
+def op8_benchmark_leaks(spark: SparkSession, folder: str) -> DataFrame:
+    return decontamination.leaks(_documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"))
+
+
 def op9_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode_decode(_documents(spark, folder))
 
@@ -30,6 +42,9 @@ def op10_exact_copies(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op4_feistel_shards": op4_feistel_shards,
+    "op5_toxicity": op5_toxicity,
+    "op6_near_copies": op6_near_copies,
+    "op8_benchmark_leaks": op8_benchmark_leaks,
     "op9_bpe_round_trip": op9_bpe_round_trip,
     "op10_exact_copies": op10_exact_copies,
 }
