@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fathom.llm import bpe, decontamination, exact_dedup, near_dedup, sharding, token_files, toxicity
+from fathom.llm import bpe, decontamination, exact_dedup, html_text, near_dedup, sharding, token_files, toxicity
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op6_near_copies(spark: SparkSession, folder: str) -> DataFrame:
     return near_dedup.near_components(_documents(spark, folder), percent=85)
 
 
+def op7_page_text(spark: SparkSession, folder: str) -> DataFrame:
+    return html_text.extract_text(spark.read.parquet(f"{folder}/pages.parquet"))
+
+
 def op8_benchmark_leaks(spark: SparkSession, folder: str) -> DataFrame:
     return decontamination.leaks(_documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"))
 
@@ -44,6 +48,7 @@ QUERIES = {
     "op4_feistel_shards": op4_feistel_shards,
     "op5_toxicity": op5_toxicity,
     "op6_near_copies": op6_near_copies,
+    "op7_page_text": op7_page_text,
     "op8_benchmark_leaks": op8_benchmark_leaks,
     "op9_bpe_round_trip": op9_bpe_round_trip,
     "op10_exact_copies": op10_exact_copies,
