@@ -4,7 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fathom.llm import bpe, decontamination, exact_dedup, html_text, near_dedup, sharding, token_files, toxicity
+from fathom.llm import (
+    bpe,
+    chunk_dedup,
+    decontamination,
+    exact_dedup,
+    html_text,
+    near_dedup,
+    sharding,
+    suffix_dedup,
+    token_files,
+    toxicity,
+)
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -15,6 +26,14 @@ def op1_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.encode_to_files(_documents(spark, folder))
 
 
+def op2_repeated_strings(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(_documents(spark, folder))
+
+
+def op3_repeated_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    return chunk_dedup.remove_repeats(_documents(spark, folder))
+
+
 def op4_feistel_shards(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.assign_shards(_documents(spark, folder))
 
@@ -45,6 +64,8 @@ def op10_exact_copies(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_files": op1_token_files,
+    "op2_repeated_strings": op2_repeated_strings,
+    "op3_repeated_chunks": op3_repeated_chunks,
     "op4_feistel_shards": op4_feistel_shards,
     "op5_toxicity": op5_toxicity,
     "op6_near_copies": op6_near_copies,
