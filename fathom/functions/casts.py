@@ -45,6 +45,31 @@ def text_to_date(text: Column) -> Column:
     return F.when(text.rlike(FULL_DATE), _dashed(text).try_cast("date"))
 
 
+# Date, time and offset of ISO 8601 in the extended or the basic form.
+ISO_TIME = (
+    "^(\\d{4})(?:-(\\d{2})-(\\d{2})|(\\d{2})(\\d{2}))"
+    "(?:.(\\d{2})(?::(\\d{2})(?::(\\d{2})(?:[.,](\\d+))?)?|(\\d{2})(?:(\\d{2})(?:[.,](\\d+))?)?)?"
+    "(Z|[+-]\\d{2}(?::?\\d{2}(?::?\\d{2})?)?)?)?$"
+)
+
+
+def iso_timestamp(text: Column) -> Column:
+    """A time in ISO 8601 form; one with an offset as UTC; anything else null."""
+
+    def part(*groups: int, default: str = "00") -> Column:
+        found = [F.nullif(F.regexp_extract(text, ISO_TIME, group), F.lit("")) for group in groups]
+        return F.coalesce(*found, F.lit(default))
+
+    day = F.concat_ws("-", part(1), part(2, 4), part(3, 5))
+    seconds = F.concat(part(8, 11), F.lit("."), F.substring(part(9, 12, default="0"), 1, 6))
+    local = F.concat_ws(" ", day, F.concat_ws(":", part(6), part(7, 10), seconds))
+    offset = F.rpad(F.regexp_replace(part(13, default="+"), "[:Z]", ""), 7, "0")
+    sign = F.when(F.startswith(offset, F.lit("-")), -1).otherwise(1)
+    units = [F.substring(offset, at, 2).try_cast("int") for at in (2, 4, 6)]
+    shift = F.make_dt_interval(hours=sign * units[0], mins=sign * units[1], secs=sign * units[2])
+    return F.when(text.rlike(ISO_TIME), local.try_cast("timestamp_ntz") - shift)
+
+
 def lenient(column: Column, source: T.DataType, target: str) -> Column:
     """Convert to ``target``; values that do not fit become null."""
     spark_type = TARGET_TYPES[target]

@@ -64,7 +64,7 @@ def record_filter(
     tests = [F.lit(True)]
     needle = search_text.strip().casefold()
     if needle:
-        hits = [F.contains(F.lower(F.coalesce(name, F.lit(""))), F.lit(needle)) for name in SEARCHED]
+        hits = [F.contains(tx.casefold(F.coalesce(F.col(name), F.lit(""))), F.lit(needle)) for name in SEARCHED]
         tests.append(functools.reduce(operator.or_, hits))
     if uncategorized_only:
         tests.append(F.col("primary_category_id").isNull())
@@ -187,7 +187,7 @@ def edit_records(
     if "content" in edits.columns:
         blank = F.coalesce(tx.strip(F.col("content")), F.lit("")) == ""
         if edits.where(blank).head(1):
-            raise ValueError("Content must not be blank.")
+            raise ValueError("An edit would leave a record without content.")
     changes: dict[str, Column] = {}
     if "content" in edits.columns:
         changes["content"] = tx.strip(F.col("content"))
@@ -201,8 +201,9 @@ def edit_records(
     resolved = edits
     if "category_name" in edits.columns:
         categories = ensure_categories(categories, edits.select(F.col("category_name").alias("name")))
-        by_name = categories.select(
-            tx.casefold(F.col("name")).alias("_folded"), F.col("id").alias("_category")
+        # Names may differ in case alone; an edit means the first of them by name.
+        by_name = categories.groupBy(tx.casefold(F.col("name")).alias("_folded")).agg(
+            F.min_by("id", F.struct("name", "id")).alias("_category")
         )
         folded = tx.casefold(tx.strip(F.coalesce("category_name", F.lit(""))))
         resolved = edits.join(by_name, folded == F.col("_folded"), "left")
@@ -228,7 +229,7 @@ def _time(moment: datetime | None) -> Column:
 def _category(categories: DataFrame, category_id: str, role: str):
     row = categories.where(F.col("id") == category_id).head(1)
     if not row:
-        raise ValueError(f"{role} does not exist: {category_id}")
+        raise ValueError(f"No category with id {category_id} ({role}).")
     return row[0]
 
 
@@ -286,11 +287,11 @@ def rename_category(
 ) -> Governed:
     name = new_name.strip()
     if not name:
-        raise ValueError("A category needs a name.")
+        raise ValueError("Give the category a name.")
     category = _category(categories, category_id, "Category")
     clash = (F.lower("name") == F.lower(F.lit(name))) & (F.col("id") != category_id)
     if categories.where(clash).head(1):
-        raise ValueError(f"Category name already exists: {name}")
+        raise ValueError(f"Another category is called {name}.")
     affected = _guarded_usage(records, corpus_id, category_id)
     chosen = F.col("id") == category_id
     renamed = categories.withColumns(
@@ -332,7 +333,7 @@ def merge_categories(
 ) -> Governed:
     """Move the records of one category to another and drop the first."""
     if source_category_id == target_category_id:
-        raise ValueError("Source and target category must differ.")
+        raise ValueError("A category cannot be merged into itself.")
     source = _category(categories, source_category_id, "Source category")
     target = _category(categories, target_category_id, "Target category")
     affected = _guarded_usage(records, corpus_id, source_category_id)
@@ -362,7 +363,7 @@ def delete_category(
 ) -> Governed:
     """Drop a category; its records go to a replacement or become uncategorised."""
     if replacement_category_id == category_id:
-        raise ValueError("The replacement must be another category.")
+        raise ValueError("A deleted category cannot replace itself.")
     category = _category(categories, category_id, "Category")
     target_name = None
     if replacement_category_id is not None:

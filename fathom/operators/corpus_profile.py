@@ -293,9 +293,9 @@ def plain_label(name: str) -> str:
     return re.sub(r"[\s_\-]+", "", name.casefold())
 
 
-@F.pandas_udf(T.StringType())
-def _plain_labels(names: pd.Series) -> pd.Series:
-    return names.map(plain_label)
+def _plain_labels(name: str) -> Column:
+    """:func:`plain_label` as a column."""
+    return F.regexp_replace(tx.casefold(F.col(name)), "(?U)[\\s_\\-]+", "")
 
 
 @F.pandas_udf(T.DoubleType())
@@ -336,6 +336,40 @@ def _rare_grams(plain: DataFrame) -> DataFrame:
     )
 
 
+def _label_candidates(plain: DataFrame) -> DataFrame:
+    """Pairs (a, b) of distinct plain labels that share one of their rarest letter pairs."""
+    grams = _rare_grams(plain)
+    left = grams.select(F.col("plain").alias("a"), F.col("size").alias("size_a"), "gram", "repeat")
+    right = grams.select(F.col("plain").alias("b"), F.col("size").alias("size_b"), "gram", "repeat")
+    reach = 2 * F.least("size_a", "size_b") / (F.col("size_a") + F.col("size_b"))
+    return (
+        left.join(right, ["gram", "repeat"])
+        .where((F.col("a") < F.col("b")) & (reach >= SIMILARITY))
+        .select("a", "b")
+        .distinct()
+    )
+
+
+def similar_label_count(categories: DataFrame) -> DataFrame:
+    """One row: how many pairs :func:`similar_labels` would list without a limit.
+
+    Names that become equal are counted as a group; their pairs are never listed.
+    """
+    groups = materialise(
+        categories.select(_plain_labels("name").alias("plain"))
+        .where(F.col("plain") != "")
+        .groupBy("plain")
+        .agg(F.count(F.lit(1)).alias("names")),
+        "label-groups",
+    )
+    one = groups.select(F.col("plain").alias("a"), F.col("names").alias("names_a"))
+    two = groups.select(F.col("plain").alias("b"), F.col("names").alias("names_b"))
+    alike = _label_candidates(groups.select("plain")).where(_similarities(F.col("a"), F.col("b")) >= SIMILARITY)
+    across = alike.join(one, "a").join(two, "b").select((F.col("names_a") * F.col("names_b")).alias("pairs"))
+    within = groups.select((F.col("names") * (F.col("names") - 1) / 2).cast("long").alias("pairs"))
+    return within.unionByName(across).agg(F.coalesce(F.sum("pairs"), F.lit(0)).alias("similar_label_count"))
+
+
 def similar_labels(categories: DataFrame, *, limit: int | None = TOP_LABEL_PAIRS) -> DataFrame:
     """Category names that are equal without case and separators, or nearly so.
 
@@ -352,16 +386,7 @@ def similar_labels(categories: DataFrame, *, limit: int | None = TOP_LABEL_PAIRS
         ranked = ranked.where(F.col("place") <= limit + 1)
     ranked = materialise(ranked, "labels")
     plain = ranked.select("plain").distinct()
-    grams = _rare_grams(plain)
-    left = grams.select(F.col("plain").alias("a"), F.col("size").alias("size_a"), "gram", "repeat")
-    right = grams.select(F.col("plain").alias("b"), F.col("size").alias("size_b"), "gram", "repeat")
-    reach = 2 * F.least("size_a", "size_b") / (F.col("size_a") + F.col("size_b"))
-    candidates = (
-        left.join(right, ["gram", "repeat"])
-        .where((F.col("a") < F.col("b")) & (reach >= SIMILARITY))
-        .select("a", "b")
-        .distinct()
-    )
+    candidates = _label_candidates(plain)
     same = plain.select(F.col("plain").alias("a"), F.col("plain").alias("b"))
     pairs = candidates.unionByName(same)
     one = ranked.select(F.col("plain").alias("a"), F.struct("name", "id", "plain").alias("one"))
@@ -452,7 +477,7 @@ def corpus_quality(records: DataFrame, categories: DataFrame) -> DataFrame:
     """One row of quality counts, lengths and warnings."""
     copies = copy_counts(copy_groups(records))
     lengths = length_summary(records)
-    similar = similar_labels(categories).agg(F.count(F.lit(1)))
+    similar = similar_label_count(categories)
     return record_quality(records).withColumns(
         {
             "copies": copies.select(F.struct(*copies.columns)).scalar(),
@@ -494,9 +519,9 @@ def with_field_warnings(fields: DataFrame, quality: DataFrame) -> DataFrame:
     return fields.withColumn("_present", present).withColumn("warnings", chosen).drop("_present")
 
 
-def _first_rows(rows: DataFrame, limit: int, *columns: str) -> Column:
-    """The first rows of an ordered result as one JSON text."""
-    entries = rows.limit(limit).agg(F.to_json(F.collect_list(F.struct(*columns))))
+def _first_rows(rows: DataFrame, limit: int | None, *columns: str) -> Column:
+    """The first rows of an ordered result, or all of a listed one, as one JSON text."""
+    entries = (rows if limit is None else rows.limit(limit)).agg(F.to_json(F.collect_list(F.struct(*columns))))
     return entries.scalar()
 
 
@@ -598,7 +623,7 @@ def corpus_findings(
                 finding(
                     "casefold_substring_keyword_count",
                     F.lit("Records that contain the given keywords literally."),
-                    {"keyword_matches": _first_rows(keywords, 1000, "keyword", "record_count")},
+                    {"keyword_matches": _first_rows(keywords, None, "keyword", "record_count")},
                     content,
                     ("keyword_matches_are_surface_level",),
                 ),

@@ -13,6 +13,7 @@ from fathom.operators.reduce import (
     AXIS_CATEGORIES,
     CATEGORIES,
     Reduced,
+    budget,
     crosstab_of_pairs,
     describe,
     sum_with_remainder,
@@ -54,6 +55,7 @@ def category_chart(
     limit: int = CATEGORIES,
     uncategorized: str = UNCATEGORISED_LABEL,
 ) -> Reduced:
+    limit = budget(CATEGORIES, limit, at_most_default=True)
     counts = _labelled_counts(records, categories, uncategorized)
     by_label = counts.groupBy("label").agg(F.sum("source_count").alias("source_count"))
     rows = sum_with_remainder(by_label, "label", limit).withColumnRenamed("label", "x")

@@ -25,7 +25,6 @@ STRONG_TREND = 0.6
 MAX_FINDINGS = 8
 MAX_CATEGORIES = 30
 MIN_GROUP_ROWS = 2
-PAIRS_SIDE_BY_SIDE = 30
 
 
 def _one_row_per(df: DataFrame, aggregates: list[Column], entries: list[Column]) -> DataFrame:
@@ -35,41 +34,32 @@ def _one_row_per(df: DataFrame, aggregates: list[Column], entries: list[Column])
 def correlation_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Pearson r and pair count for every pair of columns, in one pass.
 
-    A few pairs are aggregates side by side. Many would outgrow generated code,
-    so every row is dealt to its pairs, which meet again on the map side.
+    Every row is dealt to its pairs, which meet again on the map side: the plan does
+    not grow with the number of columns.
     """
     pairs = list(combinations(range(len(columns)), 2))
     named = [(i, j, columns[i], columns[j]) for i, j in pairs]
-    if len(pairs) > PAIRS_SIDE_BY_SIDE:
-        values = df.select(F.array(*[ref(name).cast("double") for name in columns]).alias("values"))
-        dealt = values.select("values", F.inline(F.array(*[_pair(i, j) for i, j in pairs])))
-        sides = dealt.select("i", "j", F.get("values", F.col("i")).alias("x"), F.get("values", F.col("j")).alias("y"))
-        x, y = F.col("x"), F.col("y")
-        found = sides.groupBy("i", "j").agg(
-            pair_count(x, y).alias("row_count"), correlation(x, y).alias("correlation")
-        )
-        listed = df.sparkSession.createDataFrame(
-            named, "i int, j int, left_column string, right_column string"
-        )
-        return listed.join(found, ["i", "j"], "left").select(
-            "left_column",
-            "right_column",
-            F.coalesce("row_count", F.lit(0)).alias("row_count"),
-            "correlation",
-        )
-    aggregates, entries = [], []
-    for index, (_, _, left, right) in enumerate(named):
-        x, y = ref(left), ref(right)
-        aggregates += [correlation(x, y).alias(f"r_{index}"), pair_count(x, y).alias(f"n_{index}")]
-        entries.append(
-            F.struct(
-                F.lit(left).alias("left_column"),
-                F.lit(right).alias("right_column"),
-                F.col(f"n_{index}").alias("row_count"),
-                F.col(f"r_{index}").alias("correlation"),
-            )
+    listed = df.sparkSession.createDataFrame(
+        named, "i int, j int, left_column string, right_column string"
+    )
+    if not pairs:
+        nothing = F.lit(None)
+        return listed.select(
+            "left_column", "right_column", nothing.cast("long").alias("row_count"), nothing.cast("double").alias("correlation")
         )
-    return _one_row_per(df, aggregates, entries)
+    values = df.select(F.array(*[ref(name).cast("double") for name in columns]).alias("values"))
+    dealt = values.select("values", F.inline(F.array(*[_pair(i, j) for i, j in pairs])))
+    sides = dealt.select("i", "j", F.get("values", F.col("i")).alias("x"), F.get("values", F.col("j")).alias("y"))
+    x, y = F.col("x"), F.col("y")
+    found = sides.groupBy("i", "j").agg(
+        pair_count(x, y).alias("row_count"), correlation(x, y).alias("correlation")
+    )
+    return listed.join(found, ["i", "j"], "left").select(
+        "left_column",
+        "right_column",
+        F.coalesce("row_count", F.lit(0)).alias("row_count"),
+        "correlation",
+    )
 
 
 def _pair(i: int, j: int) -> Column:

@@ -17,15 +17,13 @@ from fathom.functions import casts
 from fathom.functions.statistics import ratio
 from fathom.operators.steps import duplicate_row_count
 from fathom.plans.keys import as_text, plain_number, ref
-from fathom.plans.ordering import MAP_VALUES, bracket_ends, narrowed_quantiles
+from fathom.plans.ordering import bracket_ends, narrowed_quantiles
 from fathom.plans.parallel import spread_small
 from fathom.plans.storage import materialise, materialise_measured
 
 TOP_VALUES = 10
 KEY_LIMIT = 64
 
-# Up to this many digests, a few megabytes, are sent to where the texts are.
-FEW_DIGESTS = 20_000
 QUARTILES = (0.25, 0.5, 0.75)
 
 # Column names with a role of their own.
@@ -122,6 +120,7 @@ def _text_key(full: Column, data_type: T.DataType) -> Column:
         "",
         F.when(casts.text_to_double(full).isNotNull(), F.lit("n")),
         F.when(casts.text_to_timestamp(full).isNotNull(), F.lit("t")),
+        F.when(F.trim(full) == "", F.lit("b")),
     )
     digest = F.concat_ws(
         "\0", F.substring(full, 1, KEY_LIMIT), F.sha2(full, 256), F.length(full).cast("string"), notes
@@ -156,8 +155,8 @@ def value_counts(df: DataFrame) -> DataFrame:
         column, data_type = ref(field.name), field.dataType
         if isinstance(data_type, T.IntegralType):
             whole[index] = column.cast("long")
-        elif isinstance(data_type, T.DoubleType):
-            fractions[index] = column
+        elif isinstance(data_type, (T.DoubleType, T.FloatType)):
+            fractions[index] = column.cast("double")
         elif is_datetime(data_type):
             times[index] = column.cast("timestamp_ntz")
         else:
@@ -190,9 +189,11 @@ def described(counts: DataFrame, schema: T.StructType) -> DataFrame:
     shown_time = F.when(at(lambda t: isinstance(t, T.DateType)), day).otherwise(
         F.col("time").cast("string")
     )
-    key = F.coalesce(
-        text, F.col("whole").cast("string"), plain_number(F.col("fraction")), shown_time
-    )
+    # A float is shown with its own digits and measured as the double it equals.
+    shown_fraction = F.when(
+        at(lambda t: isinstance(t, T.FloatType)), plain_number(F.col("fraction").cast("float"))
+    ).otherwise(plain_number(F.col("fraction")))
+    key = F.coalesce(text, F.col("whole").cast("string"), shown_fraction, shown_time)
     numeric = at(is_numeric)
     number = F.coalesce(
         F.col("whole").cast("double"), "fraction", F.when(numeric, text.try_cast("double"))
@@ -214,15 +215,15 @@ def described(counts: DataFrame, schema: T.StructType) -> DataFrame:
         F.when(is_digest, noted_length).otherwise(F.length(key)).alias("length"),
         number_like.alias("number_like"),
         time_like.alias("time_like"),
+        F.when(is_digest, ~F.contains(notes, F.lit("b"))).otherwise(F.trim(key) != "").alias("filled"),
         "n",
     )
 
 
-def value_statistics(counts: DataFrame, *, with_quartiles: bool) -> DataFrame:
-    """Per column: values, distinct values, text lengths and shapes, and quartiles if asked."""
+def value_statistics(counts: DataFrame) -> DataFrame:
+    """Per column: values, distinct values, text lengths and shapes."""
     n = F.col("n")
-    filled = F.trim("key") != ""
-    quartiles = [F.percentile("number", F.array(*map(F.lit, QUARTILES)), n).alias("quartiles")]
+    filled = F.col("filled")
     return counts.groupBy("position").agg(
         F.sum("n").alias("present"),
         F.count(F.lit(1)).alias("distinct_count"),
@@ -235,7 +236,6 @@ def value_statistics(counts: DataFrame, *, with_quartiles: bool) -> DataFrame:
         F.coalesce(F.sum(F.when(filled & F.col("time_like"), n)), F.lit(0)).alias(
             "datetime_like_count"
         ),
-        *(quartiles if with_quartiles else []),
     )
 
 
@@ -284,11 +284,7 @@ def _with_long_texts(df: DataFrame, counts: DataFrame, limit: int) -> DataFrame:
         .where(F.length("value") > KEY_LIMIT)
         .withColumn("key", _text_key(F.col("value"), T.StringType()))
     )
-    wanted, measured = materialise_measured(
-        near.where("is_digest").select("position", "key", "n"), "digests"
-    )
-    if measured["rows"] <= FEW_DIGESTS:
-        wanted = F.broadcast(wanted)
+    wanted = materialise(near.where("is_digest").select("position", "key", "n"), "digests")
     found = texts.join(wanted, ["position", "key"]).groupBy("position", "key")
     looked_up = found.agg(F.any_value("n").alias("n"), F.any_value("value").alias("value"))
     return short.unionByName(looked_up.select("position", "n", "value"))
@@ -378,12 +374,12 @@ def column_warnings() -> Column:
     return F.array_compact(F.array(*[F.when(test, F.lit(flag)) for flag, test in flags.items()]))
 
 
-def written_counts(df: DataFrame) -> tuple[DataFrame, int, int]:
-    """The value counts, their number, and how many of them are digests."""
+def written_counts(df: DataFrame) -> tuple[DataFrame, int]:
+    """The value counts, and how many of them are digests."""
     counts, measured = materialise_measured(
         value_counts(df), "values", digests=F.count_if(F.length("text") > KEY_LIMIT)
     )
-    return described(counts, df.schema), measured["rows"], measured["digests"]
+    return described(counts, df.schema), measured["digests"]
 
 
 def rough_quartiles(df: DataFrame) -> DataFrame:
@@ -407,25 +403,25 @@ def rough_quartiles(df: DataFrame) -> DataFrame:
     return listed.where(F.col("total") > 0)
 
 
-def column_profiles(df: DataFrame, *, few_values: int = MAP_VALUES) -> DataFrame:
+def column_profiles(df: DataFrame) -> DataFrame:
     """One row of statistics, role and warnings per column.
 
-    The value counts are written once and measured on the way. While they are
-    few, quartiles come from the same aggregate as the other statistics; beyond
-    ``few_values`` they come from narrow brackets around them.
+    The value counts are written once and measured on the way; quartiles come from
+    narrow brackets around them.
     """
-    counts, rows, digests = written_counts(df)
-    few = rows <= few_values or not any(is_numeric(field.dataType) for field in df.schema.fields)
-    measured = value_statistics(counts, with_quartiles=few)
-    if not few:
+    counts, digests = written_counts(df)
+    measured = value_statistics(counts)
+    if any(is_numeric(field.dataType) for field in df.schema.fields):
         numbers = counts.where(F.col("number").isNotNull()).select(
             F.struct("position").alias("key"), F.col("number").alias("value"), "n"
         )
         rough = materialise(rough_quartiles(df), "brackets")
-        found = narrowed_quantiles(numbers, rough, QUARTILES, few_groups=True).select(
+        found = narrowed_quantiles(numbers, rough, QUARTILES).select(
             F.col("key.position").alias("position"), F.col("quantiles").alias("quartiles")
         )
         measured = measured.join(found, "position", "left")
+    else:
+        measured = measured.withColumn("quartiles", F.lit(None).cast("array<double>"))
     # One row per column from here on.
     measured = materialise(measured, "statistics")
     quartiles = measured.where(F.col("quartiles").isNotNull()).select("position", "quartiles")
@@ -688,11 +684,9 @@ def quality_findings(dataset: DataFrame) -> DataFrame:
 def profile_table(
     df: DataFrame,
     parse_failures: Column | None = None,
-    *,
-    few_values: int = MAP_VALUES,
 ) -> Profile:
     """Profile every column and the table; the small results are written once."""
-    columns = materialise(column_profiles(df, few_values=few_values), "profile")
+    columns = materialise(column_profiles(df), "profile")
     duplicates = no_duplicates(columns)
     if duplicates is None:
         duplicates = duplicate_row_count(df)

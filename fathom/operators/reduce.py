@@ -18,7 +18,7 @@ from fathom.functions.statistics import division_up
 from fathom.operators.findings import correlation_pairs
 from fathom.plans.keys import ref
 from fathom.plans.ordering import (
-    ONE_TASK_ROWS,
+    RANGE_ROWS,
     bucket_means,
     counted,
     every_nth,
@@ -86,7 +86,7 @@ def time_series(
     number: str,
     *,
     target_points: int | None = None,
-    one_task_rows: int = ONE_TASK_ROWS,
+    range_rows: int = RANGE_ROWS,
 ) -> Reduced:
     """All points by time when they fit, else means over even runs of rows."""
     target = budget(LINE_POINTS, target_points)
@@ -96,7 +96,7 @@ def time_series(
     if total <= max(target, 1):
         rows = used.withColumn("source_count", F.lit(1).cast("long")).orderBy("x", "y")
         return Reduced(rows, describe(rows, "raw_time_series", **parameters))
-    ranked = positions(counted(used, "x", "y"), "x", "y", one_task_rows=one_task_rows)
+    ranked = positions(counted(used, "x", "y"), "x", "y", range_rows=range_rows)
     rows = (
         bucket_means(ranked, "x", "y", target, F.lit(total))
         .orderBy("bucket")
@@ -111,7 +111,7 @@ def scatter_sample(
     y: str,
     *,
     target_points: int | None = None,
-    one_task_rows: int = ONE_TASK_ROWS,
+    range_rows: int = RANGE_ROWS,
 ) -> Reduced:
     """All points when they fit, else every n-th point in (x, y) order."""
     target = budget(SCATTER_POINTS, target_points)
@@ -122,7 +122,7 @@ def scatter_sample(
     if total <= max(target, 1):
         rows = used.orderBy("x", "y")
         return Reduced(rows, describe(rows, "raw_scatter", original=before, **parameters))
-    ranked = positions(counted(used, "x", "y"), "x", "y", one_task_rows=one_task_rows)
+    ranked = positions(counted(used, "x", "y"), "x", "y", range_rows=range_rows)
     step = division_up(F.lit(total), F.lit(target))
     rows = every_nth(ranked, ["x", "y"], step).orderBy("at").limit(target).select("x", "y")
     meta = describe(rows, "uniform_sample", original=before, approximate=True, **parameters)
@@ -133,6 +133,7 @@ def category_means(
     df: DataFrame, category: str, number: str, *, limit: int = CATEGORIES
 ) -> Reduced:
     """Mean per category for the largest categories and one for all others."""
+    limit = budget(CATEGORIES, limit, at_most_default=True)
     used = _present(df, category=ref(category).cast("string"), number=ref(number).cast("double"))
     grouped = used.groupBy("category").agg(
         F.sum("number").alias("total"), F.count(F.lit(1)).alias("source_count")
@@ -160,6 +161,7 @@ def category_means(
 
 def category_counts(df: DataFrame, category: str, *, limit: int = CATEGORIES) -> Reduced:
     """Rows per category for the largest categories and one count for all others."""
+    limit = budget(CATEGORIES, limit, at_most_default=True)
     used = _present(df, category=ref(category).cast("string"))
     rows = top_counts(used, "category", limit)
     meta = describe(
@@ -264,6 +266,8 @@ def crosstab(
     y_limit: int = AXIS_CATEGORIES,
 ) -> Reduced:
     """Counts per pair of labels; labels beyond the largest of each axis become one."""
+    x_limit = budget(AXIS_CATEGORIES, x_limit, at_most_default=True)
+    y_limit = budget(AXIS_CATEGORIES, y_limit, at_most_default=True)
     used = _present(df, x=ref(x).cast("string"), y=ref(y).cast("string"))
     pairs = used.groupBy("x", "y").agg(F.count(F.lit(1)).alias("source_count"))
     rows = crosstab_of_pairs(pairs, x_limit, y_limit)
@@ -303,9 +307,10 @@ def box_quantiles(
     number: str,
     *,
     limit: int = CATEGORIES,
-    one_task_rows: int = ONE_TASK_ROWS,
+    range_rows: int = RANGE_ROWS,
 ) -> Reduced:
     """Range, quartiles and count of the largest categories; the others are counted as omitted."""
+    limit = budget(CATEGORIES, limit, at_most_default=True)
     used = _present(df, category=ref(category).cast("string"), value=ref(number).cast("double"))
     grouped = used.groupBy("category").agg(
         F.min("value").alias("lower_fence"),
@@ -316,7 +321,7 @@ def box_quantiles(
     kept = grouped.orderBy(F.desc("source_count"), "category").limit(limit)
     chosen = used.join(F.broadcast(kept.select("category")), "category", "left_semi")
     quartiles = quantiles(
-        chosen, ["category"], "value", [0.25, 0.5, 0.75], one_task_rows=one_task_rows
+        chosen, ["category"], "value", [0.25, 0.5, 0.75], range_rows=range_rows
     )
     rows = (
         kept.join(quartiles, "category")

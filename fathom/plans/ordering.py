@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
@@ -13,16 +12,9 @@ from pyspark.sql import types as T
 from fathom.functions.statistics import division_up, whole_division
 from fathom.plans.storage import materialise, materialise_measured
 
-# Up to this many distinct rows one task sorts them faster than a range
-# partitioning can be set up. The number is measured, never assumed.
-ONE_TASK_ROWS = 1_000_000
-
-# Up to this many values per group the built-in exact percentile may keep them in
-# a map; a task holds the maps of many groups at a time.
-MAP_VALUES = 100_000
-
-# Up to this many groups, a few megabytes with their brackets, are broadcast.
-FEW_GROUPS = 20_000
+# A range partition holds about this many distinct rows: the number of ranges follows
+# from the measured number of rows, whatever it is.
+RANGE_ROWS = 1_000_000
 
 # Rank error of approximate percentiles is one part in ``ACCURACY``; brackets
 # are three times as wide, and what falls outside is noticed.
@@ -35,43 +27,27 @@ def counted(df: DataFrame, *columns: str) -> DataFrame:
     return df.groupBy(*columns).agg(F.count(F.lit(1)).alias("n"))
 
 
-def positions(
-    counts: DataFrame, *order: str, one_task_rows: int = ONE_TASK_ROWS
-) -> DataFrame:
+def positions(counts: DataFrame, *order: str, range_rows: int = RANGE_ROWS) -> DataFrame:
     """Add ``before``, the number of rows sorted ahead of each counted row.
 
     ``counts`` holds distinct rows with their count ``n``. They are written once
-    and counted on the way; a short list is summed in one task, a longer one by
-    :func:`spread_positions`. ``part`` names the piece a row was summed in.
+    and counted on the way. ``part`` names the piece a row was summed in.
     """
     stored, measured = materialise_measured(counts, "counts")
-    return stored_positions(stored, measured["rows"], *order, one_task_rows=one_task_rows)
+    return spread_positions(stored, measured["rows"], *order, range_rows=range_rows)
 
 
-def stored_positions(
-    stored: DataFrame, rows: int, *order: str, one_task_rows: int = ONE_TASK_ROWS
+def spread_positions(
+    counts: DataFrame, rows: int, *order: str, range_rows: int = RANGE_ROWS
 ) -> DataFrame:
-    """:func:`positions` for counts that are already written and counted."""
-    if rows > one_task_rows:
-        return spread_positions(stored, *order)
-    keys = [F.col(name).asc_nulls_first() for name in order]
-    ahead = Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
-    return stored.select(
-        *stored.columns,
-        F.lit(0).alias("part"),
-        F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("before"),
-    )
-
-
-def spread_positions(counts: DataFrame, *order: str) -> DataFrame:
-    """:func:`positions` over any number of rows.
+    """:func:`positions` for ``rows`` counts that are already written.
 
     No value is heavier than one counted row, so range partitions come out even.
     Each partition adds up its own counts in sorted order; the totals of the
     partitions (one row each) shift them to table-wide positions.
     """
     spark = counts.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(1, -(-rows // max(1, range_rows)))
     keys = [F.col(name).asc_nulls_first() for name in order]
     ranged = (
         counts.repartitionByRange(parts, *keys)
@@ -117,67 +93,33 @@ def quantiles(
     value: str,
     probabilities: Sequence[float],
     *,
-    one_task_rows: int = ONE_TASK_ROWS,
+    range_rows: int = RANGE_ROWS,
 ) -> DataFrame:
     """Exact interpolated quantiles of ``value`` per key as an array ``quantiles``.
 
-    Groups without a value are absent. A first pass counts the groups. Those of
-    at most ``MAP_VALUES`` values fit the built-in exact aggregate; larger ones
-    go through :func:`narrowed_quantiles`.
+    Groups without a value are absent. A first pass brackets the quantiles of every
+    group, :func:`narrowed_quantiles` finds them inside.
     """
     key = F.struct(*keys) if keys else F.struct(F.lit(0).alias("all"))
     present = df.where(F.col(value).isNotNull()).select(
         key.alias("key"), F.col(value).cast("double").alias("value")
     )
-    is_large = F.col("total") > min(one_task_rows, MAP_VALUES)
-    sizes = present.groupBy("key").agg(F.count(F.lit(1)).alias("total"))
-    groups, measured = materialise_measured(sizes, "groups", large=F.count_if(is_large))
-    few = measured["large"] <= FEW_GROUPS
-    parts = []
-    if measured["large"] < measured["rows"] or measured["rows"] == 0:
-        small = present
-        if measured["large"]:
-            small = _members(present, groups, is_large, few, "left_anti")
-        parts.append(_built_in_quantiles(small, probabilities))
-    if measured["large"]:
-        large = _members(present, groups, is_large, few, "left_semi")
-        rough = large.groupBy("key").agg(
-            F.count(F.lit(1)).alias("total"), bracket_ends("value", probabilities).alias("ends")
-        )
-        counts = large.withColumn("n", F.lit(1).cast("long"))
-        parts.append(
-            narrowed_quantiles(
-                counts,
-                materialise(rough, "groups"),
-                probabilities,
-                few_groups=few,
-                one_task_rows=one_task_rows,
-            )
-        )
-    found = functools.reduce(DataFrame.unionByName, parts)
+    rough = present.groupBy("key").agg(
+        F.count(F.lit(1)).alias("total"), bracket_ends("value", probabilities).alias("ends")
+    )
+    counts = present.withColumn("n", F.lit(1).cast("long"))
+    found = narrowed_quantiles(
+        counts, materialise(rough, "groups"), probabilities, range_rows=range_rows
+    )
     return found.select(*[F.col("key")[name].alias(name) for name in keys], "quantiles")
 
 
-def _members(
-    present: DataFrame, groups: DataFrame, is_large: Column, few: bool, how: str
-) -> DataFrame:
-    """The values of the large groups, or of all others."""
-    large = groups.where(is_large).select("key")
-    return present.join(F.broadcast(large) if few else large, "key", how)
-
-
-def _built_in_quantiles(present: DataFrame, probabilities: Sequence[float]) -> DataFrame:
-    asked = F.array(*[F.lit(float(p)) for p in probabilities])
-    return present.groupBy("key").agg(F.percentile("value", asked).alias("quantiles"))
-
-
 def narrowed_quantiles(
     counts: DataFrame,
     groups: DataFrame,
     probabilities: Sequence[float],
     *,
-    few_groups: bool = False,
-    one_task_rows: int = ONE_TASK_ROWS,
+    range_rows: int = RANGE_ROWS,
 ) -> DataFrame:
     """Exact quantiles without moving the bulk of the values.
 
@@ -185,8 +127,7 @@ def narrowed_quantiles(
     ``total`` and the bracket ``ends``. One pass counts the values below each
     bracket and keeps the distinct ones inside, a few in ten thousand. Their
     positions give the answer. Should a bracket miss its position, the table-wide
-    order decides instead. ``few_groups`` says that the groups were counted and
-    the brackets may be broadcast.
+    order decides instead.
     """
     asked = F.array(
         *[
@@ -205,7 +146,7 @@ def narrowed_quantiles(
         F.element_at("ends", F.col("index") * 2 + 2).alias("high"),
     )
     brackets = wanted.select("key", "index", "low", "high")
-    near = counts.join(F.broadcast(brackets) if few_groups else brackets, "key").where(
+    near = counts.join(brackets, "key").where(
         F.col("value") <= F.col("high")
     )
     # A missing value stands for everything below the bracket.
@@ -217,14 +158,10 @@ def narrowed_quantiles(
     targets = wanted.drop("low", "high").join(reached, ["key", "index"], "left")
     held = (F.col("lower") >= F.col("below")) & (F.col("upper") < F.col("through"))
     if targets.where(~F.coalesce(held, F.lit(False))).head(1):
-        return spread_quantiles(counts.groupBy("key", "value").agg(F.sum("n").alias("n")), probabilities)
-    ranked = stored_positions(
-        kept.where(F.col("value").isNotNull()),
-        measured["rows"],
-        "key",
-        "index",
-        "value",
-        one_task_rows=one_task_rows,
+        distinct = counts.groupBy("key", "value").agg(F.sum("n").alias("n"))
+        return spread_quantiles(distinct, probabilities, range_rows=range_rows)
+    ranked = spread_positions(
+        kept.where(F.col("value").isNotNull()), measured["rows"], "key", "index", "value", range_rows=range_rows
     )
     starts = ranked.groupBy("key", "index").agg(F.min("before").alias("start"))
     placed = ranked.join(targets.join(starts, ["key", "index"]), ["key", "index"])
@@ -252,9 +189,11 @@ def _per_key(found: DataFrame) -> DataFrame:
     )
 
 
-def spread_quantiles(counts: DataFrame, probabilities: Sequence[float]) -> DataFrame:
+def spread_quantiles(
+    counts: DataFrame, probabilities: Sequence[float], *, range_rows: int = RANGE_ROWS
+) -> DataFrame:
     """Quantiles from table-wide positions of distinct ``key`` and ``value`` with count ``n``."""
-    ranked = spread_positions(counts.select("key", "value", "n"), "key", "value")
+    ranked = positions(counts.select("key", "value", "n"), "key", "value", range_rows=range_rows)
     spans = ranked.groupBy("key", "part").agg(
         F.min("before").alias("first"), F.sum("n").alias("size")
     )

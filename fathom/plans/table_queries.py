@@ -951,7 +951,7 @@ def _(spark, folder):
 def _(spark, folder):
     orders = table(spark, folder, "orders")
     # The spread form that large tables take.
-    rows = reduce.time_series(orders, "o_orderdate", "o_totalprice", target_points=97, one_task_rows=0)
+    rows = reduce.time_series(orders, "o_orderdate", "o_totalprice", target_points=97, range_rows=2_000)
     return rounded(rows.rows, "y", digits=4)
 
 
@@ -1041,7 +1041,7 @@ def _(spark, folder):
 def _(spark, folder):
     lines = table(spark, folder, "lineitem")
     # The spread form that large tables take.
-    return reduce.scatter_sample(lines, "l_quantity", "l_discount", target_points=900, one_task_rows=0).rows
+    return reduce.scatter_sample(lines, "l_quantity", "l_discount", target_points=900, range_rows=2_000).rows
 
 
 @query("scatter_raw", "SELECT CAST(c_nationkey AS DOUBLE) AS x, c_acctbal AS y FROM customer")
@@ -1100,7 +1100,7 @@ def _(spark, folder):
 def _(spark, folder):
     orders = table(spark, folder, "orders")
     # The spread form that large tables take.
-    rows = reduce.box_quantiles(orders, "o_orderpriority", "o_totalprice", one_task_rows=0).rows
+    rows = reduce.box_quantiles(orders, "o_orderpriority", "o_totalprice", range_rows=2_000).rows
     return rounded(rows, "q1", "median", "q3", digits=4)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from typing import NamedTuple
 
@@ -10,9 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fathom.functions import text as tx
-from fathom.functions.casts import text_to_timestamp
+from fathom.functions.casts import iso_timestamp
 from fathom.plans.parallel import spread_small
-from fathom.sources.tables import java_charset
+from fathom.sources.tables import decoded, java_charset
 
 # Fixed value: the colour of a category that names none.
 DEFAULT_COLOR = "#2563eb"
@@ -155,17 +156,32 @@ def _with_defaults(
     )
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+def scope_of(path: str) -> Column:
+    """What names a file in record ids: its path below ``path``, or its bare name if it is ``path``.
+
+    Of a pattern, the part before the first wild card's folder counts as ``path``.
+    """
+    plain = re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "", path)
+    root = re.split(r"[*?\[{]", plain)[0]
+    root = root.rsplit("/", 1)[0] if root != plain else root.rstrip("/")
+    full = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    full = F.regexp_replace(full, "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "")
+    below = F.substring_index(full, f"{root}/", -1) if root else full
+    inside = F.contains(full, F.lit(f"{root}/")) & F.lit(bool(root))
+    return F.when(inside, below).otherwise(F.col("_metadata.file_name"))
+
+
+def numbered_lines(spark: SparkSession, path: str, encoding: str = "utf-8") -> DataFrame:
     """Lines with file, start of their split and reading order inside it.
 
     Large files stay splittable: a place in the file is (split, order).
     """
     return spark.read.text(path).select(
         F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_name").alias("scope"),
+        scope_of(path).alias("scope"),
         F.col("_metadata.file_block_start").alias("split"),
         F.monotonically_increasing_id().alias("line"),
-        F.regexp_replace("value", "^\ufeff", "").alias("value"),
+        F.regexp_replace(decoded(F.col("value"), java_charset(spark, encoding)), "^\ufeff", "").alias("value"),
     )
 
 
@@ -212,8 +228,8 @@ def read_text_corpus(
         "default_source": default_source,
     }
     charset = java_charset(spark, encoding)
-    if mode == "non_empty_line" and charset == "UTF-8":
-        lines = numbered_lines(spark, path)
+    if mode == "non_empty_line":
+        lines = numbered_lines(spark, path, encoding)
         pieces = lines.select(
             "file",
             "scope",
@@ -232,13 +248,9 @@ def read_text_corpus(
             default_source,
         )
         return Corpus(records, _default_categories(spark, default_category), skipped)
-    if charset == "UTF-8":
-        files = spark.read.text(path, wholetext=True).withColumnRenamed("value", "content")
-    else:
-        files = spark.read.format("binaryFile").load(path)
-        files = files.withColumn("content", F.decode("content", charset))
+    files = spark.read.text(path, wholetext=True).withColumn("content", decoded(F.col("value"), charset))
     texts = files.select(
-        F.col("_metadata.file_name").alias("scope"),
+        scope_of(path).alias("scope"),
         F.col("_metadata.file_path").alias("source"),
         "content",
     )
@@ -250,6 +262,7 @@ def read_jsonl_corpus(
     path: str,
     corpus_id: str,
     *,
+    encoding: str = "utf-8",
     default_category: str = "",
     default_tags: Sequence[str] = (),
     default_source: str = "",
@@ -260,7 +273,7 @@ def read_jsonl_corpus(
     record without content are skipped and counted. Records without an id get
     one from their place among the objects of the file.
     """
-    lines = numbered_lines(spark, path).withColumn("value", tx.strip(F.col("value")))
+    lines = numbered_lines(spark, path, encoding).withColumn("value", tx.strip(F.col("value")))
     lines = lines.where(F.col("value") != "")
     return records_from_json(
         lines,
@@ -315,7 +328,7 @@ def records_from_json(
         ).alias("source"),
         optional("location").alias("location"),
         optional("speaker").alias("speaker"),
-        text_to_timestamp(tx.strip(F.coalesce(filled("record_time"), filled("time")))).alias("record_time"),
+        iso_timestamp(tx.strip(F.coalesce(filled("record_time"), filled("time")))).alias("record_time"),
         F.coalesce(member("note"), F.lit("")).alias("note"),
         F.to_json(extra).alias("custom_fields_json"),
     )

@@ -6,7 +6,7 @@ import csv
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -95,18 +95,35 @@ def read_delimited(
     return read
 
 
+def decoded(value: Column, charset: str) -> Column:
+    """Text that was read as UTF-8 in its real encoding; the reader keeps the bytes."""
+    return value if charset == "UTF-8" else F.decode(value.cast("binary"), charset)
+
+
 def first_lines(spark: SparkSession, path: str, encoding: str, count: int) -> list[str]:
-    """The first ``count`` lines, decoded. A separator that text does not hold keeps lines whole."""
-    whole = (
-        spark.read.option("sep", "\x01")
-        .option("quote", "")
-        .option("encoding", java_charset(spark, encoding))
-        .csv(path, schema="line string")
-    )
-    lines = [row["line"] or "" for row in whole.take(count)]
+    """The first ``count`` lines, decoded."""
+    lines = spark.read.text(path).select(decoded(F.col("value"), java_charset(spark, encoding)).alias("line"))
+    lines = [row["line"] for row in lines.take(count)]
     return [lines[0].lstrip("\ufeff"), *lines[1:]] if lines else []
 
 
+def first_records(spark: SparkSession, path: str, encoding: str, delimiter: str, count: int) -> list[list[str]]:
+    """The first ``count`` records; cells may hold line breaks.
+
+    Reads that many lines, and twice as many again while records are missing or the last
+    one is still open.
+    """
+    wanted = count
+    while True:
+        lines = first_lines(spark, path, encoding, wanted)
+        open_quote = sum(line.count('"') for line in lines) % 2 == 1
+        rows = [row for row in csv.reader((line + "\n" for line in lines), delimiter=delimiter) if row]
+        complete = rows[:-1] if open_quote else rows
+        if len(complete) >= count or len(lines) < wanted:
+            return (complete if len(lines) == wanted else rows)[:count]
+        wanted *= 2
+
+
 def preview_delimited(
     spark: SparkSession,
     path: str,
@@ -120,8 +137,7 @@ def preview_delimited(
 
     Takes the first lines of the input only, so it costs the same for any size.
     """
-    lines = first_lines(spark, path, encoding, limit + 1)
-    rows = list(csv.reader((line + "\n" for line in lines), delimiter=delimiter_of(delimiter)))
+    rows = first_records(spark, path, encoding, delimiter_of(delimiter), limit + has_header)
     if not rows:
         raise ValueError(f"No records in {path}")
     header = rows[0] if has_header else [f"column_{i + 1}" for i in range(max(map(len, rows)))]

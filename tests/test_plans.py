@@ -73,7 +73,7 @@ def test_corpus_operators_use_no_cross_joins(spark):
 
 def test_the_spread_order_gathers_no_rows_in_one_task(table):
     counts = ordering.counted(table("events"), "ts", "value")
-    plan = executed(ordering.spread_positions(counts, "ts", "value"))
+    plan = executed(ordering.spread_positions(counts, 5_000_000, "ts", "value"))
     assert "SinglePartition" not in plan and "Window" not in plan
 
 

@@ -10,30 +10,26 @@ from fathom.operators import findings, profile
 
 @pytest.fixture(scope="module")
 def quality(spark):
-    names = ["alpha", "beta", "alpha", "beta", "gamma", "gamma", "delta", "delta", "epsilon", "epsilon"]
-    amounts = [10, 11, None, 12, 13, 14, 15, 16, 100, 100]
-    mixed = ["100", "101", "N/A", "102", "103", "note", "105", "106", "107", "107"]
-    ids = [f"A-00{i}" for i in range(1, 10)] + ["A-009"]
-    days = [date(2026, 1, i) for i in range(1, 10)] + [date(2026, 1, 9)]
-    rows = list(zip(ids, names, amounts, ["active"] * 10, mixed, days))
-    schema = "id string, category string, amount long, status string, mixed string, created_at date"
-    return spark.createDataFrame(rows, schema)
-
-
-@pytest.mark.parametrize("few_values", [0, 1_000_000])
-def test_quality_of_a_small_table(quality, few_values):
-    result = profile.profile_table(
-        quality, profile.parse_failure_summary(reported=True, count=0), few_values=few_values
-    )
+    """Twelve readings: one repeated, one without depth, two far out, one constant column."""
+    depths = [30, 31, 29, None, 30, 32, 28, 31, 30, 300, -250, -250]
+    notes = ["1", "2", "calm", "4", "5", "rain", "7", "8", "9", "10", "11", "11"]
+    days = [date(2024, 5, 3 + i) for i in range(11)] + [date(2024, 5, 13)]
+    codes = [f"S{i:02d}" for i in range(11)] + ["S10"]
+    rows = list(zip(codes, "abcabcabcabb", depths, ["buoy"] * 12, notes, days))
+    return spark.createDataFrame(rows, "code string, site string, depth long, kind string, note string, day date")
+
+
+def test_quality_of_a_small_table(quality):
+    result = profile.profile_table(quality, profile.parse_failure_summary(reported=True, count=0))
     summary = result.dataset.first()
     assert summary["duplicate_row_count"] == 1
     assert summary["total_missing_values"] == 1
-    assert summary["columns_with_missing_values"] == {"amount": 1}
-    assert summary["constant_columns"] == ["status"]
-    assert summary["mixed_type_columns"] == ["mixed"]
-    assert summary["numeric_outlier_columns"] == {"amount": 2}
+    assert summary["columns_with_missing_values"] == {"depth": 1}
+    assert summary["constant_columns"] == ["kind"]
+    assert summary["mixed_type_columns"] == ["note"]
+    assert summary["numeric_outlier_columns"] == {"depth": 3}
     assert summary["parse_failures"]["reported"] and summary["parse_failures"]["count"] == 0
-    assert tuple(summary["time_ranges"]["created_at"]) == ("2026-01-01", "2026-01-09")
+    assert tuple(summary["time_ranges"]["day"]) == ("2024-05-03", "2024-05-13")
     assert {
         "duplicate_rows_present",
         "constant_columns_present",
@@ -41,10 +37,9 @@ def test_quality_of_a_small_table(quality, few_values):
         "numeric_outlier_candidates_present",
     } <= set(summary["warnings"])
     columns = {row["column"]: row for row in result.columns.collect()}
-    assert columns["amount"]["outlier_count"] == 2
-    assert columns["mixed"]["numeric_like_count"] == 8
-    assert columns["created_at"]["datetime_like_count"] == 10
-    assert columns["id"]["semantic_type"] == "identifier"
+    assert columns["depth"]["outlier_count"] == 3
+    assert columns["note"]["numeric_like_count"] == 10
+    assert columns["day"]["datetime_like_count"] == 12
     assert {row["method"] for row in result.findings.collect()} == {
         "group_by_all_columns",
         "column_null_counts",
@@ -56,21 +51,30 @@ def test_quality_of_a_small_table(quality, few_values):
 
 def test_roles_of_a_small_table(spark):
     df = spark.createDataFrame(
-        [("a1", "x", 10, "short", "s1"), ("a2", "y", 20, "n" * 130, "s1"), ("a3", "x", 30, "ok", "s2"), ("a4", "x", None, "ok", "s2")],
-        "id string, category string, amount long, note string, source string",
+        [("p", "gull", 4, "seen", "hut"), ("q", "tern", None, "z" * 150, "hut"), ("r", "gull", 9, "seen", "boat"), ("s", "gull", 5, "heard", "boat"), ("t", "tern", 6, "seen", "hut")],
+        "id string, category string, birds long, remark string, source string",
     )
     columns = {row["column"]: row for row in profile.column_profiles(df).collect()}
     kinds = {name: row["semantic_type"] for name, row in columns.items()}
-    assert kinds == {
-        "id": "identifier",
-        "category": "primary_category",
-        "amount": "numeric",
-        "note": "long_text",
-        "source": "source_reference",
-    }
-    assert columns["amount"]["mean_value"] == 20.0 and columns["amount"]["median_value"] == 20.0
-    assert columns["amount"]["warnings"] == ["missing_values"]
-    assert columns["category"]["top_value_ratio"] == 0.75
+    assert kinds["id"] == "identifier" and kinds["category"] == "primary_category" and kinds["birds"] == "numeric"
+    assert kinds["remark"] == "long_text" and kinds["source"] == "source_reference"
+    assert columns["birds"]["mean_value"] == 6.0 and columns["birds"]["median_value"] == 5.5
+    assert columns["birds"]["warnings"] == ["missing_values"]
+    assert columns["category"]["top_value_ratio"] == 0.6
+
+
+def test_long_blank_texts_are_blank(spark):
+    df = spark.createDataFrame([("a",), (" " * 40,), (" " * 70,), ("b",)], "t string")
+    (row,) = profile.column_profiles(df).collect()
+    assert row["non_empty_count"] == 2
+
+
+def test_floats_are_measured_as_doubles_and_shown_as_floats(spark):
+    df = spark.createDataFrame([(0.1,), (0.2,), (0.3,), (0.7,)], "f float")
+    (row,) = profile.column_profiles(df).collect()
+    want = df.selectExpr("percentile(cast(f AS double), 0.25)").first()[0]
+    assert row["q1"] == want and row["distinct_count"] == 4
+    assert [entry["value"] for entry in row["top_values"]] == ["0.1", "0.2", "0.3", "0.7"]
 
 
 def test_top_values_of_long_texts_with_a_common_start(spark):
@@ -108,19 +112,26 @@ def test_empty_table(spark):
 
 
 def test_analysis_finds_trend_correlation_and_groups(spark):
-    rows = [(date(2026, 1, i + 1), "AABBCC"[i], 10 * (i + 1), 10 * (i + 1) + 1) for i in range(6)]
-    df = spark.createDataFrame(rows, "date date, category string, revenue long, cost long")
+    levels = [52, 47, 44, 38, 31, 30, 22, 19]
+    rows = [(date(2023, 11, 2 + 3 * i), "upper" if i < 4 else "lower", v, 3 * v + (-1) ** i) for i, v in enumerate(levels)]
+    df = spark.createDataFrame(rows, "taken date, gate string, level long, flow long")
     found = findings.analyze_table(df, profile.column_profiles(df)).orderBy("finding").collect()
-    methods = [row["method"] for row in found]
-    assert methods == ["time_number_correlation_and_slope"] * 2 + ["pearson_correlation"] + [
-        "group_mean_difference"
-    ] * 2
-    trend, pair, group = found[0], found[2], found[3]
-    assert trend["evidence"]["pearson_correlation"] == "1.0" and trend["evidence"]["row_count"] == "6"
-    assert trend["evidence"]["slope_per_day"] == "10.0"
-    assert pair["fields"] == ["revenue", "cost"] and pair["evidence"]["pearson_correlation"] == "1.0"
-    assert pair["warnings"] == ["correlation_not_causation"]
-    assert group["evidence"]["top_category"] == "C" and group["evidence"]["bottom_category"] == "A"
+    by_method = {}
+    for row in found:
+        by_method.setdefault(row["method"], []).append(row)
+    assert {m: len(r) for m, r in by_method.items()} == {
+        "time_number_correlation_and_slope": 2, "pearson_correlation": 1, "group_mean_difference": 2,
+    }
+    trend = next(r for r in by_method["time_number_correlation_and_slope"] if "level" in r["fields"])
+    days = [3 * i for i in range(8)]
+    mean = lambda xs: sum(xs) / len(xs)
+    slope = sum((d - mean(days)) * (v - mean(levels)) for d, v in zip(days, levels)) / sum((d - mean(days)) ** 2 for d in days)
+    assert float(trend["evidence"]["slope_per_day"]) == pytest.approx(slope, abs=1e-3)
+    assert trend["evidence"]["row_count"] == "8" and float(trend["evidence"]["pearson_correlation"]) < -0.98
+    (pair,) = by_method["pearson_correlation"]
+    assert pair["fields"] == ["level", "flow"] and pair["warnings"] == ["correlation_not_causation"]
+    for group in by_method["group_mean_difference"]:
+        assert group["evidence"]["top_category"] == "upper" and group["evidence"]["bottom_category"] == "lower"
 
 
 def test_constant_columns_have_no_correlation(spark):

@@ -8,16 +8,22 @@ from fathom.operators import reduce
 
 def test_top_categories_and_the_rest(spark, rows):
     df = spark.createDataFrame(
-        [("A", 10), ("A", 20), ("A", 30), ("B", 40), ("B", 50), ("C", 60), ("D", 70), (None, 1), ("A", None)],
-        "category string, amount long",
+        [("oak", 3), ("oak", 5), ("elm", 1), ("elm", 2), ("elm", 6), ("ash", 4), ("fir", 9), ("yew", None), (None, 8)],
+        "tree string, height long",
     )
-    result = reduce.category_means(df, "category", "amount", limit=2)
-    assert rows(result.rows) == [("A", 20.0, 3), ("B", 45.0, 2), ("Other", 65.0, 2)]
+    result = reduce.category_means(df, "tree", "height", limit=2)
+    assert rows(result.rows) == [("elm", 3.0, 3), ("oak", 4.0, 2), ("Other", 6.5, 2)]
     meta = result.metadata.first()
     assert (meta["original_rows"], meta["rendered_rows"]) == (7, 3)
     assert meta["method"] == "top_n_with_other" and meta["approximate"] is False
 
 
+def test_a_limit_never_exceeds_the_default(spark):
+    df = spark.range(500).select(F.col("id").cast("string").alias("c"), F.col("id").alias("v"))
+    assert reduce.category_counts(df, "c", limit=400).rows.count() == reduce.CATEGORIES + 1
+    assert reduce.box_quantiles(df, "c", "v", limit=400).rows.count() == reduce.CATEGORIES
+
+
 def test_a_real_category_named_other_joins_the_rest(spark, rows):
     df = spark.createDataFrame([("Other",)] * 3 + [("A",)] * 2 + [("B",)], "c string")
     assert rows(reduce.category_counts(df, "c", limit=2).rows) == [("A", 2), ("Other", 4)]

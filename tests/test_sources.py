@@ -67,20 +67,38 @@ def test_exports_refuse_existing_targets(spark, tmp_path):
 
 
 def test_pasted_text(spark):
-    texts = spark.createDataFrame([("访谈片段", "第一条反馈\n\n第二条反馈")], "scope string, content string")
-    read = corpora.records_from_texts(
-        texts, "c", default_category="产品体验", default_tags=("安装", "新手"), default_source="访谈"
-    )
-    records = read.records.collect()
-    assert [row["content"] for row in records] == ["第一条反馈", "第二条反馈"]
-    assert records[0]["tags"] == ["安装", "新手"] and records[0]["source"] == "访谈"
-    want = hashlib.sha256("访谈片段\0001\0第二条反馈".encode()).hexdigest()[:16]
-    assert records[1]["id"] == "text_" + want
+    texts = spark.createDataFrame([("log", "der Kran steht\n \nes regnet\n")], "scope string, content string")
+    read = corpora.records_from_texts(texts, "c", default_category="Hafen", default_tags=("früh", "Pier 4"), default_source="Wache")
+    one, two = read.records.collect()
+    assert (one["content"], two["content"]) == ("der Kran steht", "es regnet")
+    assert one["tags"] == two["tags"] == ["früh", "Pier 4"] and two["source"] == "Wache"
+    assert two["id"] == "text_" + hashlib.sha256("log\0001\0es regnet".encode()).hexdigest()[:16]
     (category,) = read.categories.collect()
-    assert category["name"] == "产品体验" and records[0]["primary_category_id"] == category["id"]
+    assert category["name"] == "Hafen" and one["primary_category_id"] == category["id"]
     assert read.skipped.first()[0] == 1
 
 
+def test_files_of_one_name_in_several_folders_keep_their_ids_apart(spark, tmp_path):
+    for folder in ("a", "b c"):
+        (tmp_path / folder).mkdir()
+        write(tmp_path / folder / "part-0.txt", "first\nsecond\n")
+    read = corpora.read_text_corpus(spark, f"{tmp_path}/*", "c")
+    ids = {row["id"] for row in read.records.collect()}
+    assert len(ids) == 4
+    made = "text_" + hashlib.sha256("b c/part-0.txt\0001\0second".encode()).hexdigest()[:16]
+    assert made in ids
+    alone = corpora.read_text_corpus(spark, f"{tmp_path}/a/part-0.txt", "c").records.collect()
+    assert "text_" + hashlib.sha256("part-0.txt\0000\0first".encode()).hexdigest()[:16] in {row["id"] for row in alone}
+
+
+def test_preview_counts_records_with_line_breaks(spark, tmp_path):
+    path = write(tmp_path / "a.csv", "k,t\n" + "".join(f'{i},"one\n\nthree {i}"\n' for i in range(40)))
+    preview, warnings = tables.preview_delimited(spark, path, limit=5)
+    assert [tuple(row) for row in preview.collect()] == [(str(i), f"one\n\nthree {i}") for i in range(5)]
+    assert warnings == []
+    assert tables.preview_delimited(spark, path)[0].count() == 40
+
+
 def test_lines_of_a_split_file_are_numbered_through(spark, tmp_path):
     lines = [f" line {i} " if i % 5 else "" for i in range(4000)]
     path = write(tmp_path / "big.txt", "﻿" + "\r\n".join(lines))
@@ -112,28 +130,32 @@ def test_whole_files_by_paragraph(spark, tmp_path):
 
 def test_json_records(spark, tmp_path):
     payloads = [
-        {"id": "r-1", "content": " 需要改进 ", "primary_category": "体验", "tags": ["安装", " 安装 ", ""], "source": "访谈", "extra": {"k": [1, 2]}},
-        {"content": "  "},
-        {"content": "告警需要核对", "primary_category": " 设备 ", "tags": "告警,传感器", "record_time": "2026-02-01T09:00:00", "n": 5},
-        {"content": 12, "time": "not a time"},
+        {"id": "n7", "content": "  wind from west ", "primary_category": "Weather", "tags": ["gale", " gale ", "", "sea"], "source": "buoy", "depth": {"m": [3, 4]}},
+        {"content": "\t "},
+        {"content": "pump failed", "primary_category": " Repair ", "tags": "pump,night", "record_time": "20240307T2215+0200", "shift": 3},
+        {"content": 7.5, "time": "yesterday"},
     ]
-    lines = [json.dumps(p, ensure_ascii=False) for p in payloads]
-    path = write(tmp_path / "r.jsonl", "\n".join([lines[0], "", "[1]", *lines[1:]]) + "\n")
-    read = corpora.read_jsonl_corpus(spark, path, "c", default_tags=["d"])
-    got = {row["content"]: row for row in read.records.collect()}
-    assert set(got) == {"需要改进", "告警需要核对", "12"}
-    first, second, third = got["需要改进"], got["告警需要核对"], got["12"]
-    assert first["id"] == "r-1" and first["tags"] == ["d", "安装"] and first["source"] == "访谈"
-    assert json.loads(first["custom_fields_json"]) == {"extra": {"k": [1, 2]}}
-    assert second["tags"] == ["d", "告警", "传感器"] and str(second["record_time"]) == "2026-02-01 09:00:00"
-    assert second["id"] == "text_" + hashlib.sha256("r.jsonl\0002\0告警需要核对".encode()).hexdigest()[:16]
-    assert json.loads(second["custom_fields_json"]) == {"n": 5}
-    assert third["record_time"] is None and third["primary_category_id"] is None
-    assert second["source"].endswith("r.jsonl")
-    assert {row["name"] for row in read.categories.collect()} == {"体验", "设备"}
+    lines = [json.dumps(p) for p in payloads]
+    path = write(tmp_path / "watch.jsonl", "\n".join([lines[0], "", "3", *lines[1:]]) + "\n")
+    read = corpora.read_jsonl_corpus(spark, path, "c", default_tags=["all"])
+    wind, pump, number = (
+        {row["content"]: row for row in read.records.collect()}[c] for c in ("wind from west", "pump failed", "7.5")
+    )
+    assert wind["id"] == "n7" and wind["tags"] == ["all", "gale", "sea"] and wind["source"] == "buoy"
+    assert json.loads(wind["custom_fields_json"]) == {"depth": {"m": [3, 4]}}
+    assert pump["tags"] == ["all", "pump", "night"] and str(pump["record_time"]) == "2024-03-07 20:15:00"
+    assert pump["id"] == "text_" + hashlib.sha256("watch.jsonl\0002\0pump failed".encode()).hexdigest()[:16]
+    assert json.loads(pump["custom_fields_json"]) == {"shift": 3} and pump["source"].endswith("watch.jsonl")
+    assert number["record_time"] is None and number["primary_category_id"] is None
+    assert {row["name"] for row in read.categories.collect()} == {"Weather", "Repair"}
     assert tuple(read.skipped.first()) == (1, 1)
 
 
+def test_json_records_in_another_encoding(spark, tmp_path):
+    path = write(tmp_path / "r.jsonl", json.dumps({"content": "港口"}, ensure_ascii=False) + "\n", "gb18030")
+    assert [row["content"] for row in corpora.read_jsonl_corpus(spark, path, "c", encoding="gb18030").records.collect()] == ["港口"]
+
+
 def test_invalid_json_stops_the_read(spark, tmp_path):
     path = write(tmp_path / "r.jsonl", '{"id": "a", "content": "x"}\n{bad\n')
     with pytest.raises(Exception, match="Not valid JSON"):
