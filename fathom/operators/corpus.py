@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from fathom.functions import text as tx
 from fathom.operators.steps import deduplicate_rows
+from fathom.plans.ordering import page_rows
 from fathom.sources.corpora import CATEGORY_SCHEMA, RECORD_SCHEMA, categories_for_names, conform
 
 UNCATEGORIZED = "__uncategorized__"
@@ -91,7 +92,7 @@ def record_page(
 ) -> DataFrame:
     """Rows ``offset`` to ``offset + limit`` of a search by creation time and id."""
     found = search_records(records, corpus_id, **filters)
-    return found.orderBy("created_at", "id").offset(offset).limit(limit)
+    return page_rows(found, ["created_at", "id"], limit, offset)
 
 
 def record_counts(records: DataFrame) -> DataFrame:

@@ -18,6 +18,7 @@ from fathom.functions.statistics import ratio
 from fathom.operators.steps import duplicate_row_count
 from fathom.plans.keys import as_text, plain_number, ref
 from fathom.plans.ordering import bracket_ends, narrowed_quantiles
+from fathom.plans import storage
 from fathom.plans.parallel import spread_small
 from fathom.plans.storage import materialise, materialise_measured
 
@@ -685,10 +686,15 @@ def profile_table(
     df: DataFrame,
     parse_failures: Column | None = None,
 ) -> Profile:
-    """Profile every column and the table; the small results are written once."""
+    """Profile every column and the table.
+
+    The small results are written once; tables they came from are deleted then.
+    """
+    place = storage.mark()
     columns = materialise(column_profiles(df), "profile")
     duplicates = no_duplicates(columns)
     if duplicates is None:
         duplicates = duplicate_row_count(df)
     dataset = materialise(dataset_quality(columns, duplicates, parse_failures), "quality")
+    storage.discard_since(df.sparkSession, place, columns, dataset)
     return Profile(columns, dataset, quality_findings(dataset))

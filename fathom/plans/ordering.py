@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fathom.functions.statistics import division_up, whole_division
+from fathom.plans.keys import ref
 from fathom.plans.storage import materialise, materialise_measured
 
 # A range partition holds about this many distinct rows: the number of ranges follows
@@ -81,6 +84,30 @@ def spread_positions(
     )
 
 
+def page_rows(df: DataFrame, order: Sequence[str], limit: int, offset: int = 0) -> DataFrame:
+    """Rows ``offset`` to ``offset + limit`` by ``order``, missing values last.
+
+    A later page is found by the positions of counted keys: its keys, at most ``limit``,
+    select its rows, so no task passes over the rows of the pages before. Rows that are
+    alike in ``order`` have no order among themselves.
+    """
+    keys = [ref(name).asc_nulls_last() for name in order]
+    if offset <= 0:
+        return df.orderBy(*keys).limit(limit)
+    parts = [part for i in range(len(order)) for part in (f"_missing_{i}", f"_key_{i}")]
+    values = [value for name in order for value in (ref(name).isNull(), ref(name))]
+    keyed = df.select(*[value.alias(part) for value, part in zip(values, parts)])
+    ranked = positions(counted(keyed, *parts), *parts)
+    on_page = (F.col("before") < offset + limit) & (F.col("before") + F.col("n") > offset)
+    wanted = materialise(ranked.where(on_page).select(*parts, "before"), "page")
+    start = wanted.agg(F.min("before")).first()[0]
+    if start is None or limit <= 0:
+        return df.limit(0)
+    same = [ref(name).eqNullSafe(wanted[f"_key_{i}"]) for i, name in enumerate(order)]
+    rows = df.join(F.broadcast(wanted), functools.reduce(operator.and_, same), "left_semi")
+    return rows.orderBy(*keys).offset(offset - start).limit(limit)
+
+
 def bracket_ends(value: str | Column, probabilities: Sequence[float]) -> Column:
     """Approximate percentiles just below and just above every probability."""
     ends = [end for p in probabilities for end in (max(p - MARGIN, 0.0), min(p + MARGIN, 1.0))]

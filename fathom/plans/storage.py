@@ -25,9 +25,39 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+# Tables this process has written and not deleted, in order.
+_written: list[str] = []
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A path in the shared folder that no other run uses."""
-    return f"{shared_folder(spark)}/fathom-{label}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/fathom-{label}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
+def mark() -> int:
+    """A place in the list of written tables, for :func:`discard_since`."""
+    return len(_written)
+
+
+def discard_since(spark: SparkSession, place: int, *keep: DataFrame) -> None:
+    """Delete the tables written since ``place``, but those that ``keep`` was materialised to.
+
+    For tables nothing reads any more: whatever is still lazy over them must be in ``keep``.
+    """
+    kept = {getattr(df, "_scratch", None) for df in keep}
+    gone = [path for path in _written[place:] if path not in kept]
+    _written[place:] = [path for path in _written[place:] if path in kept]
+    for path in gone:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        files.delete(target, True)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete every intermediate table of this process; results not yet collected are lost."""
+    discard_since(spark, 0)
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
@@ -38,7 +68,9 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     """
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    stored = df.sparkSession.read.schema(df.schema).parquet(path)
+    stored._scratch = path
+    return stored
 
 
 def materialise_measured(

@@ -85,3 +85,13 @@ def test_every_nth_row_in_order(skewed, range_rows):
     want = skewed.toPandas().sort_values(["k", "v"]).iloc[::7]
     assert list(got["at"]) == list(range(0, 30_000, 7))
     assert list(got["v"]) == list(want["v"])
+
+
+@pytest.mark.parametrize(("limit", "offset"), [(7, 0), (7, 1), (40, 93), (500, 130), (5, 200), (5, 900), (0, 5)])
+def test_pages_are_slices_of_the_sorted_rows(spark, limit, offset):
+    df = spark.range(200).select(
+        F.when(F.col("id") % 9 != 0, F.col("id") % 13).alias("k"), F.col("id"), F.lit("x").alias("other")
+    ).repartition(7)
+    whole = sorted(([tuple(r) for r in df.collect()]), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    got = [tuple(r) for r in ordering.page_rows(df, ["k", "id"], limit, offset).collect()]
+    assert got == whole[offset : offset + limit]

@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from fathom.operators import corpus_profile, corpus_reduce, findings, reduce, steps
+from fathom.operators import corpus_profile, corpus_reduce, findings, profile, reduce, steps
 from fathom.plans import corpus_queries, ordering, storage
 
 FOLDER = "/root/testdata/sf0.001"
@@ -87,3 +87,12 @@ def test_intermediate_tables_lie_in_the_named_folder(spark):
     assert path.startswith(storage.shared_folder(spark)) and path != storage.scratch_path(spark, "x")
     kept = storage.materialise(spark.range(5).withColumn("x", F.rand(1)), "x")
     assert kept.collect() == kept.collect()
+
+
+def test_a_profile_leaves_only_its_results_behind(spark, table):
+    place = storage.mark()
+    result = profile.profile_table(table("orders"))
+    assert len(storage._written[place:]) == 2
+    assert result.columns.count() == 6 and result.dataset.count() == 1
+    storage.discard_since(spark, place)
+    assert len(storage._written) == place

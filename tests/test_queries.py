@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import importlib.util
 import os
+import re
 
 import duckdb
 import pytest
@@ -28,7 +29,9 @@ def views():
 @pytest.mark.parametrize("name", sorted(queries()))
 def test_query_matches_sql(spark, views, name):
     verdict, _ = check.compare(spark, views, FOLDER, name, queries()[name], oracle_sql().get(name))
-    assert verdict.startswith(("ok", "rows")), verdict
+    # Only the optional corpus operators may come without SQL; their own tests hold them.
+    optional = re.match(r"op\d+_|pipeline$", name) and name not in oracle_sql()
+    assert verdict.startswith("rows" if optional else "ok"), verdict
     assert " types " not in verdict, verdict
 
 
