@@ -7,11 +7,16 @@
    side's rarest values; only those lists are used. Common passages are frequent and
    drop out of the lists of all texts that also hold enough of their own.
 3. Each list first links its members to its most typical member (a star, linear in the
-   list). Lists whose members are then connected are done. After ``STARS`` rounds the
-   pairs of one list that are still apart are compared, which leaves no pair unseen.
-4. The union sketch of a pair estimates its similarity and drops pairs that cannot
+   list). Lists whose members are then connected are done. Of the others, those of up to
+   ``SMALL`` members compare the pairs that are still apart.
+4. Members of longer lists are described by how their full sets differ from the set of
+   the list's typical member. Two sets near each other differ from it alike, so they
+   share an element among the rarest of those differences, at a place that the sizes
+   bound; what the group has in common cancels out. Only such pairs are compared, which
+   loses no pair and does not list the pairs of a group.
+5. The union sketch of a pair estimates its similarity and drops pairs that cannot
    reach the threshold; the exact Jaccard of the full sets decides on all others.
-5. Links become components by star contraction.
+6. Links become components by star contraction.
 
 A pair of sets whose sketches are the sets is generated with certainty; for larger ones
 the chance to miss a pair at the threshold is below ``MISS``: it would have to share
@@ -35,11 +40,11 @@ from pyspark.sql import functions as F
 
 from fathom.llm.components import components
 from fathom.llm.shingles import shared, shingle_sets
-from fathom.plans.storage import materialise, materialise_measured
+from fathom.plans.storage import discard_since, mark, materialise
 
 SKETCH = 48
 MISS = 1e-8
-STARS = 3
+SMALL = 16
 
 
 def least_shared(percent: int, size: int = SKETCH) -> int:
@@ -145,7 +150,73 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(keep, "a long, b long")
 
 
-def near_links(docs: DataFrame, signatures: DataFrame, percent: int, size: int = SKETCH) -> DataFrame:
+def _differences(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """centre, node, n, size, value: the elements in which a node's set differs from its centre's."""
+    left = texts.select(F.col("node").alias("centre"), F.col("text").alias("text_c"))
+    right = texts.select("node", F.col("text").alias("text_n"))
+
+    def rows(batches):
+        for batch in batches:
+            ids = zip(batch.column("centre").to_pylist(), batch.column("node").to_pylist())
+            sets_c = shingle_sets(batch.column("text_c").to_pylist())
+            sets_n = shingle_sets(batch.column("text_n").to_pylist())
+            columns: list[list] = [[], [], [], [], []]
+            for (centre, node), one, other in zip(ids, sets_c, sets_n):
+                values = np.setxor1d(one, other, assume_unique=True)
+                for column, cell in zip(columns, (centre, node, len(other), len(values))):
+                    column.append(np.full(len(values), cell, dtype=np.int64))
+                columns[4].append(values)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(c) if c else [], pa.int64()) for c in columns],
+                names=["centre", "node", "n", "size", "value"],
+            )
+
+    joined = pairs.join(left, "centre").join(right, "node").select("centre", "node", "text_c", "text_n")
+    return joined.mapInArrow(rows, "centre long, node long, n long, size long, value long")
+
+
+def _alike_differences(pairs: DataFrame, texts: DataFrame, component_of: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of nodes of one centre whose differences from it can be alike enough.
+
+    Sets of sizes n and m reach the threshold only if they differ in at most
+    ``apart`` = (1 - t) / (1 + t) * (n + m) elements. Differences of sizes d and e then
+    share at least ``(d + e - apart) / 2``, which is 1 or more unless both nodes are linked
+    to the centre, and both have a shared element among their first d (or e) less that
+    number plus one, in any common order; here the rarest come first.
+    """
+    share = (100 - percent) / (100 + percent)
+    differing = materialise(_differences(pairs, texts), "differences")
+    frequent = differing.groupBy("centre", "value").agg(F.count(F.lit(1)).alias("frequency")).where("frequency > 1")
+    order = "partition by centre, node order by frequency, value"
+    widest = F.floor(share * (F.col("n") + F.col("n") * 100 / percent) + 1e-9) + 1
+    placed = (
+        differing.join(frequent, ["centre", "value"])
+        .withColumn("rank", F.expr(f"row_number() over ({order})"))
+        .withColumn("own", F.col("size") - F.expr("count(1) over (partition by centre, node)"))
+        .withColumn("place", F.col("own") + F.col("rank"))
+        .where(F.col("place") <= widest)
+        .join(component_of, "node")
+        .select("centre", "value", "node", "n", "size", "place", "component")
+    )
+    placed = materialise(placed, "placed-differences")
+    one = placed.select("centre", "value", *[F.col(c).alias(f"{c}_a") for c in ("node", "n", "size", "place", "component")])
+    two = placed.select("centre", "value", *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "size", "place", "component")])
+    apart = F.floor(share * (F.col("n_a") + F.col("n_b")) + 1e-9)
+    common = F.ceil((F.col("size_a") + F.col("size_b") - apart) / 2)
+    return (
+        one.join(two, ["centre", "value"])
+        .where(
+            (F.col("node_a") < F.col("node_b"))
+            & (F.col("component_a") != F.col("component_b"))
+            & (F.col("place_a") <= F.col("size_a") - common + 1)
+            & (F.col("place_b") <= F.col("size_b") - common + 1)
+            & _fits(F.col("n_a"), F.col("n_b"), percent)
+        )
+        .select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+    )
+
+
+def near_links(docs: DataFrame, signatures: DataFrame, percent: int, size: int = SKETCH, small: int = SMALL) -> DataFrame:
     """(node, component) of all linked sets but the least of each component.
 
     A node is the smallest doc_id with its set.
@@ -163,60 +234,51 @@ def near_links(docs: DataFrame, signatures: DataFrame, percent: int, size: int =
     texts = materialise(
         docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(known, "node").dropDuplicates(["node"]), "texts"
     )
-    members = lists.withColumn("component", F.col("node"))
-    links = seen = found = None
-    for step in range(STARS + 1):
-        apart = members.groupBy("value").agg(
-            F.min("component").alias("least"),
-            F.max("component").alias("most"),
-            F.max_by("component", F.struct("weight", "node")).alias("first_component"),
-        )
-        apart = materialise(apart.where("least <> most").select("value", "first_component"), "apart")
-        rest = members.join(apart, "value")
-        if step < STARS:
-            # The centre of a list: its most typical member, later one of another component.
-            if step:
-                rest = rest.where(F.col("component") != F.col("first_component"))
-            centres = materialise(
-                rest.groupBy("value").agg(
-                    F.max_by(F.struct(F.col("node").alias("centre"), F.col("n").alias("centre_n"), F.col("component").alias("centre_component")), F.struct("weight", "node")).alias("c")
-                ).select("value", "c.*"),
-                "centres",
-            )
-            pairs = members.join(centres, "value").where(
-                (F.col("component") != F.col("centre_component")) & _fits(F.col("n"), F.col("centre_n"), percent)
-            ).select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))
-        else:
-            one = rest.select("value", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("of_a"))
-            two = rest.select("value", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("of_b"))
-            pairs = one.join(two, "value").where(
-                (F.col("a") < F.col("b")) & (F.col("of_a") != F.col("of_b")) & _fits(F.col("n_a"), F.col("n_b"), percent)
-            )
-        pairs = pairs.select("a", "b").distinct()
-        if seen is not None:
-            pairs = pairs.join(seen, ["a", "b"], "left_anti")
-        candidates = materialise(_estimated(pairs, nodes, percent, size), "candidates")
-        verified = _verified(candidates, texts, percent)
-        links, measured = materialise_measured(verified if links is None else links.unionByName(verified), "links")
-        seen = candidates if seen is None else seen.unionByName(candidates)
-        if measured["rows"] == found and step < STARS:
-            continue
-        found = measured["rows"]
-        joined = components(links)
-        members = lists.join(joined.withColumnRenamed("component", "_c"), "node", "left").select(
-            "value", "node", "n", "weight", F.coalesce("_c", "node").alias("component")
-        )
-    return joined
+    centre = F.max_by(F.struct(F.col("node").alias("centre"), F.col("n").alias("centre_n")), F.struct("weight", "node"))
+    centres = lists.groupBy("value").agg(centre.alias("c"), F.count(F.lit(1)).alias("members"))
+    centres = materialise(centres.where("members > 1").select("value", "c.*", "members"), "centres")
+
+    def stars(of: DataFrame, keep) -> DataFrame:
+        pairs = lists.join(of, "value").where((F.col("node") != F.col("centre")) & keep)
+        return pairs.select("centre", "node").distinct()
+
+    ordered = [F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b")]
+    near = stars(centres, _fits(F.col("n"), F.col("centre_n"), percent)).select(*ordered).distinct()
+    seen = materialise(_estimated(near, nodes, percent, size), "candidates")
+    links = materialise(_verified(seen, texts, percent), "links")
+
+    # Lists that the stars have not joined to one component.
+    component_of = materialise(
+        known.join(components(links), "node", "left").select("node", F.coalesce("component", "node").alias("component")),
+        "node-components",
+    )
+    members = lists.join(component_of, "node")
+    ends = members.groupBy("value").agg(F.min("component").alias("least"), F.max("component").alias("most"))
+    open_lists = materialise(centres.join(ends.where("least <> most").select("value"), "value"), "open-lists")
+    rest = members.join(open_lists.where(F.col("members") <= small).select("value"), "value")
+    one = rest.select("value", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("of_a"))
+    two = rest.select("value", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("of_b"))
+    few = one.join(two, "value").where(
+        (F.col("a") < F.col("b")) & (F.col("of_a") != F.col("of_b")) & _fits(F.col("n_a"), F.col("n_b"), percent)
+    )
+    many = _alike_differences(
+        stars(open_lists.where(F.col("members") > small), F.lit(True)), texts, component_of, percent
+    )
+    pairs = few.select("a", "b").unionByName(many).distinct().join(seen, ["a", "b"], "left_anti")
+    later = _verified(materialise(_estimated(pairs, nodes, percent, size), "candidates"), texts, percent)
+    return components(materialise(links.unionByName(later), "links"))
 
 
-def near_components(docs: DataFrame, percent: int = 80, size: int = SKETCH) -> DataFrame:
+def near_components(docs: DataFrame, percent: int = 80, size: int = SKETCH, small: int = SMALL) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs``."""
+    place = mark()
     signatures = materialise(sketches(docs, size), "signatures")
-    joined = near_links(docs, signatures, percent, size)
+    joined = near_links(docs, signatures, percent, size, small)
     sets = signatures.where(F.col("n_shingles") > 0).groupBy("set_id").agg(F.min("doc_id").alias("node"))
     labels = materialise(
         sets.join(joined, "node", "left").select("set_id", F.coalesce("component", "node").alias("component_id")), "set-labels"
     )
+    discard_since(docs.sparkSession, place, signatures, labels)
     return (
         signatures.select("doc_id", "n_shingles", "set_id")
         .join(labels, "set_id", "left")
@@ -231,5 +293,7 @@ def near_components(docs: DataFrame, percent: int = 80, size: int = SKETCH) -> D
 
 def drop_near_copies(docs: DataFrame, percent: int = 80, size: int = SKETCH) -> DataFrame:
     """The rows of ``docs`` that stay, one document a component, with all their columns."""
+    place = mark()
     kept = materialise(near_components(docs, percent, size).where("kept").select(F.col("doc_id").alias("_kept")).distinct(), "kept")
+    discard_since(docs.sparkSession, place, kept)
     return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")

@@ -59,11 +59,11 @@ def corpus():
     return rows
 
 
-@pytest.mark.parametrize("percent", [85, 80])
-def test_components_match_brute_force(spark, percent):
+@pytest.mark.parametrize(("percent", "small"), [(85, near_dedup.SMALL), (80, near_dedup.SMALL), (85, 1), (80, 3)])
+def test_components_match_brute_force(spark, percent, small):
     rows = corpus()
     docs = spark.createDataFrame([Row(i, t, -1, "x") for i, t in rows], SCHEMA)
-    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_components(docs.repartition(5), percent).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_components(docs.repartition(5), percent, small=small).collect()}
     assert got == brute(rows, percent)
 
 
