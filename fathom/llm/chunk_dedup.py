@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 
 from fathom.llm.shingles import _constants
 from fathom.llm.spans import Hasher, cut_out, identified, later_occurrences, pack, repeated_within, text_groups
+from fathom.plans.storage import mark
 
 MEMORY = 16
 END_BITS = 5
@@ -88,4 +89,5 @@ def chunk_rows(docs: DataFrame) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, least: int = LEAST_RUN, *, texts: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row of ``docs``."""
-    return cut_out(docs, later_occurrences(chunk_rows(docs), "digest"), least, texts=texts)
+    since = mark()
+    return cut_out(docs, later_occurrences(chunk_rows(docs), "digest"), least, since=since, texts=texts)

@@ -88,4 +88,104 @@ EXACT_COPIES_SQL = r"""
     SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, text_sha256 FROM marked
 """
 
-ORACLES = {"op10_exact_copies": EXACT_COPIES_SQL}
+REPEATED_STRINGS_SQL = """
+    WITH texts AS (
+        SELECT doc_id, hex(encode(coalesce(text, ''))) AS digits, CAST(len(digits) / 2 AS BIGINT) AS n_bytes FROM documents
+    ), strings AS (
+        SELECT doc_id, place, md5(substr(digits, 2 * place + 1, 200)) AS string
+        FROM (SELECT doc_id, digits, unnest(range(0, n_bytes - 99)) AS place FROM texts)
+    ), repeated AS (
+        SELECT doc_id, place FROM strings QUALIFY row_number() OVER (PARTITION BY string ORDER BY doc_id, place) > 1
+    ), fresh AS (
+        SELECT doc_id, place, CASE WHEN place <= lag(place) OVER (PARTITION BY doc_id ORDER BY place) + 100 THEN 0 ELSE 1 END AS opens
+        FROM repeated
+    ), numbered AS (
+        SELECT doc_id, place, sum(opens) OVER (PARTITION BY doc_id ORDER BY place) AS run FROM fresh
+    ), spans AS (
+        SELECT doc_id, min(place) AS low, max(place) + 100 AS high FROM numbered GROUP BY doc_id, run
+    ), pieces AS (
+        SELECT doc_id, low, high, lag(high, 1, 0) OVER (PARTITION BY doc_id ORDER BY low) AS since FROM spans
+    ), cut AS (
+        SELECT p.doc_id, sum(high - low) AS n_removed, count(*) AS n_spans, max(high) AS last_high,
+               string_agg(substr(digits, 2 * since + 1, 2 * (low - since)), '' ORDER BY low) AS kept
+        FROM pieces p JOIN texts t ON p.doc_id = t.doc_id GROUP BY p.doc_id
+    )
+    SELECT t.doc_id, n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+           sha256(unhex(coalesce(kept, '') || substr(digits, 2 * coalesce(last_high, 0) + 1))) AS kept_sha256
+    FROM texts t LEFT JOIN cut c ON t.doc_id = c.doc_id
+"""
+
+NEAR_COPIES_SQL = r"""
+    WITH RECURSIVE words AS (
+        SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''),
+               'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
+        FROM documents
+    ), shingles AS (
+        SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+               ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS shingle
+        FROM words
+    ), sizes AS (
+        SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+    ), shared AS (
+        SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k
+        FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL
+    ), links AS (
+        SELECT x, y FROM shared JOIN sizes a ON a.doc_id = x JOIN sizes b ON b.doc_id = y
+        WHERE 100 * k >= 85 * (a.n + b.n - k)
+    ), both_ways AS (
+        SELECT x, y FROM links UNION ALL SELECT y, x FROM links
+    ), reach(doc_id, other) AS (
+        SELECT doc_id, doc_id FROM documents
+        UNION
+        SELECT r.doc_id, b.y FROM reach r JOIN both_ways b ON r.other = b.x
+    ), least AS (
+        SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id
+    )
+    SELECT l.doc_id, coalesce(n, 0) AS n_shingles, component_id, l.doc_id = component_id AS kept
+    FROM least l LEFT JOIN sizes s ON l.doc_id = s.doc_id
+"""
+
+_KEYS = ", ".join(map(str, sharding.round_keys(sharding.SEED)))
+FEISTEL_SQL = f"""
+    WITH RECURSIVE steps(i, c, k) AS (
+        SELECT CAST(unnest(range(256)) AS BIGINT), CAST(unnest(range(256)) AS BIGINT), 0
+        UNION ALL
+        SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM steps WHERE k < 8
+    ), crc_table AS (
+        SELECT list(c ORDER BY i) AS t FROM steps WHERE k = 8
+    ), sized AS (
+        SELECT doc_id, strlen(coalesce(text, '')) + 8 AS size, hex(encode(coalesce(text, ''))) AS digits FROM documents
+    ), checked AS (
+        SELECT doc_id, size, xor(list_reduce(list_prepend(4294967295, list_transform(range(0, size - 8),
+               lambda i: CAST('0x' || substr(digits, 2 * i + 1, 2) AS BIGINT))),
+               lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)])), 4294967295) AS text_crc32
+        FROM sized, crc_table
+    ), numbered AS (
+        SELECT *, row_number() OVER (ORDER BY doc_id, size, text_crc32) - 1 AS row_number, count(*) OVER () AS n FROM checked
+    ), walk(row_number, n, bits, x, round) AS (
+        SELECT row_number, n, CAST(ceil(len(bin(greatest(n - 1, 1))) / 2) AS UBIGINT), CAST(row_number AS UBIGINT), 0 FROM numbered
+        UNION ALL
+        SELECT row_number, n, bits, ((x & mask) << bits) | xor(x >> bits, xor(v, v >> 32) & mask), 1 + r
+        FROM (
+            SELECT *, CAST(CAST(xor(u, u >> 32) AS UHUGEINT) * {0xD6E8FEB86659FD93}::UHUGEINT % 18446744073709551616::UHUGEINT AS UBIGINT) AS v
+            FROM (
+                SELECT *, round % 4 AS r, ((1::UBIGINT << bits) - 1)::UBIGINT AS mask,
+                       CAST((CAST(x & ((1::UBIGINT << bits) - 1)::UBIGINT AS UHUGEINT) + CAST([{_KEYS}][1 + round % 4] AS UHUGEINT))
+                            * {0x9E3779B97F4A7C15}::UHUGEINT % 18446744073709551616::UHUGEINT AS UBIGINT) AS u
+                FROM walk WHERE NOT (round = 4 AND x < n)
+            )
+        )
+    ), placed AS (
+        SELECT row_number, CAST(x AS BIGINT) AS place FROM walk WHERE round = 4 AND x < n
+    )
+    SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(place % {sharding.SHARDS} AS INTEGER) AS shard,
+           place // {sharding.SHARDS} AS slot, CAST(NULL AS INTEGER) AS grown_shard, row_number
+    FROM numbered JOIN placed USING (row_number)
+"""
+
+ORACLES = {
+    "op2_repeated_strings": REPEATED_STRINGS_SQL,
+    "op4_feistel_shards": FEISTEL_SQL,
+    "op6_near_copies": NEAR_COPIES_SQL,
+    "op10_exact_copies": EXACT_COPIES_SQL,
+}

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fathom.llm.shingles import Powers, _constants, mixed
-from fathom.plans.storage import materialise
+from fathom.plans.storage import discard_since, materialise
 
 NO_ID = -(1 << 63)
 SIZE_BITS, AT_BITS = 13, 36
@@ -132,13 +132,15 @@ def merged(at: np.ndarray, size: np.ndarray, least: int) -> tuple[np.ndarray, np
     return starts[long], ends[long]
 
 
-def cut_out(docs: DataFrame, spans: DataFrame, least: int, *, texts: bool = False) -> DataFrame:
+def cut_out(docs: DataFrame, spans: DataFrame, least: int, *, since: int, texts: bool = False) -> DataFrame:
     """Every document without the bytes its spans (doc, place) cover.
 
     Runs shorter than ``least`` stay. The result has doc_id, n_bytes, n_removed, n_spans
-    and kept_sha256, and the kept bytes as ``kept`` where ``texts`` is set.
+    and kept_sha256, and the kept bytes as ``kept`` where ``texts`` is set. Tables written
+    after ``since``, which led to the spans, are deleted when these are written.
     """
     per_doc = materialise(spans.groupBy("doc").agg(F.collect_list("place").alias("places")), "spans")
+    discard_since(docs.sparkSession, since, per_doc)
     joined = packed_texts(docs).join(per_doc, "doc", "left").select("doc_id", "variant", "data", "places")
 
     def cut(batches):

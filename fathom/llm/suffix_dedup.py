@@ -43,7 +43,7 @@ from fathom.llm.spans import (
     text_groups,
     unpack,
 )
-from fathom.plans.storage import materialise
+from fathom.plans.storage import mark, materialise
 
 LENGTH = 100
 FIRST = 32
@@ -167,4 +167,5 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, first: int = FIRST) ->
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, first: int = FIRST, *, texts: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row of ``docs``."""
-    return cut_out(docs, repeated_spans(docs, length, first), 1, texts=texts)
+    since = mark()
+    return cut_out(docs, repeated_spans(docs, length, first), 1, since=since, texts=texts)
