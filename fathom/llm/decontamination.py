@@ -219,8 +219,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, share: float = SHARE, near_win
     if known.select("hash").distinct().count() <= near_windows:
         only = np.sort(np.array([r.hash for r in known.select("hash").distinct().collect()], dtype=np.int64))
     matched = document_windows(docs, only).join(known, "hash")
-    # Without slots a match needs no reading: count those windows in Spark, and judge
-    # the others per document and item, whose rows a document's length bounds.
+    # A group holds the windows of one item in one document: its size follows the
+    # document's length, and pairs that cannot reach the share are gone before.
     keys = ["row", "doc_id", "text_hash", "item_id", "n_windows"]
     open_pairs = matched.groupBy(*keys).agg(
         F.count_distinct("place").alias("found"), F.collect_set(F.struct("place", "item_slots", "slots")).alias("pairs")
