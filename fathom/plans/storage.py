@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -55,6 +56,16 @@ def discard_since(spark: SparkSession, place: int, *keep: DataFrame) -> None:
         files.delete(target, True)
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that nothing refers to any more.
+
+    Spark deletes them when the driver has collected the plans as garbage, which a large
+    heap may put off while the disks of the executors fill.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def clear(spark: SparkSession) -> None:
     """Delete every intermediate table of this process; results not yet collected are lost."""
     discard_since(spark, 0)
