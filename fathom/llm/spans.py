@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fathom.llm.shingles import Powers, _constants, mixed
-from fathom.plans.storage import discard_since, materialise
+from fathom.plans.storage import discard_since, materialise, release_shuffles
 
 NO_ID = -(1 << 63)
 SIZE_BITS, AT_BITS = 13, 36
@@ -141,6 +141,7 @@ def cut_out(docs: DataFrame, spans: DataFrame, least: int, *, since: int, texts:
     """
     per_doc = materialise(spans.groupBy("doc").agg(F.collect_list("place").alias("places")), "spans")
     discard_since(docs.sparkSession, since, per_doc)
+    release_shuffles(docs.sparkSession)
     joined = packed_texts(docs).join(per_doc, "doc", "left").select("doc_id", "variant", "data", "places")
 
     def cut(batches):

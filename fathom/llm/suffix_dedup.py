@@ -10,11 +10,14 @@ ranked, met by Spark's shuffles), and rounds rank ever longer contexts:
 2. The whole run of strings a position stands for (``LENGTH`` bytes and more): all but
    the first document with an equal run lose every string of the run at once.
 3. Positions that are first of their run, while the same ``FIRST`` bytes also occur in
-   other runs, may hold strings seen in those: their strings of ``LENGTH`` bytes are
+   other runs, may hold strings seen in those. Every such string covers the position
+   with half of the remaining bytes before it, or with half of them after it: of these
+   two contexts (66 bytes), unique ones leave.
+4. What remains are the ends of repeated passages: their strings of ``LENGTH`` bytes are
    ranked one by one, which passes the threshold and ends the doubling.
 
 An equal earlier string has the same position in a run with the same first bytes, and
-the first of that run is ranked in round 3, so no string is missed. Every byte covered
+the first of that run reaches round 3, so no string is missed. Every byte covered
 by a repeated string is removed.
 
 Defined cases: null and empty texts have no bytes; doc_id orders documents and null comes
@@ -27,7 +30,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fathom.llm.spans import (
@@ -43,10 +46,11 @@ from fathom.llm.spans import (
     text_groups,
     unpack,
 )
-from fathom.plans.storage import mark, materialise
+from fathom.plans.storage import mark, materialise, release_shuffles
 
 LENGTH = 100
 FIRST = 32
+HALF_BITS, OFFSET_BITS = 27, 8
 INDEX = np.uint64((1 << 24) - 1)
 
 
@@ -60,13 +64,14 @@ def _window_least(keys: np.ndarray, width: int) -> np.ndarray:
 
 
 def runs(data: np.ndarray, ends: np.ndarray, length: int, first: int):
-    """Runs of strings with one position: first string, last string, names of both contexts.
+    """Runs of strings with one position: first string, last string, and three names: of the
+    ``first`` bytes, of the run, and the packed names of the contexts before and after.
 
     ``ends`` are the ends of the texts that lie side by side in ``data``.
     """
     none = np.empty(0, dtype=np.int64)
     if len(data) < length:
-        return none, none, none.view(np.uint64), none.view(np.uint64)
+        return none, none, none.view(np.uint64), none.view(np.uint64), none
     hasher = Hasher(data)
     at = np.arange(len(data) - first + 1)
     names = hasher.of(at, at + first)
@@ -74,12 +79,22 @@ def runs(data: np.ndarray, ends: np.ndarray, length: int, first: int):
     strings = np.arange(len(data) - length + 1)
     strings = strings[strings + length <= ends[np.searchsorted(ends, strings, side="right")]]
     if not len(strings):
-        return none, none, none.view(np.uint64), none.view(np.uint64)
+        return none, none, none.view(np.uint64), none.view(np.uint64), none
     chosen = positions[strings]
     fresh = np.concatenate([[True], (chosen[1:] != chosen[:-1]) | (strings[1:] != strings[:-1] + 1)])
     low = strings[fresh]
     high = strings[np.concatenate([np.flatnonzero(fresh)[1:] - 1, [len(strings) - 1]])]
-    return low, high, names[chosen[fresh]], hasher.of(low, high + length)
+    at, half = chosen[fresh], (length - first) // 2
+    before, after = at - low >= half, at - high <= half
+    halves = at - low
+    halves[before] |= _short(hasher.of(at[before] - half, at[before] + first)) << (HALF_BITS + OFFSET_BITS)
+    halves[after] |= _short(hasher.of(at[after], at[after] + length - half)) << OFFSET_BITS
+    return low, high, names[at], hasher.of(low, high + length), halves
+
+
+def _short(names: np.ndarray) -> np.ndarray:
+    """Names cut to ``HALF_BITS`` bits but never 0, which stands for no context."""
+    return np.maximum((names >> np.uint64(64 - HALF_BITS)).astype(np.int64), 1)
 
 
 def _text_runs(texts: list[bytes], group: list[int], length: int, first: int):
@@ -88,34 +103,40 @@ def _text_runs(texts: list[bytes], group: list[int], length: int, first: int):
         text, parts = np.frombuffer(texts[group[0]], dtype=np.uint8), []
         for start in range(0, len(text) - length + 1, SLICE_BYTES):
             piece = text[start : start + SLICE_BYTES + length - 1]
-            low, high, names, contexts = runs(piece, np.array([len(piece)]), length, first)
-            parts.append((np.full(len(low), group[0]), low + start, high + start, names, contexts))
+            low, high, *names = runs(piece, np.array([len(piece)]), length, first)
+            parts.append((np.full(len(low), group[0]), low + start, high + start, *names))
         return map(np.concatenate, zip(*parts))
     data = np.frombuffer(b"".join(texts[i] for i in group), dtype=np.uint8)
     ends = np.cumsum([len(texts[i]) for i in group])
-    low, high, names, contexts = runs(data, ends, length, first)
+    low, high, *names = runs(data, ends, length, first)
     place = np.searchsorted(ends, low, side="right")
     base = np.concatenate([[0], ends[:-1]])[place] if len(low) else low
-    return np.array(group)[place] if len(low) else low, low - base, high - base, names, contexts
+    return np.array(group)[place] if len(low) else low, low - base, high - base, *names
 
 
 def run_rows(docs: DataFrame, length: int, first: int) -> DataFrame:
-    """name, context, doc, place of every run."""
+    """name, context, halves, doc, place of every run."""
 
     def rows(batches):
         for batch in batches:
             docs_of, variants = batch.column(1).to_numpy(), batch.column(2).to_numpy()
             texts = [t.encode("utf-8", "surrogatepass") for t in batch.column(3).to_pylist()]
             for group in text_groups(texts):
-                owner, low, high, names, contexts = _text_runs(texts, group, length, first)
+                owner, low, high, names, contexts, halves = _text_runs(texts, group, length, first)
                 if len(low):
                     place = pack(variants[owner], low, high - low + length, repeated_within(owner, contexts, low))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(names.view(np.int64)), pa.array(contexts.view(np.int64)), pa.array(docs_of[owner]), pa.array(place)],
-                        names=["name", "context", "doc", "place"],
+                        [
+                            pa.array(names.view(np.int64)),
+                            pa.array(contexts.view(np.int64)),
+                            pa.array(halves),
+                            pa.array(docs_of[owner]),
+                            pa.array(place),
+                        ],
+                        names=["name", "context", "halves", "doc", "place"],
                     )
 
-    return identified(docs).mapInArrow(rows, "name long, context long, doc long, place long")
+    return identified(docs).mapInArrow(rows, "name long, context long, halves long, doc long, place long")
 
 
 def string_rows(docs: DataFrame, chosen: DataFrame, length: int) -> DataFrame:
@@ -146,11 +167,34 @@ def string_rows(docs: DataFrame, chosen: DataFrame, length: int) -> DataFrame:
     return joined.mapInArrow(rows, "string long, doc long, place long")
 
 
+def passage_ends(heads: DataFrame, length: int, first: int) -> DataFrame:
+    """doc, place of the parts of ``heads`` whose context before or after the position recurs."""
+    half = (length - first) // 2
+    mask = (1 << HALF_BITS) - 1
+    offset = F.col("halves").bitwiseAND(F.lit((1 << OFFSET_BITS) - 1))
+    size = F.col("place").bitwiseAND(F.lit((1 << SIZE_BITS) - 1))
+    start = F.shiftright("place", SIZE_BITS + 1)
+    # Strings up to the split hold the context before the position, those from it on the one after.
+    split = F.least(F.greatest(offset - half, F.lit(0)), size - length)
+
+    def part(name: str, bits: int, low: Column, high: Column) -> Column:
+        place = F.shiftleft(start + low, SIZE_BITS + 1).bitwiseOR(high - low + length)
+        return F.struct(F.lit(name).alias("side"), F.shiftright("halves", bits).bitwiseAND(F.lit(mask)).alias("half"), place.alias("place"))
+
+    sides = F.array(
+        part("before", HALF_BITS + OFFSET_BITS, F.lit(0), split), part("after", OFFSET_BITS, split, size - length)
+    )
+    halves = materialise(heads.select("name", "doc", F.inline(sides)).where("half <> 0"), "halves")
+    recurring = halves.groupBy("name", "side", "half").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return halves.join(materialise(recurring.drop("n"), "recurring-halves"), ["name", "side", "half"]).select("doc", "place")
+
+
 def repeated_spans(docs: DataFrame, length: int = LENGTH, first: int = FIRST) -> DataFrame:
     """doc, place of spans whose bytes are all covered by repeated strings."""
     ranked = run_rows(docs, length, first)
     frequent = ranked.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("name")
     left = materialise(ranked.join(materialise(frequent, "names"), "name"), "runs")
+    release_shuffles(docs.sparkSession)
     whole = materialise(later_occurrences(left.select("context", "doc", "place"), "context"), "whole-runs")
     mixed = left.groupBy("name").agg(F.min("context").alias("least"), F.max("context").alias("most")).where("least <> most")
     firsts = left.groupBy("context").agg(F.min("doc").alias("first_doc"))
@@ -159,9 +203,10 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, first: int = FIRST) ->
         .where(F.col("place").bitwiseAND(F.lit(1 << SIZE_BITS)) == 0)
         .join(materialise(firsts, "firsts"), "context")
         .where("doc = first_doc")
-        .select("doc", "place")
+        .select("name", "halves", "doc", "place")
     )
-    strings = materialise(string_rows(docs, heads, length), "strings")
+    strings = materialise(string_rows(docs, passage_ends(heads, length, first), length), "strings")
+    release_shuffles(docs.sparkSession)
     return whole.unionByName(later_occurrences(strings, "string"))
 
 
