@@ -4,8 +4,9 @@ Texts become sequences of words without case and outer punctuation; numbers, nam
 (capitalised words inside a sentence) and units (after a number) become typed
 placeholders, their values slots. Windows of five template words are joined by hash.
 A document holds an item where at least ``SHARE`` of the item's windows occur with
-consistent slots: each slot value of the item stands for one value in the document and
-the other way round. So copies are found as well as questions with other parameters.
+consistent slots: each slot value of the item stands for one value in the document; two
+may stand for the same (3 and 5 both asked as 4), one may not stand for two. So copies
+are found as well as questions with other parameters.
 
 Hashes of the item windows go to all tasks when a count has shown that they are few
 (``NEAR_WINDOWS``); they only spare sending windows that no item has. Beyond that bound
@@ -196,18 +197,15 @@ def item_windows(items: DataFrame) -> DataFrame:
 
 
 def consistent(pairs: list[tuple[int, list[str], list[str]]]) -> tuple[set[int], bool]:
-    """Places of the item whose slots agree with the most frequent one-to-one reading.
+    """Places of the item whose slots agree with the most frequent reading of its values.
 
     ``pairs`` holds (place, item slots, document slots); the flag tells whether some
     slot of those places differs from the item's.
     """
     votes = Counter((i, d) for _, item, doc in pairs for i, d in zip(item, doc) if i)
     reading: dict[str, str] = {}
-    taken: set[str] = set()
     for (item, doc), _ in sorted(votes.items(), key=lambda v: (-v[1], v[0][0] != v[0][1], v[0])):
-        if item not in reading and doc not in taken:
-            reading[item] = doc
-            taken.add(doc)
+        reading.setdefault(item, doc)
     agreed = [(p, i, d) for p, i, d in pairs if all(reading[a] == b for a, b in zip(i, d) if a)]
     return {p for p, _, _ in agreed}, any(i != d for _, i, d in agreed)
 

@@ -77,3 +77,13 @@ def test_real_tables_against_shared_word_runs(spark):
     }
     got = {(r.doc_id, r.item_id) for r in decon.leaks(docs, items).collect()}
     assert want <= got and len(got) <= 1.2 * len(want)
+
+
+def test_two_item_values_may_share_a_document_value(spark):
+    item = (
+        "A baker fills 3 trays with warm rolls before the shop opens and sells 5 bags to hungry people "
+        "while the other rolls wait on the wooden shelf near the old oven"
+    )
+    docs = docs_of(spark, [(1, item.replace("3", "4").replace("5", "4")), (2, item)])
+    got = {r.doc_id: (r.n_matched == r.n_windows, r.reparameterised) for r in decon.leaks(docs, items_of(spark, [(1, item)])).collect()}
+    assert got == {1: (True, True), 2: (True, False)}
