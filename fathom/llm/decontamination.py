@@ -3,8 +3,9 @@
 Texts become sequences of words without case and outer punctuation; numbers, names
 (capitalised words inside a sentence) and units (after a number) become typed
 placeholders, their values slots. Windows of five template words are joined by hash.
-A document holds an item where at least ``SHARE`` of the item's windows occur with
-consistent slots: each slot value of the item stands for one value in the document; two
+A document holds an item where at least ``SHARE`` of the item's windows occur under one
+reading of its slots, taken from the matches of one occurrence (windows whose distances
+from their places in the item differ by less than the item is long) before those elsewhere: each slot value of the item stands for one value in the document; two
 may stand for the same (3 and 5 both asked as 4), one may not stand for two. So copies
 are found as well as questions with other parameters.
 
@@ -26,6 +27,7 @@ import hashlib
 import re
 from array import array
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -196,18 +198,68 @@ def item_windows(items: DataFrame) -> DataFrame:
     return items.select(F.col("item_id").cast("long"), "text").mapInArrow(rows, schema)
 
 
-def consistent(pairs: list[tuple[int, list[str], list[str]]]) -> tuple[set[int], bool]:
-    """Places of the item whose slots agree with the most frequent reading of its values.
-
-    ``pairs`` holds (place, item slots, document slots); the flag tells whether some
-    slot of those places differs from the item's.
-    """
-    votes = Counter((i, d) for _, item, doc in pairs for i, d in zip(item, doc) if i)
+def _ranked(votes: Counter) -> dict[str, str]:
+    """The document value with most votes of each item value, its own value first on ties."""
     reading: dict[str, str] = {}
     for (item, doc), _ in sorted(votes.items(), key=lambda v: (-v[1], v[0][0] != v[0][1], v[0])):
         reading.setdefault(item, doc)
-    agreed = [(p, i, d) for p, i, d in pairs if all(reading[a] == b for a, b in zip(i, d) if a)]
-    return {p for p, _, _ in agreed}, any(i != d for _, i, d in agreed)
+    return reading
+
+
+def _readings(pairs: list[tuple[int, int, list[str], list[str]]]) -> Iterator[dict[str, str]]:
+    """Document values of the item's slot values: its own, those of each occurrence, the most frequent.
+
+    Windows of one alignment (``at`` less ``place``) vote first, then those of alignments up to
+    an item's length further, where inserted words may have moved them, then all others.
+    """
+    votes: dict[int, list[tuple[str, str]]] = {}
+    for place, at, item, doc in pairs:
+        votes.setdefault(at - place, []).extend((i, d) for i, d in zip(item, doc) if i)
+    whole = _ranked(Counter(v for one in votes.values() for v in one))
+    yield {i: i for i in whole}
+    yield whole
+    aligned = sorted(votes)
+    reach = max(p[0] for p in pairs)
+    near: Counter = Counter()
+    end = 0
+    for start in aligned:
+        while end < len(aligned) and aligned[end] <= start + reach:
+            near.update(votes[aligned[end]])
+            end += 1
+        yield whole | _ranked(near) | _ranked(Counter(votes[start]))
+        near.subtract(votes[start])
+        near = +near
+
+
+def consistent(pairs: list[tuple[int, int, list[str], list[str]]]) -> tuple[int, bool]:
+    """How many places of the item agree with the reading that most places agree with.
+
+    ``pairs`` holds (place, at, item slots, document slots); the flag tells whether some
+    slot of those places differs from the item's.
+    """
+    items: dict[int, set[tuple[str, ...]]] = {}
+    found: dict[tuple[int, tuple[str, ...]], set[tuple[str, ...]]] = {}
+    for place, _, item, doc in pairs:
+        items.setdefault(place, set()).add(tuple(item))
+        found.setdefault((place, tuple(item)), set()).add(tuple(doc))
+    most, differs, tried = 0, False, set()
+    for reading in _readings(pairs):
+        key = tuple(sorted(reading.items()))
+        if key in tried:
+            continue
+        tried.add(key)
+        agreed, other = 0, False
+        for place, kinds in items.items():
+            # A place has several slot lists only if items share an item_id.
+            meant = [(item, tuple(reading[i] if i else "" for i in item)) for item in kinds]
+            held = [(item, doc) for item, doc in meant if doc in found[place, item]]
+            agreed += bool(held)
+            other |= any(item != doc for item, doc in held)
+        if agreed > most:
+            most, differs = agreed, other
+        if most == len(items):
+            break
+    return most, differs
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, share: float = SHARE, near_windows: int = NEAR_WINDOWS) -> DataFrame:
@@ -221,15 +273,15 @@ def find_leaks(docs: DataFrame, items: DataFrame, share: float = SHARE, near_win
     # document's length, and pairs that cannot reach the share are gone before.
     keys = ["row", "doc_id", "text_hash", "item_id", "n_windows"]
     open_pairs = matched.groupBy(*keys).agg(
-        F.count_distinct("place").alias("found"), F.collect_set(F.struct("place", "item_slots", "slots")).alias("pairs")
+        F.count_distinct("place").alias("found"), F.collect_set(F.struct("place", "at", "item_slots", "slots")).alias("pairs")
     ).where(F.col("found") >= F.col("n_windows") * share)
 
     def judge(frames):
         for frame in frames:
             agreed, other = [], []
             for pairs in frame["pairs"]:
-                places, differs = consistent([(p["place"], list(p["item_slots"]), list(p["slots"])) for p in pairs])
-                agreed.append(len(places))
+                places, differs = consistent([(p["place"], p["at"], list(p["item_slots"]), list(p["slots"])) for p in pairs])
+                agreed.append(places)
                 other.append(differs)
             yield pd.DataFrame(
                 {

@@ -87,3 +87,35 @@ def test_two_item_values_may_share_a_document_value(spark):
     docs = docs_of(spark, [(1, item.replace("3", "4").replace("5", "4")), (2, item)])
     got = {r.doc_id: (r.n_matched == r.n_windows, r.reparameterised) for r in decon.leaks(docs, items_of(spark, [(1, item)])).collect()}
     assert got == {1: (True, True), 2: (True, False)}
+
+
+SUM = (
+    "Each of the 45 green boxes holds 12 apples that a farmer picked before sunrise and carried slowly "
+    "down to the market"
+)
+
+
+def test_copies_with_different_parameters_are_read_apart(spark):
+    one, two = SUM.replace("45", "80").replace("12", "7"), SUM.replace("45", "30").replace("12", "9")
+    swapped = SUM.replace("45", "30").replace("12", "7")
+    inserted = one.replace("that a", "that indeed a")
+    docs = docs_of(
+        spark,
+        [(1, f"{one}. {two}."), (2, f"{one}. {two}. {swapped}."), (3, f"{two} so what. {inserted}. {SUM}."), (4, one), (5, "80 and 7. " + SUM)],
+    )
+    got = {r.doc_id: (r.n_windows - r.n_matched, r.reparameterised) for r in decon.leaks(docs, items_of(spark, [(1, SUM)])).collect()}
+    assert got == {1: (0, True), 2: (0, True), 3: (0, False), 4: (0, True), 5: (0, False)}
+
+
+def test_a_reading_spans_inserted_words_and_parts():
+    slots = lambda *values: ["", *values]
+    item = [slots("<number>1", "<number>2"), slots("<number>2", "<number>3"), slots("<number>3", "<number>4")]
+    copy = lambda at, *n: [
+        (p, a, i, slots(f"<number>{n[p]}", f"<number>{n[p + 1]}")) for p, (a, i) in enumerate(zip(at, item))
+    ]
+    worksheet = copy((10, 11, 12), 5, 6, 7, 8) + copy((30, 31, 33), 9, 1, 4, 6) + copy((60, 61, 62), 5, 1, 7, 6)
+    assert decon.consistent(worksheet) == (3, True)
+    assert decon.consistent(copy((30, 31, 90), 9, 1, 4, 6)) == (3, True)
+    # No reading gives 2 two values, as the halves of these copies would need.
+    mixed = copy((10,), 5, 6) + [(1, 11, item[1], slots("<number>7", "<number>8"))]
+    assert decon.consistent(mixed) == (1, True)
