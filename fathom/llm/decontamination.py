@@ -15,8 +15,9 @@ all windows go through the join, with the same result.
 
 Defined cases: null and empty texts hold nothing; a text or item of fewer than five
 words is one window and matches only a text that is as short; windows with fewer than
-two plain words say nothing about the question and are left out on both sides (an item
-made of such windows alone is matched by them); rows that repeat a doc_id are judged
+two plain words say nothing about the question and are left out on both sides, but an
+item made of such windows alone (number sequences, lists of names) is matched by its
+words as they are, in any window of a document; rows that repeat a doc_id are judged
 each; empty tables give no rows; extra columns are ignored here and kept by
 :func:`drop_contaminated`.
 """
@@ -35,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathom.llm.shingles import WIDTH, _combined
+from fathom.llm.shingles import WIDTH, _combined, mixed
 from fathom.plans.storage import materialise
 
 SHARE = 0.8
@@ -64,6 +65,7 @@ def _hash(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
 
 
+LITERAL = np.uint64(_hash("<literal>"))
 PLACEHOLDERS = np.array([_hash(t) for t in TYPES], dtype=np.uint64)
 
 
@@ -91,15 +93,15 @@ class Vocabulary(dict):
         self.kinds.append(flags)
         return place
 
-    def template(self, text: str | None) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """Words, kinds and hashes of the template of ``text``."""
+    def template(self, text: str | None) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """Words, kinds, hashes of the template of ``text`` and hashes of the words themselves."""
         tokens = text.split() if text else []
         if len(self) > CACHE_TOKENS:
             self.clear()
             self.hashes, self.kinds = array("Q"), array("B")
         places = np.fromiter(map(self.__getitem__, tokens), dtype=np.int64, count=len(tokens))
         if not len(places):
-            return [], np.empty(0, dtype=np.int8), np.empty(0, dtype=np.uint64)
+            return [], np.empty(0, dtype=np.int8), np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.uint64)
         flags = np.frombuffer(self.kinds, dtype=np.uint8)[places]
         hashes = np.frombuffer(self.hashes, dtype=np.uint64)[places]
         after_number = np.concatenate([[False], (flags[:-1] & 2) > 0])
@@ -110,9 +112,9 @@ class Vocabulary(dict):
         kinds[(flags & 2) > 0] = NUM
         real = (flags & 1) == 0
         kept = np.flatnonzero(real)
-        kinds, hashes = kinds[kept], hashes[kept]
-        hashes = np.where(kinds > 0, PLACEHOLDERS[kinds], hashes)
-        return [tokens[i] for i in kept.tolist()] if len(kept) < len(tokens) else tokens, kinds, hashes
+        kinds, literal = kinds[kept], hashes[kept]
+        hashes = np.where(kinds > 0, PLACEHOLDERS[kinds], literal)
+        return [tokens[i] for i in kept.tolist()] if len(kept) < len(tokens) else tokens, kinds, hashes, literal
 
 
 def windows(words: list[str], kinds: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
@@ -127,6 +129,14 @@ def windows(words: list[str], kinds: np.ndarray, hashes: np.ndarray) -> tuple[np
     return found[at], at, width
 
 
+def literal_windows(literal: np.ndarray) -> np.ndarray:
+    """Hashes of all windows by their words as they are, apart from those of templates."""
+    width = min(WIDTH, len(literal))
+    if not width:
+        return np.empty(0, dtype=np.int64)
+    return mixed(_combined(literal, width) ^ LITERAL).view(np.int64)
+
+
 def _slots(words: list[str], kinds: np.ndarray, at: int, width: int) -> list[str]:
     """Typed values of the window's placeholders, empty for plain words."""
     return [
@@ -138,8 +148,11 @@ def _slots(words: list[str], kinds: np.ndarray, at: int, width: int) -> list[str
 WINDOWS = "row long, doc_id long, text_hash long, hash long, at int, slots array<string>"
 
 
-def document_windows(docs: DataFrame, only: np.ndarray | None) -> DataFrame:
-    """The template windows of ``docs``, those in the sorted ``only`` where it is given."""
+def document_windows(docs: DataFrame, only: np.ndarray | None, literals: bool = False) -> DataFrame:
+    """The template windows of ``docs``, those in the sorted ``only`` where it is given.
+
+    With ``literals`` also the windows of words as they are, which have no slots.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(only) if only is not None else None
 
     def rows(batches):
@@ -149,16 +162,22 @@ def document_windows(docs: DataFrame, only: np.ndarray | None) -> DataFrame:
             columns: list[list] = [[], [], [], [], [], []]
             ids = zip(*(batch.column(i).to_pylist() for i in range(3)))
             for (row, doc_id, text_hash), text in zip(ids, batch.column(3)):
-                words, kinds, hashes = vocabulary.template(text.as_py())
+                words, kinds, hashes, literal = vocabulary.template(text.as_py())
                 found, places, width = windows(words, kinds, hashes)
+                templates = np.ones(len(found), dtype=bool)
+                if literals:
+                    plain = literal_windows(literal)
+                    found, places = np.concatenate([found, plain]), np.concatenate([places, np.arange(len(plain))])
+                    templates = np.arange(len(found)) < len(templates)
                 if wanted is not None and len(found):
                     if not len(wanted):
                         continue
                     near = np.minimum(np.searchsorted(wanted, found), len(wanted) - 1)
                     hit = wanted[near] == found
-                    found, places = found[hit], places[hit]
-                for value, at in zip(found.tolist(), places.tolist()):
-                    for column, cell in zip(columns, (row, doc_id, text_hash, value, at, _slots(words, kinds, at, width))):
+                    found, places, templates = found[hit], places[hit], templates[hit]
+                for value, at, template in zip(found.tolist(), places.tolist(), templates.tolist()):
+                    slots = _slots(words, kinds, at, width) if template else []
+                    for column, cell in zip(columns, (row, doc_id, text_hash, value, at, slots)):
                         column.append(cell)
             types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.string())]
             yield pa.RecordBatch.from_arrays(
@@ -175,17 +194,25 @@ def document_windows(docs: DataFrame, only: np.ndarray | None) -> DataFrame:
 
 
 def item_windows(items: DataFrame) -> DataFrame:
-    """item_id, hash, place, item_slots and n_windows of every benchmark item."""
+    """item_id, hash, place, item_slots and n_windows of every benchmark item.
+
+    ``item_slots`` is empty for windows of words as they are, which stand in where no
+    template window is usable.
+    """
 
     def rows(batches):
         vocabulary = Vocabulary()
         for batch in batches:
             made = []
             for item_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words, kinds, hashes = vocabulary.template(text)
+                words, kinds, hashes, literal = vocabulary.template(text)
                 found, places, width = windows(words, kinds, hashes)
+                template = len(found) > 0
+                if not template:
+                    found = literal_windows(literal)
+                    places = np.arange(len(found))
                 made += [
-                    (item_id, value, at, _slots(words, kinds, at, width), len(found))
+                    (item_id, value, at, _slots(words, kinds, at, width) if template else [], len(found))
                     for value, at in zip(found.tolist(), places.tolist())
                 ]
             columns = list(zip(*made)) if made else [[]] * 5
@@ -268,7 +295,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, share: float = SHARE, near_win
     only = None
     if known.select("hash").distinct().count() <= near_windows:
         only = np.sort(np.array([r.hash for r in known.select("hash").distinct().collect()], dtype=np.int64))
-    matched = document_windows(docs, only).join(known, "hash")
+    literals = not known.where(F.size("item_slots") == 0).isEmpty()
+    matched = document_windows(docs, only, literals).join(known, "hash")
     # A group holds the windows of one item in one document: its size follows the
     # document's length, and pairs that cannot reach the share are gone before.
     keys = ["row", "doc_id", "text_hash", "item_id", "n_windows"]

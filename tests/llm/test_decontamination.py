@@ -119,3 +119,26 @@ def test_a_reading_spans_inserted_words_and_parts():
     # No reading gives 2 two values, as the halves of these copies would need.
     mixed = copy((10,), 5, 6) + [(1, 11, item[1], slots("<number>7", "<number>8"))]
     assert decon.consistent(mixed) == (1, True)
+
+
+def test_items_of_slots_alone_are_found_as_they_are(spark):
+    numbers, names = "1 1 2 3 5 8 13 21 34 55", "Anna, Boris, Carla, Dmitri, Emil, Fatima, Goran"
+    around = lambda text: f"{PLAIN}. It holds {text} in its {PLAIN}"
+    docs = docs_of(
+        spark,
+        [
+            (1, around(numbers)),
+            (2, around(names.replace(",", "."))),
+            (3, numbers),
+            (4, around("1 1 2 3 5 9 13 21 34 55")),
+            (5, around("Anna, Boris, Carla, Igor, Emil, Fatima, Goran")),
+            (6, around("1 1 2 3 5")),
+            (7, "7 8 9"),
+            (8, around("7 8 9")),
+        ],
+    )
+    items = items_of(spark, [(1, numbers), (2, names), (3, "7 8 9"), (4, ITEM)])
+    for near_windows in (100, 0):
+        got = decon.find_leaks(docs, items, near_windows=near_windows).collect()
+        assert {(r.doc_id, r.item_id) for r in got} == {(1, 1), (2, 2), (3, 1), (7, 3)}
+        assert not any(r.reparameterised for r in got)
