@@ -11,8 +11,9 @@ them the word does not count. A text's weights are summed over its words (the he
 entry of each word), related to its length, and a logistic curve fitted on the same
 rows turns that into a score between 0 and 1.
 
-Learning reads at most ``SAMPLE_ROWS`` labelled rows, chosen by a hash of doc_id, which
-is the only sample; scoring covers every whole text. Rows of the held-out fold are never
+Learning reads at most ``SAMPLE_ROWS`` labelled rows, chosen by a hash of doc_id and one
+for each (of several texts of a doc_id the least), which is the only sample; all entries
+of the sample that pass the tests are used; scoring covers every whole text. Rows of the held-out fold are never
 learned from, and lang, source, labels and doc_id never enter a score.
 
 Defined cases: null and empty texts have no matches and get the score of a text
@@ -39,10 +40,11 @@ from fathom.plans.storage import materialise
 
 SAMPLE_ROWS = 20_000
 FOLDS, HELD_OUT = 5, 0
-ENTRIES = 20_000
+COUNTED_ENTRIES = 500_000
 START_LENGTHS = (4, 5, 6, 7, 8, 10)
 LEAST_ROWS = 5
 LEAST_WEIGHT = 0.7
+ERRORS = 1.64
 GAIN = 0.7
 SPREAD = 1.3
 CACHE_TOKENS = 500_000
@@ -177,25 +179,31 @@ def fitted(features: np.ndarray, toxic: np.ndarray, ridge: float = 1.0) -> tuple
     return w.tolist(), centre.tolist(), scale.tolist()
 
 
-def chosen(counts: dict[str, tuple[int, int]], toxic_rows: int, clean_rows: int) -> dict[str, float]:
-    """Entries with their log ratios.
+def candidates(counts: DataFrame, toxic_rows: int, clean_rows: int) -> DataFrame:
+    """Entries of enough toxic rows whose ratio is well above its standard error.
 
-    An entry needs a ratio well above its standard error. A start must cover clearly
-    more rows than its most frequent word, or the word itself serves; a longer entry
-    beside a shorter one must say clearly more.
+    A start must cover clearly more rows than its most frequent word, or the word itself
+    serves.
     """
-    words: dict[str, int] = {}
-    for entry, (toxic, _) in counts.items():
-        if entry.endswith(" "):
-            for n in START_LENGTHS:
-                words[entry[: n + 1]] = max(words.get(entry[: n + 1], 0), toxic)
+    counts = counts.where(F.col("toxic") >= LEAST_ROWS)
+    starts = F.array_distinct(F.array(*(F.substring("entry", 1, n + 1) for n in START_LENGTHS)))
+    words = counts.where(F.col("entry").endswith(" ")).select(F.explode(starts).alias("entry"), F.col("toxic").alias("word"))
+    most = words.groupBy("entry").agg(F.max("word").alias("word"))
+    toxic, clean = F.col("toxic") + 0.5, F.col("clean") + 0.5
+    # The driver repeats this test; the small allowance is for the last bit of the logarithm.
+    weight = F.log(toxic / (toxic_rows + 1)) - F.log(clean / (clean_rows + 1))
+    clear = weight - ERRORS * F.sqrt(1 / toxic + 1 / clean) >= LEAST_WEIGHT - 1e-9
+    covers = F.col("entry").endswith(" ") | F.col("word").isNull() | (F.col("toxic") >= SPREAD * F.col("word"))
+    return counts.where(clear).join(most, "entry", "left").where(covers).select("entry", "toxic", "clean")
+
+
+def chosen(counts: dict[str, tuple[int, int]], toxic_rows: int, clean_rows: int) -> dict[str, float]:
+    """The candidates with their log ratios; a longer one beside a shorter must say clearly more."""
     weights: dict[str, float] = {}
     for entry in sorted(counts, key=lambda e: (len(e), e)):
         toxic, clean = counts[entry]
-        if toxic < LEAST_ROWS or (not entry.endswith(" ") and toxic < SPREAD * words.get(entry, 0)):
-            continue
         weight = float(np.log((toxic + 0.5) / (toxic_rows + 1)) - np.log((clean + 0.5) / (clean_rows + 1)))
-        error = 1.64 * float(np.sqrt(1 / (toxic + 0.5) + 1 / (clean + 0.5)))
+        error = ERRORS * float(np.sqrt(1 / (toxic + 0.5) + 1 / (clean + 0.5)))
         shorter = max((weights[entry[:n]] for n in range(2, len(entry)) if entry[:n] in weights), default=None)
         if weight - error >= LEAST_WEIGHT and (shorter is None or weight >= shorter + GAIN):
             weights[entry] = weight
@@ -217,26 +225,35 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS)
     )
     # At most ``rows`` short rows, so the broadcast is bounded by the parameter.
     texts = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
-    return materialise(texts.select(F.coalesce("text", F.lit("")).alias("text"), "toxic"), "labelled")
+    single = texts.groupBy("doc_id").agg(F.coalesce(F.min("text"), F.lit("")).alias("text"), F.max("toxic").alias("toxic"))
+    dealt = single.repartition(docs.sparkSession.sparkContext.defaultParallelism, "doc_id")
+    return materialise(dealt.select("text", "toxic"), "labelled")
 
 
 def _counted(sample: DataFrame, entries) -> DataFrame:
     """Rows with each entry, by label; ``entries`` maps a text to its distinct entries."""
 
+    def batch_of(found):
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([e for e, _ in found], pa.string()),
+                pa.array([t for _, t in found], pa.int32()),
+                pa.array(list(found.values()), pa.int64()),
+            ],
+            names=["entry", "toxic", "n"],
+        )
+
     def count(batches):
+        found: Counter = Counter()
         for batch in batches:
-            found: Counter = Counter()
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 found.update((entry, toxic) for entry in entries(text))
-            if found:
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([e for e, _ in found], pa.string()),
-                        pa.array([t for _, t in found], pa.int32()),
-                        pa.array(list(found.values()), pa.int64()),
-                    ],
-                    names=["entry", "toxic", "n"],
-                )
+                # Full counters move on; Spark sums the parts.
+                if len(found) > COUNTED_ENTRIES:
+                    yield batch_of(found)
+                    found = Counter()
+        if found:
+            yield batch_of(found)
 
     counted = sample.select("text", F.col("toxic").cast("int")).mapInArrow(count, "entry string, toxic int, n long")
     return counted.groupBy("entry").agg(
@@ -257,17 +274,10 @@ def learned(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Lexi
     def all_entries(text):
         return {e for word in set(words_of(text)) for e in entries_of(word)}
 
-    # Candidates are counted among toxic rows, then the same entries among all rows;
-    # their number is bounded by ``ENTRIES`` and so by the sample, not by the corpus.
-    frequent = (
-        _counted(sample.where("toxic = 1"), all_entries)
-        .where(F.col("toxic") >= LEAST_ROWS)
-        .orderBy(F.desc("toxic"), "entry")
-        .limit(ENTRIES)
-    )
-    candidates = frozenset(r.entry for r in frequent.select("entry").collect())
-    counts = _counted(sample, lambda text: all_entries(text) & candidates)
-    lexicon.weights = chosen({r.entry: (r.toxic, r.clean) for r in counts.collect()}, toxic_rows, clean_rows)
+    # Only entries that pass the tests reach the driver: few, and bounded by the sample.
+    counts = materialise(_counted(sample, all_entries).where(F.col("toxic") >= LEAST_ROWS), "entries")
+    passed = candidates(counts, toxic_rows, clean_rows).collect()
+    lexicon.weights = chosen({r.entry: (r.toxic, r.clean) for r in passed}, toxic_rows, clean_rows)
     if not lexicon.weights:
         return lexicon
     entries = frozenset(lexicon.weights)
@@ -278,12 +288,7 @@ def learned(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Lexi
         pairs = [pair for i in at for pair in (words[max(0, i - 1) : i + 1], words[i : i + 2])]
         return {f" {' '.join(pair)} " for pair in pairs if len(pair) == 2}
 
-    spared = (
-        _counted(sample, phrases)
-        .where((F.col("clean") >= LEAST_ROWS) & (F.col("toxic") == 0))
-        .orderBy(F.desc("clean"), "entry")
-        .limit(ENTRIES)
-    )
+    spared = _counted(sample, phrases).where((F.col("clean") >= LEAST_ROWS) & (F.col("toxic") == 0))
     lexicon.exceptions = {r.entry for r in spared.collect()}
 
     def measured(batches):

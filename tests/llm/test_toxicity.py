@@ -79,3 +79,22 @@ def test_exception_phrases_take_the_weight_away():
     finder = lexicon.finder()
     assert lexicon.features("a mild snarfo here", finder) == [0.0] * 5
     assert lexicon.features("a mild snarfo and snarfo", finder)[0] > 0
+
+
+def test_rare_toxic_words_are_learned_beside_many_frequent_ones(spark):
+    # Every row holds half of 11,000 harmless words, whose starts and forms are more than 20,000 entries.
+    letters = "abcdefghijklmnopqrst"
+    harmless = [f"{a}{b}{c}{d}" for a in letters for b in "aeiou" for c in letters for d in ("min", "rol", "sut", "vek", "dap", "zug")][:11_000]
+    rows = []
+    for i in range(120):
+        toxic = int(i % 3 == 0)
+        words = harmless[(i // 3) % 2 :: 2]
+        rows.append((i, " ".join([*words, "gribbel"] if toxic and (i // 3) % 4 < 1 else words), toxic))
+    docs, labels = tables(spark, [*rows, *rows[:3]])
+    lexicon = toxicity.learned(docs, labels)
+    assert any(" gribbel ".startswith(entry) for entry in lexicon.weights)
+    assert toxicity.labelled_sample(docs, labels).count() == sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(120))
+    entries = [(f" {word} ", 9 + i % 9, i % 2) for i, word in enumerate(harmless)] + [(" gribbel ", 5, 0), (" grib", 6, 0), (" mild ", 4, 0)]
+    passed = toxicity.candidates(spark.createDataFrame(entries, "entry string, toxic long, clean long"), 40, 200).collect()
+    got = {r.entry for r in passed}
+    assert " gribbel " in got and not got & {" grib", " mild "} and len(got) == 11_001
