@@ -90,10 +90,13 @@ def repeated_within(rows: np.ndarray, keys: np.ndarray, at: np.ndarray) -> np.nd
 
 
 def text_groups(texts: list[bytes]) -> Iterator[list[int]]:
-    """Indexes of texts, in groups of about ``SLICE_BYTES``."""
+    """Indexes of texts, in groups of about ``SLICE_BYTES``; a text above that is alone."""
     group: list[int] = []
     size = 0
     for i, text in enumerate(texts):
+        if group and len(text) > SLICE_BYTES:
+            yield group
+            group, size = [], 0
         group.append(i)
         size += len(text)
         if size >= SLICE_BYTES:

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import Row
 
-from fathom.llm import chunk_dedup, suffix_dedup
+from fathom.llm import chunk_dedup, spans, suffix_dedup
 
 SCHEMA = "doc_id long, text string, place string, n int, data int"
 
@@ -137,3 +137,17 @@ def test_chunk_removal_matches_brute_force(spark):
     got = chunk_dedup.remove_repeats(table(spark, rows).repartition(4)).collect()
     assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
     assert sum(r.n_removed for r in got) > 50_000
+
+
+def test_long_text_behind_a_short_one_is_sliced(monkeypatch):
+    texts = [b"a short text of its own", bytes(random.Random(8).choices(range(97, 120), k=9000)), b"another short text"]
+    whole = suffix_dedup.runs(np.frombuffer(texts[1], dtype=np.uint8), np.array([9000]), 100, 32)
+    monkeypatch.setattr(spans, "SLICE_BYTES", 1000)
+    monkeypatch.setattr(suffix_dedup, "SLICE_BYTES", 1000)
+    monkeypatch.setattr(suffix_dedup, "INDEX", np.uint64((1 << 12) - 1))
+    groups = list(spans.text_groups(texts))
+    assert groups == [[0], [1], [2]]
+    owner, low, high, *_, halves = suffix_dedup._text_runs(texts, groups[1], 100, 32)
+    assert set(owner) == {1} and (halves >= 0).all()
+    assert sorted(p for a, b in zip(low, high) for p in range(a, b + 1)) == list(range(9000 - 99))
+    assert len(whole[0]) <= len(low) <= len(whole[0]) + 40
