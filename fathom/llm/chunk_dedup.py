@@ -55,7 +55,7 @@ def chunks(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def chunk_rows(docs: DataFrame) -> DataFrame:
-    """digest, doc, place of every chunk."""
+    """digest, doc, variant, place of every chunk."""
 
     def rows(batches):
         for batch in batches:
@@ -79,12 +79,13 @@ def chunk_rows(docs: DataFrame) -> DataFrame:
                 low, high, owner, base_of = map(np.concatenate, (starts, ends, owners, bases))
                 digests = Hasher(data).of(low, high)
                 at = low - base_of
-                place = pack(variants[owner], at, high - low, repeated_within(owner, digests, at))
+                place = pack(at, high - low, repeated_within(owner, digests, at))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(digests.view(np.int64)), pa.array(docs_of[owner]), pa.array(place)], names=["digest", "doc", "place"]
+                    [pa.array(digests.view(np.int64)), pa.array(docs_of[owner]), pa.array(variants[owner]), pa.array(place)],
+                    names=["digest", "doc", "variant", "place"],
                 )
 
-    return identified(docs).mapInArrow(rows, "digest long, doc long, place long")
+    return identified(docs).mapInArrow(rows, "digest long, doc long, variant long, place long")
 
 
 def remove_repeats(docs: DataFrame, least: int = LEAST_RUN, *, texts: bool = False) -> DataFrame:

@@ -1,9 +1,9 @@
 """Byte spans of documents: packing, first occurrences by key, and cutting out.
 
-A document is one text under one doc_id. A span travels as two numbers: ``doc`` (the
-doc_id, null as the least number) and ``place``, which packs ten bits of the text's hash
-(they tell rows apart that repeat a doc_id with another text), the first byte, a flag
-for a key seen earlier in the same document, and the length.
+A document is one text under one doc_id. A span travels as three numbers: ``doc`` (the
+doc_id, null as the least number), ``variant`` (the hash of the text, which tells rows
+apart that repeat a doc_id with another text) and ``place``, which packs the first byte,
+a flag for a key seen earlier in the same document, and the length.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from fathom.llm.shingles import Powers, _constants, mixed
 from fathom.plans.storage import discard_since, materialise, release_shuffles
 
 NO_ID = -(1 << 63)
-SIZE_BITS, AT_BITS = 13, 36
+SIZE_BITS = 13
 LONGEST = (1 << SIZE_BITS) - 1
 SLICE_BYTES = 1 << 20
 _VALUES = _constants(256, 21)
@@ -43,14 +43,13 @@ class Hasher:
             return mixed(raw + (ends - starts).astype(np.uint64) * _LENGTH)
 
 
-def pack(variant: np.ndarray, at: np.ndarray, size: np.ndarray, again: np.ndarray) -> np.ndarray:
-    place = variant.astype(np.int64) << (AT_BITS + SIZE_BITS + 1)
-    return place | at.astype(np.int64) << (SIZE_BITS + 1) | again.astype(np.int64) << SIZE_BITS | size
+def pack(at: np.ndarray, size: np.ndarray, again: np.ndarray) -> np.ndarray:
+    return at.astype(np.int64) << (SIZE_BITS + 1) | again.astype(np.int64) << SIZE_BITS | size
 
 
-def unpack(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """variant, at, size."""
-    return place >> (AT_BITS + SIZE_BITS + 1), place >> (SIZE_BITS + 1) & ((1 << AT_BITS) - 1), place & LONGEST
+def unpack(place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """at, size."""
+    return place >> (SIZE_BITS + 1), place & LONGEST
 
 
 def identified(docs: DataFrame) -> DataFrame:
@@ -59,7 +58,7 @@ def identified(docs: DataFrame) -> DataFrame:
     return docs.select(
         doc_id.alias("doc_id"),
         F.coalesce(doc_id, F.lit(NO_ID)).alias("doc"),
-        F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(1024)).alias("variant"),
+        F.xxhash64(F.coalesce("text", F.lit(""))).alias("variant"),
         F.coalesce("text", F.lit("")).alias("text"),
     )
 
@@ -107,16 +106,16 @@ def text_groups(texts: list[bytes]) -> Iterator[list[int]]:
 
 
 def later_occurrences(rows: DataFrame, key: str) -> DataFrame:
-    """doc, place of the rows whose key an earlier document holds, or this one earlier.
+    """doc, variant, place of the rows whose key an earlier document holds, or this one earlier.
 
-    ``rows`` (key, doc, place) may be computed twice: once to find the keys that occur
+    ``rows`` (key, doc, variant, place) may be computed twice: once to find the keys that occur
     in more than one place with their first document, once to meet them. The first is
     summed before it moves, the second is an equal join whose skewed keys Spark splits.
     """
     first = rows.groupBy(key).agg(F.min("doc").alias("first_doc"), F.count(F.lit(1)).alias("n"))
     known = materialise(first.where("n > 1").select(key, "first_doc"), "repeated-keys")
     again = F.col("place").bitwiseAND(F.lit(1 << SIZE_BITS)) != 0
-    return rows.join(known, key).where((F.col("doc") > F.col("first_doc")) | again).select("doc", "place")
+    return rows.join(known, key).where((F.col("doc") > F.col("first_doc")) | again).select("doc", "variant", "place")
 
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -136,29 +135,27 @@ def merged(at: np.ndarray, size: np.ndarray, least: int) -> tuple[np.ndarray, np
 
 
 def cut_out(docs: DataFrame, spans: DataFrame, least: int, *, since: int, texts: bool = False) -> DataFrame:
-    """Every document without the bytes its spans (doc, place) cover.
+    """Every document without the bytes its spans (doc, variant, place) cover.
 
     Runs shorter than ``least`` stay. The result has doc_id, n_bytes, n_removed, n_spans
     and kept_sha256, and the kept bytes as ``kept`` where ``texts`` is set. Tables written
     after ``since``, which led to the spans, are deleted when these are written.
     """
-    per_doc = materialise(spans.groupBy("doc").agg(F.collect_list("place").alias("places")), "spans")
+    per_doc = materialise(spans.groupBy("doc", "variant").agg(F.collect_list("place").alias("places")), "spans")
     discard_since(docs.sparkSession, since, per_doc)
     release_shuffles(docs.sparkSession)
-    joined = packed_texts(docs).join(per_doc, "doc", "left").select("doc_id", "variant", "data", "places")
+    joined = packed_texts(docs).join(per_doc, ["doc", "variant"], "left").select("doc_id", "data", "places")
 
     def cut(batches):
         unpacker = zstandard.ZstdDecompressor()
         for batch in batches:
             made = []
-            for doc_id, variant, data, places in zip(*(batch.column(i) for i in range(4))):
+            for doc_id, data, places in zip(*(batch.column(i) for i in range(3))):
                 text = unpacker.decompress(data.as_py())
                 row = [doc_id.as_py(), len(text), 0, 0]
                 kept = text
                 if places.is_valid:
-                    variants, at, size = unpack(places.values.to_numpy(zero_copy_only=False))
-                    own = variants == variant.as_py()
-                    starts, ends = merged(at[own], size[own], least)
+                    starts, ends = merged(*unpack(places.values.to_numpy(zero_copy_only=False)), least)
                     ends = np.minimum(ends, len(text))
                     if len(starts):
                         row[2:] = [int((ends - starts).sum()), len(starts)]

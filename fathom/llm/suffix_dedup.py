@@ -115,7 +115,7 @@ def _text_runs(texts: list[bytes], group: list[int], length: int, first: int):
 
 
 def run_rows(docs: DataFrame, length: int, first: int) -> DataFrame:
-    """name, context, halves, doc, place of every run."""
+    """name, context, halves, doc, variant, place of every run."""
 
     def rows(batches):
         for batch in batches:
@@ -124,51 +124,56 @@ def run_rows(docs: DataFrame, length: int, first: int) -> DataFrame:
             for group in text_groups(texts):
                 owner, low, high, names, contexts, halves = _text_runs(texts, group, length, first)
                 if len(low):
-                    place = pack(variants[owner], low, high - low + length, repeated_within(owner, contexts, low))
+                    place = pack(low, high - low + length, repeated_within(owner, contexts, low))
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array(names.view(np.int64)),
                             pa.array(contexts.view(np.int64)),
                             pa.array(halves),
                             pa.array(docs_of[owner]),
+                            pa.array(variants[owner]),
                             pa.array(place),
                         ],
-                        names=["name", "context", "halves", "doc", "place"],
+                        names=["name", "context", "halves", "doc", "variant", "place"],
                     )
 
-    return identified(docs).mapInArrow(rows, "name long, context long, halves long, doc long, place long")
+    return identified(docs).mapInArrow(rows, "name long, context long, halves long, doc long, variant long, place long")
 
 
 def string_rows(docs: DataFrame, chosen: DataFrame, length: int) -> DataFrame:
-    """string, doc, place of the strings in the chosen runs (doc, place)."""
-    per_doc = chosen.groupBy("doc").agg(F.collect_list("place").alias("places"))
-    joined = packed_texts(docs).join(per_doc, "doc").select("doc", "variant", "data", "places")
+    """string, doc, variant, place of the strings in the chosen runs (doc, variant, place)."""
+    per_doc = chosen.groupBy("doc", "variant").agg(F.collect_list("place").alias("places"))
+    joined = packed_texts(docs).join(per_doc, ["doc", "variant"]).select("doc", "variant", "data", "places")
 
     def rows(batches):
         unpacker = zstandard.ZstdDecompressor()
         for batch in batches:
             for doc, variant, data, places in zip(*(batch.column(i) for i in range(4))):
-                variants, at, size = unpack(places.values.to_numpy(zero_copy_only=False))
-                own = variants == variant.as_py()
-                counts = size[own] - length + 1
+                at, size = unpack(places.values.to_numpy(zero_copy_only=False))
+                counts = size - length + 1
                 if not counts.sum():
                     continue
                 text = np.frombuffer(unpacker.decompress(data.as_py()), dtype=np.uint8)
                 within = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-                low = np.unique(np.repeat(at[own], counts) + within)
+                low = np.unique(np.repeat(at, counts) + within)
                 names = Hasher(text).of(low, low + length)
                 again = repeated_within(np.zeros(len(low)), names, low)
-                place = pack(np.full(len(low), variant.as_py()), low, np.full(len(low), length), again)
+                place = pack(low, np.full(len(low), length), again)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(names.view(np.int64)), pa.array(np.full(len(low), doc.as_py())), pa.array(place)],
-                    names=["string", "doc", "place"],
+                    [
+                        pa.array(names.view(np.int64)),
+                        pa.array(np.full(len(low), doc.as_py())),
+                        pa.array(np.full(len(low), variant.as_py())),
+                        pa.array(place),
+                    ],
+                    names=["string", "doc", "variant", "place"],
                 )
 
-    return joined.mapInArrow(rows, "string long, doc long, place long")
+    return joined.mapInArrow(rows, "string long, doc long, variant long, place long")
 
 
 def passage_ends(heads: DataFrame, length: int, first: int) -> DataFrame:
-    """doc, place of the parts of ``heads`` whose context before or after the position recurs."""
+    """doc, variant, place of the parts of ``heads`` whose context before or after the position recurs."""
     half = (length - first) // 2
     mask = (1 << HALF_BITS) - 1
     offset = F.col("halves").bitwiseAND(F.lit((1 << OFFSET_BITS) - 1))
@@ -184,18 +189,18 @@ def passage_ends(heads: DataFrame, length: int, first: int) -> DataFrame:
     sides = F.array(
         part("before", HALF_BITS + OFFSET_BITS, F.lit(0), split), part("after", OFFSET_BITS, split, size - length)
     )
-    halves = materialise(heads.select("name", "doc", F.inline(sides)).where("half <> 0"), "halves")
+    halves = materialise(heads.select("name", "doc", "variant", F.inline(sides)).where("half <> 0"), "halves")
     recurring = halves.groupBy("name", "side", "half").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return halves.join(materialise(recurring.drop("n"), "recurring-halves"), ["name", "side", "half"]).select("doc", "place")
+    return halves.join(materialise(recurring.drop("n"), "recurring-halves"), ["name", "side", "half"]).select("doc", "variant", "place")
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, first: int = FIRST) -> DataFrame:
-    """doc, place of spans whose bytes are all covered by repeated strings."""
+    """doc, variant, place of spans whose bytes are all covered by repeated strings."""
     ranked = run_rows(docs, length, first)
     frequent = ranked.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("name")
     left = materialise(ranked.join(materialise(frequent, "names"), "name"), "runs")
     release_shuffles(docs.sparkSession)
-    whole = materialise(later_occurrences(left.select("context", "doc", "place"), "context"), "whole-runs")
+    whole = materialise(later_occurrences(left.select("context", "doc", "variant", "place"), "context"), "whole-runs")
     mixed = left.groupBy("name").agg(F.min("context").alias("least"), F.max("context").alias("most")).where("least <> most")
     firsts = left.groupBy("context").agg(F.min("doc").alias("first_doc"))
     heads = (
@@ -203,7 +208,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, first: int = FIRST) ->
         .where(F.col("place").bitwiseAND(F.lit(1 << SIZE_BITS)) == 0)
         .join(materialise(firsts, "firsts"), "context")
         .where("doc = first_doc")
-        .select("name", "halves", "doc", "place")
+        .select("name", "halves", "doc", "variant", "place")
     )
     strings = materialise(string_rows(docs, passage_ends(heads, length, first), length), "strings")
     release_shuffles(docs.sparkSession)

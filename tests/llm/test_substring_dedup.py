@@ -151,3 +151,31 @@ def test_long_text_behind_a_short_one_is_sliced(monkeypatch):
     assert set(owner) == {1} and (halves >= 0).all()
     assert sorted(p for a, b in zip(low, high) for p in range(a, b + 1)) == list(range(9000 - 99))
     assert len(whole[0]) <= len(low) <= len(whole[0]) + 40
+
+
+def chunk_brute(text):
+    """n_bytes, n_removed, n_spans, kept_sha256 of a text compared with itself alone."""
+    seen, runs = set(), []
+    for low, high in chunked(text.encode()):
+        chunk = text.encode()[low:high]
+        if chunk in seen:
+            runs = [*runs[:-1], (runs[-1][0], high)] if runs and runs[-1][1] == low else [*runs, (low, high)]
+        seen.add(chunk)
+    runs = [run for run in runs if run[1] - run[0] >= chunk_dedup.LEAST_RUN]
+    kept = text.encode()
+    for low, high in reversed(runs):
+        kept = kept[:low] + kept[high:]
+    return len(text), len(text) - len(kept), len(runs), hashlib.sha256(kept).hexdigest()
+
+
+@pytest.mark.parametrize(
+    ("operator", "alone"),
+    [(suffix_dedup.remove_repeats, lambda t: brute([(None, t)], 100)[0][1:]), (chunk_dedup.remove_repeats, chunk_brute)],
+)
+def test_many_texts_without_doc_id_keep_their_own_spans(spark, operator, alone):
+    # Every text repeats one passage of its own, at an offset that differs between texts.
+    dealt = random.Random(3)
+    letters = lambda n: "".join(dealt.choices("abcdefghijklmnop", k=n))
+    texts = [letters(20 + i % 97) + passage + letters(30) + passage for i in range(2000) for passage in [letters(300)]]
+    got = operator(table(spark, [(None, t) for t in texts])).collect()
+    assert sorted(tuple(r)[1:] for r in got) == sorted(map(alone, texts))
