@@ -11,10 +11,13 @@ from fathom.llm import (
     exact_dedup,
     html_text,
     near_dedup,
+    paragraph_hash,
+    periodic_runs,
     sharding,
     suffix_dedup,
     token_files,
     toxicity,
+    turn_repair,
 )
 
 
@@ -62,6 +65,18 @@ def op10_exact_copies(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.mark_copies(_documents(spark, folder))
 
 
+def op11_paragraph_hash(spark: SparkSession, folder: str) -> DataFrame:
+    return paragraph_hash.compare_edited(_documents(spark, folder))
+
+
+def op12_turn_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return turn_repair.repair_damaged(spark.read.parquet(f"{folder}/conversations.parquet"))
+
+
+def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return periodic_runs.summarise_seeded(_documents(spark, folder))
+
+
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_repeated_strings": op2_repeated_strings,
@@ -73,6 +88,9 @@ QUERIES = {
     "op8_benchmark_leaks": op8_benchmark_leaks,
     "op9_bpe_round_trip": op9_bpe_round_trip,
     "op10_exact_copies": op10_exact_copies,
+    "op11_paragraph_hash": op11_paragraph_hash,
+    "op12_turn_repair": op12_turn_repair,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 EXACT_COPIES_SQL = r"""
@@ -183,9 +201,67 @@ FEISTEL_SQL = f"""
     FROM numbered JOIN placed USING (row_number)
 """
 
+_PACKED = ", ".join(f"sum((half_{half} >> {bit}) & {paragraph_hash.PAIR})" for half in range(2) for bit in range(paragraph_hash.BITS))
+PARAGRAPH_HASH_SQL = f"""
+    WITH texts AS (
+        SELECT doc_id, coalesce(text, '') AS text, sha256(coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || coalesce(text, '')) AS key
+        FROM documents
+    ), paired AS (
+        SELECT *, CAST(length(text) AS BIGINT) AS n_chars,
+               coalesce(lead(text) OVER (ORDER BY doc_id NULLS FIRST, key), first_value(text) OVER (ORDER BY doc_id NULLS FIRST, key)) AS next_text,
+               coalesce(lead(key) OVER (ORDER BY doc_id NULLS FIRST, key), first_value(key) OVER (ORDER BY doc_id NULLS FIRST, key)) AS next_key
+        FROM texts
+    ), edited AS (
+        SELECT *, substr(text, 1, n_chars - n_chars // 2) || substr(next_text, 1, n_chars // 2) AS edited FROM paired
+    ), lines AS (
+        SELECT key, 0 AS side, unnest(string_split(text, chr(10))) AS line FROM edited
+        UNION ALL
+        SELECT key, 1 AS side, unnest(string_split(edited, chr(10))) AS line FROM edited
+    ), digest_sums AS (
+        SELECT key, side, lane, CAST(sum(CAST('0x' || substr(CASE WHEN lane < 8 THEN sha256('0:' || line) ELSE sha256('1:' || line) END,
+               1 + 8 * (lane % 8), 8) AS BIGINT)) % 4294967296 AS BIGINT) AS total
+        FROM lines CROSS JOIN range(16) r(lane) GROUP BY ALL
+    ), digests AS (
+        SELECT key, side, list(total ORDER BY lane) AS digests FROM digest_sums GROUP BY ALL
+    ), words AS (
+        SELECT key, side, regexp_extract_all(line, '[^\\x20\\x09-\\x0D]{{1,16}}') AS w FROM lines
+    ), triples AS (
+        SELECT key, side, len(w) > 0 AS is_real, md5(array_to_string(w[place:place + 2], ' ')) AS triple
+        FROM (SELECT key, side, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS place FROM words)
+    ), halves AS (
+        SELECT key, side, is_real, CASE WHEN is_real THEN CAST('0x' || substr(triple, 1, 15) AS BIGINT) ELSE 0 END AS half_0,
+               CASE WHEN is_real THEN CAST('0x' || substr(triple, 16, 15) AS BIGINT) ELSE 0 END AS half_1
+        FROM triples
+    ), packed AS (
+        SELECT key, side, CAST(count(*) FILTER (WHERE is_real) AS BIGINT) AS n, CAST([{_PACKED}] AS BIGINT[]) AS bits FROM halves GROUP BY ALL
+    ), signs AS (
+        SELECT key, side, list_transform(list_concat(list_transform(bits, lambda x: x & {(1 << paragraph_hash.BITS) - 1}), list_transform(bits, lambda x: x >> {paragraph_hash.BITS})),
+               lambda x: ((2 * x - n) % 16777216 + 16777216) % 16777216) AS signs
+        FROM packed
+    ), prints AS (
+        SELECT d.key, d.side, digests, signs,
+               list_sum(list_transform(signs, lambda x: (x - CASE WHEN x >= 8388608 THEN 16777216 ELSE 0 END) ** 2)) AS squares,
+               to_base64(unhex(array_to_string(list_transform(digests, lambda x: printf('%08x', x)), '') ||
+               array_to_string(list_transform(signs, lambda x: printf('%06x', x)), ''))) AS fingerprint
+        FROM digests d JOIN signs s ON d.key = s.key AND d.side = s.side
+    ), compared AS (
+        SELECT a.key AS key, b.key AS other, b.side AS side, b.fingerprint AS fingerprint,
+               CASE WHEN a.digests = b.digests THEN 1.0 WHEN a.squares + b.squares = 0 THEN 0.0
+               ELSE greatest(0.0, 1.0 - list_sum(list_transform(list_zip(a.signs, b.signs), lambda p:
+                    (((p[1] - p[2] + 25165824) % 16777216) - 8388608) ** 2)) / (a.squares + b.squares)) END AS near
+        FROM prints a JOIN edited e ON a.key = e.key AND a.side = 0
+        JOIN prints b ON (b.side = 1 AND b.key = e.key) OR (b.side = 0 AND b.key = e.next_key)
+    )
+    SELECT e.doc_id, e.n_chars, sha256(e.edited) AS edited_sha256, p.fingerprint AS fingerprint, x.fingerprint AS edited_fingerprint,
+           CAST(x.near AS DOUBLE) AS near_edited, CAST(y.near AS DOUBLE) AS near_next
+    FROM edited e JOIN prints p ON p.key = e.key AND p.side = 0
+    JOIN compared x ON x.key = e.key AND x.side = 1 JOIN compared y ON y.key = e.key AND y.side = 0
+"""
+
 ORACLES = {
     "op2_repeated_strings": REPEATED_STRINGS_SQL,
     "op4_feistel_shards": FEISTEL_SQL,
     "op6_near_copies": NEAR_COPIES_SQL,
     "op10_exact_copies": EXACT_COPIES_SQL,
+    "op11_paragraph_hash": PARAGRAPH_HASH_SQL,
 }
