@@ -31,7 +31,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fathom.plans.storage import materialise
+from fathom.plans.storage import materialise, release_shuffles
 
 DIGESTS = 16
 SIGNS = 120
@@ -151,50 +151,46 @@ def _repeated(rows: DataFrame) -> DataFrame:
 
 
 def neighbours(keyed: DataFrame) -> DataFrame:
-    """key, previous key and the characters that the previous document asks for, by ascending doc_id.
+    """key, and key, doc_id, copies and n_chars of the document ``before`` it by ascending doc_id.
 
     The document before the first is the last one.
     """
-    sizes = keyed.groupBy("doc_id", "key").agg(F.max(F.char_length("text")).alias("n_chars"))
+    sizes = keyed.groupBy("doc_id", "key").agg(
+        F.max(F.char_length("text")).cast("long").alias("n_chars"), F.count(F.lit(1)).alias("copies")
+    )
     order = (F.col("doc_id").asc_nulls_first(), F.col("key").asc())
     ranged = sizes.repartitionByRange(*order).withColumn("part", F.spark_partition_id())
     stored = materialise(ranged, "paragraph-order")
+    whole = F.struct("doc_id", "key", "n_chars", "copies")
     # One row a range partition: the last document of the one before it.
-    ends = stored.groupBy("part").agg(F.max(F.struct("doc_id", "key", "n_chars")).alias("end"))
+    ends = stored.groupBy("part").agg(F.max(whole).alias("end"))
     by_part = Window.orderBy("part")
     everything = by_part.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     carried = ends.select("part", F.coalesce(F.lag("end").over(by_part), F.last("end").over(everything)).alias("end"))
-    before = F.lag(F.struct("doc_id", "key", "n_chars")).over(Window.partitionBy("part").orderBy(*order))
+    before = F.lag(whole).over(Window.partitionBy("part").orderBy(*order))
     linked = stored.withColumn("before", before).join(F.broadcast(carried), "part")
-    found = F.coalesce("before", "end")
-    return linked.select("key", found["key"].alias("before_key"), F.floor(found["n_chars"] / 2).cast("int").alias("wanted"))
+    return linked.select("key", F.coalesce("before", "end").alias("before"))
 
 
-def edited_pairs(docs: DataFrame) -> DataFrame:
-    """Every document beside its edited text, whose last half is the beginning of the next document.
-
-    doc_id, n_chars, edited_sha256, ``digests`` and ``signs`` of the text, of the edited text
-    (``edited_``) and of the next document (``next_``), and the likeness to both.
-    """
+def _sums_of_pairs(docs: DataFrame) -> DataFrame:
+    """A written table of every document, its key and the next one's, and the lanes of text and edited text."""
     keyed = _keyed(docs)
-    links = neighbours(keyed)
-    texts = keyed.groupBy("key").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
-    heads = texts.join(links, "key").select(
-        F.col("before_key").alias("key"), F.col("key").alias("next_key"), F.substring(F.col("text"), F.lit(1), F.col("wanted")).alias("head")
+    # Both uses read one exchange: the texts by key.
+    texts = keyed.groupBy("key").agg(F.first("text").alias("text"))
+    wanted = F.floor(F.col("before.n_chars") / 2).cast("int")
+    heads = texts.join(neighbours(keyed), "key").select(
+        "before.*", F.col("key").alias("next_key"), F.substring(F.col("text"), F.lit(1), wanted).alias("head")
     )
-    n_chars = F.char_length("text")
-    stays = (n_chars - F.floor(n_chars / 2)).cast("int")
+    stays = (F.col("n_chars") - F.floor(F.col("n_chars") / 2)).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), stays), F.col("head"))
-    pairs = texts.join(heads, "key").select(
-        "key", "doc_id", "copies", "next_key", n_chars.cast("long").alias("n_chars"), "text", edited.alias("edited")
-    )
+    pairs = texts.join(heads, "key").select("key", "doc_id", "copies", "next_key", "n_chars", "text", edited.alias("edited"))
     sides = F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("text")), F.struct(F.lit(1).alias("side"), F.col("edited").alias("text"))))
     kept = ["key", "doc_id", "copies", "next_key", "n_chars", "edited_sha256"]
     both = pairs.select("*", F.sha2("edited", 256).alias("edited_sha256")).select(*kept, sides.alias("one"))
     sums = paragraph_sums(both.select(*kept, "one.side", "one.text"), *kept, "side")
     # Two rows a document.
     beside = sums.groupBy(*kept).agg(F.sort_array(F.collect_list(F.struct("side", "digests", "signs"))).alias("both"))
-    stored = materialise(
+    return materialise(
         beside.select(
             *kept,
             F.col("both")[0]["digests"].alias("digests"),
@@ -204,6 +200,16 @@ def edited_pairs(docs: DataFrame) -> DataFrame:
         ),
         "paragraph-sums",
     )
+
+
+def edited_pairs(docs: DataFrame) -> DataFrame:
+    """Every document beside its edited text, whose last half is the beginning of the next document.
+
+    doc_id, n_chars, edited_sha256, ``digests`` and ``signs`` of the text, of the edited text
+    (``edited_``) and of the next document (``next_``), and the likeness to both.
+    """
+    stored = _sums_of_pairs(docs)
+    release_shuffles(docs.sparkSession)
     following = stored.select(F.col("key").alias("next_key"), F.col("digests").alias("next_digests"), F.col("signs").alias("next_signs"))
     own = (F.col("digests"), F.col("signs"))
     return _repeated(stored.join(following, "next_key")).select(
