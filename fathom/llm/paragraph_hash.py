@@ -172,6 +172,30 @@ def neighbours(keyed: DataFrame) -> DataFrame:
     return linked.select("key", F.coalesce("before", "end").alias("before"))
 
 
+def _packed(digests: Column, signs: Column) -> Column:
+    """Lanes as 4 and 3 bytes each, small numbers of either sign with zeros in their upper bytes."""
+    near = F.transform(signs, lambda x: F.when(x < SIGN_RING // 2, 2 * x).otherwise(2 * (SIGN_RING - x) - 1))
+    planes = [
+        F.transform(near, lambda x, shift=shift: (F.shiftright(x, shift).bitwiseAND(F.lit(255)) - 128).cast("tinyint")).alias(name)
+        for name, shift in (("low", 0), ("middle", 8), ("high", 16))
+    ]
+    return F.struct(F.transform(digests, lambda x: (x - DIGEST_RING // 2).cast("int")).alias("digests"), *planes)
+
+
+def _unpacked(packed: Column) -> tuple[Column, Column]:
+    """digests and signs of :func:`_packed`."""
+    digests = F.transform(packed["digests"], lambda x: x.cast("long") + DIGEST_RING // 2)
+
+    def byte(value: Column) -> Column:
+        return value.cast("int") + 128
+
+    near = F.zip_with(
+        F.zip_with(packed["low"], packed["middle"], lambda x, y: byte(x) + 256 * byte(y)), packed["high"], lambda x, y: x + 65536 * byte(y)
+    )
+    signs = F.transform(near, lambda x: F.when(x % 2 == 0, F.shiftright(x, 1)).otherwise(SIGN_RING - F.shiftright(x + 1, 1)))
+    return digests, signs
+
+
 def _sums_of_pairs(docs: DataFrame) -> DataFrame:
     """A written table of every document, its key and the next one's, and the lanes of text and edited text."""
     keyed = _keyed(docs)
@@ -193,10 +217,7 @@ def _sums_of_pairs(docs: DataFrame) -> DataFrame:
     return materialise(
         beside.select(
             *kept,
-            F.col("both")[0]["digests"].alias("digests"),
-            F.col("both")[0]["signs"].alias("signs"),
-            F.col("both")[1]["digests"].alias("edited_digests"),
-            F.col("both")[1]["signs"].alias("edited_signs"),
+            *[_packed(F.col("both")[i]["digests"], F.col("both")[i]["signs"]).alias(name) for i, name in enumerate(("own", "edited"))],
         ),
         "paragraph-sums",
     )
@@ -210,9 +231,15 @@ def edited_pairs(docs: DataFrame) -> DataFrame:
     """
     stored = _sums_of_pairs(docs)
     release_shuffles(docs.sparkSession)
-    following = stored.select(F.col("key").alias("next_key"), F.col("digests").alias("next_digests"), F.col("signs").alias("next_signs"))
+    following = stored.select(F.col("key").alias("next_key"), F.col("own").alias("next"))
+    beside = stored.join(following, "next_key")
+    lanes = [
+        lane.alias(f"{prefix}{name}")
+        for side, prefix in (("own", ""), ("edited", "edited_"), ("next", "next_"))
+        for lane, name in zip(_unpacked(F.col(side)), ("digests", "signs"))
+    ]
     own = (F.col("digests"), F.col("signs"))
-    return _repeated(stored.join(following, "next_key")).select(
+    return _repeated(beside.select("doc_id", "copies", "n_chars", "edited_sha256", *lanes)).select(
         "doc_id", "n_chars", "edited_sha256", "digests", "signs", "edited_digests", "edited_signs", "next_digests", "next_signs",
         likeness(*own, F.col("edited_digests"), F.col("edited_signs")).alias("near_edited"),
         likeness(*own, F.col("next_digests"), F.col("next_signs")).alias("near_next"),
