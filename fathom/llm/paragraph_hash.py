@@ -175,10 +175,11 @@ def neighbours(keyed: DataFrame) -> DataFrame:
 def _packed(digests: Column, signs: Column) -> Column:
     """Lanes as 4 and 3 bytes each, small numbers of either sign with zeros in their upper bytes."""
     near = F.transform(signs, lambda x: F.when(x < SIGN_RING // 2, 2 * x).otherwise(2 * (SIGN_RING - x) - 1))
-    planes = [
-        F.transform(near, lambda x, shift=shift: (F.shiftright(x, shift).bitwiseAND(F.lit(255)) - 128).cast("tinyint")).alias(name)
-        for name, shift in (("low", 0), ("middle", 8), ("high", 16))
-    ]
+
+    def plane(shift: int) -> Column:
+        return F.transform(near, lambda x: (F.shiftright(x, shift).bitwiseAND(F.lit(255)) - 128).cast("tinyint"))
+
+    planes = [plane(0).alias("low"), plane(8).alias("middle"), plane(16).alias("high")]
     return F.struct(F.transform(digests, lambda x: (x - DIGEST_RING // 2).cast("int")).alias("digests"), *planes)
 
 
