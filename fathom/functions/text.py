@@ -41,7 +41,8 @@ TOKEN_RUN = "([\u4e00-\u9fff]+|[a-z0-9_]+)"
 IDEOGRAPH_START = "^[\u4e00-\u9fff]"
 LINE_BREAK = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 PARAGRAPH_BREAK = "(?U)(?:\\r?\\n[\\s\\x1c-\\x1f]*){2,}"
-SENTENCE_BREAK = "(?U)(?<=[。！？!?\\.])[\\s\\x1c-\\x1f]*"
+SENTENCE_END = "(?<=[。！？!?\\.])"
+SENTENCE_BREAK = f"(?U){SENTENCE_END}[\\s\\x1c-\\x1f]*"
 
 SPLIT_MODES = ("non_empty_line", "paragraph", "sentence", "custom_delimiter", "whole_input")
 
@@ -100,6 +101,13 @@ def raw_segments(text: Column, mode: str, delimiter: str = "") -> Column:
     return F.split(text, SENTENCE_BREAK if mode == "sentence" else LINE_BREAK, -1)
 
 
+def line_pieces(line: Column, mode: str, delimiter: str = "") -> Column:
+    """One line cut at the sentence ends or delimiters in it."""
+    if mode == "custom_delimiter":
+        return raw_segments(line, mode, delimiter)
+    return F.split(line, SENTENCE_END, -1)
+
+
 def kept_segments(raw: Column) -> Column:
     return F.filter(F.transform(raw, strip), lambda segment: segment != "")
 

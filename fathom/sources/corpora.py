@@ -185,24 +185,98 @@ def numbered_lines(spark: SparkSession, path: str, encoding: str = "utf-8") -> D
     )
 
 
-def ordinals(rows: DataFrame, *order: str) -> DataFrame:
-    """Number rows from 0 through each file as ``index``.
+def cumulated(rows: DataFrame, amounts: dict[str, Column], *order: str) -> DataFrame:
+    """Add for each amount its sum over the rows before in the same file, in (``split``, ``order``).
 
-    Rows are numbered inside their split, which the reader bounds in size, and
-    shifted by the rows of the splits before it.
+    Rows are added up inside their split, which the reader bounds in size, and shifted by the
+    totals of the splits before it, one short row a split.
     """
-    inside = Window.partitionBy("file", "split").orderBy(*order)
-    numbered = rows.withColumn("place", F.row_number().over(inside) - 1)
-    sizes = rows.groupBy("file", "split").agg(F.count(F.lit(1)).alias("size"))
+    inside = Window.partitionBy("file", "split").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     ahead = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = sizes.select(
-        "file", "split", F.coalesce(F.sum("size").over(ahead), F.lit(0)).alias("shift")
+    totals = rows.groupBy("file", "split").agg(*[F.sum(amount).alias(f"_{name}") for name, amount in amounts.items()])
+    shifts = totals.select("file", "split", *[F.coalesce(F.sum(f"_{name}").over(ahead), F.lit(0)).alias(f"_{name}") for name in amounts])
+    local = rows.withColumns({name: F.coalesce(F.sum(amount).over(inside), F.lit(0)) for name, amount in amounts.items()})
+    shifted = local.join(shifts, ["file", "split"]).withColumns({name: F.col(name) + F.col(f"_{name}") for name in amounts})
+    return shifted.drop(*[f"_{name}" for name in amounts])
+
+
+def ordinals(rows: DataFrame, *order: str) -> DataFrame:
+    """Number rows from 0 through each file as ``index``."""
+    return cumulated(rows, {"index": F.lit(1).cast("long")}, *order)
+
+
+def text_lines(spark: SparkSession, path: str, encoding: str = "utf-8") -> DataFrame:
+    """Every line of every file, whatever ends it, with its place: ``split``, ``line``, ``piece``.
+
+    Joined by line feeds they are the text of the file: one that ends in a line break has an empty
+    last line. An empty file has no lines.
+    """
+    charset = java_charset(spark, encoding)
+    rows = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("file"),
+        scope_of(path).alias("scope"),
+        F.col("_metadata.file_block_start").alias("split"),
+        F.monotonically_increasing_id().alias("line"),
+        F.octet_length("value").alias("octets"),
+        F.col("_metadata.file_size").alias("file_size"),
+        F.regexp_replace(decoded(F.col("value"), charset), "^\ufeff", "").alias("value"),
+    )
+    # A carriage return is a line break, before a line feed the same one.
+    lines = rows.select(
+        "file", "scope", "split", "line",
+        F.posexplode(F.split(F.regexp_replace("value", "\r\\z", ""), "\r", -1)).alias("piece", "value"),
+    )
+    # The reader does not tell whether the last line has an end; its bytes do. It drops a byte order mark.
+    place = F.struct("split", "line")
+    files = rows.groupBy("file").agg(
+        F.first("scope").alias("scope"),
+        F.max(place).alias("last"),
+        F.max_by(F.endswith("value", F.lit("\r")), place).alias("returned"),
+        (F.sum(F.col("octets").cast("long") + 1) - F.first("file_size")).isin(0, -3).alias("ended"),
     )
-    return (
-        numbered.join(shifts, ["file", "split"])
-        .withColumn("index", F.col("shift") + F.col("place"))
-        .drop("shift", "place")
+    closing = files.where("ended or returned").select(
+        "file", "scope", "last.split", (F.col("last.line") + 1).alias("line"), F.lit(0).alias("piece"), F.lit("").alias("value")
     )
+    return lines.unionByName(closing)
+
+
+def stitched_segments(
+    spark: SparkSession, path: str, mode: str, delimiter: str = "", encoding: str = "utf-8"
+) -> tuple[DataFrame, DataFrame]:
+    """Segments of files of any size (file, scope, split, index, content) and how many blank ones were skipped.
+
+    Lines are cut at their breaks. The breaks before a piece, counted through the file, name its
+    segment; pieces of one name are joined, so a segment may begin and end in different splits.
+    """
+    lines = text_lines(spark, path, encoding)
+    blank = tx.strip(F.col("value")) == ""
+    if mode == "paragraph":
+        placed = cumulated(lines, {"number": blank.cast("long"), "at": F.lit(1).cast("long")}, "line", "piece")
+        pieces = placed.where(~blank).withColumn("part", F.lit(0))
+        ends = placed.groupBy("file").agg(
+            F.count(F.lit(1)).alias("lines"), F.min(F.when(~blank, F.col("at"))).alias("first"), F.max(F.when(~blank, F.col("at"))).alias("last")
+        )
+        # Two line breaks before the first word, or after the last one, cut off a blank segment.
+        edges = (F.col("first") >= 2).cast("long") + (F.col("lines") - 1 - F.col("last") >= 2).cast("long")
+        skipped = ends.select(F.coalesce(edges, F.when(F.col("lines") > 2, 2).otherwise(1).cast("long")).alias("n"))
+    else:
+        cut = tx.line_pieces(F.col("value"), mode, delimiter)
+        placed = cumulated(lines.withColumn("cut", cut), {"breaks": (F.size("cut") - 1).cast("long")}, "line", "piece")
+        pieces = placed.select("file", "scope", "split", "line", "piece", "breaks", F.posexplode("cut").alias("part", "value"))
+        pieces = pieces.withColumn("number", F.col("breaks") + F.col("part"))
+        # A sentence holds its end; only a file without any can be one blank segment.
+        whole = placed.groupBy("file").agg((F.sum(F.size("cut")) == F.count(F.lit(1))).alias("one"), F.bool_and(blank).alias("blank"))
+        skipped = whole.select((F.col("one") & F.col("blank")).cast("long").alias("n"))
+    order = F.struct("split", "line", "piece", "part")
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order.alias("at"), F.col("value")))), lambda p: p["value"]), "\n")
+    segments = pieces.groupBy("file", "number").agg(
+        F.first("scope").alias("scope"), F.min("split").alias("split"), tx.strip(joined).alias("content")
+    )
+    if mode == "custom_delimiter":
+        skipped = segments.select((F.col("content") == "").cast("long").alias("n"))
+    kept = segments.where(F.col("content") != "")
+    indexed = kept.withColumn("index", F.col("number")) if mode == "sentence" else ordinals(kept, "number")
+    return indexed.drop("number"), skipped.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("skipped_segments"))
 
 
 def read_text_corpus(
@@ -219,8 +293,9 @@ def read_text_corpus(
 ) -> Corpus:
     """Read text or Markdown files as records.
 
-    Line records are read split by split, so a file may be of any size. The other
-    modes need a file as a whole in one task.
+    Files are read split by split, so they may be of any size in every mode but ``whole_input``,
+    which makes a record of each file, and delimiters that hold a line break, which need the file as
+    a whole in one task. An empty file gives no record.
     """
     options = {
         "default_category": default_category,
@@ -248,6 +323,10 @@ def read_text_corpus(
             default_source,
         )
         return Corpus(records, _default_categories(spark, default_category), skipped)
+    if mode in ("paragraph", "sentence") or mode == "custom_delimiter" and not re.search("[\r\n]", delimiter):
+        segments, skipped = stitched_segments(spark, path, mode, delimiter, encoding)
+        records = _with_defaults(segments.withColumn("source", F.col("file")), corpus_id, default_category, default_tags, default_source)
+        return Corpus(records, _default_categories(spark, default_category), skipped)
     files = spark.read.text(path, wholetext=True).withColumn("content", decoded(F.col("value"), charset))
     texts = files.select(
         scope_of(path).alias("scope"),
