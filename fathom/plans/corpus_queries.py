@@ -157,6 +157,38 @@ def _(spark, folder):
     return read.records.groupBy(F.md5("content").alias("digest")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def file_segments_sql(mode: str, end: str) -> str:
+    cut = SPLITS[mode][0].replace("text", "content")
+    return f"""WITH ended AS (SELECT text || {end} AS content FROM documents),
+    pieces AS (SELECT unnest({cut}) AS piece FROM ended)
+    SELECT md5({strip_sql('piece')}) AS digest, COUNT(*) AS n FROM pieces WHERE {strip_sql('piece')} <> '' GROUP BY 1"""
+
+
+def file_segments(spark, folder, mode, end, delimiter=""):
+    """Segments of all documents, written as text files and read split by split."""
+    path = scratch_path(spark, f"text-{mode}")
+    table(spark, folder, "documents").select(F.concat("text", F.lit(end)).alias("value")).write.text(path)
+    read = corpora.read_text_corpus(spark, path, "files", mode=mode, delimiter=delimiter)
+    return read.records.groupBy(F.md5("content").alias("digest")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# What is written after each document keeps its last segment apart from the next one's.
+@query("text_file_paragraphs", file_segments_sql("paragraph", "chr(10) || chr(10)"))
+def _(spark, folder):
+    return file_segments(spark, folder, "paragraph", "\n\n")
+
+
+@query("text_file_sentences", file_segments_sql("sentence", "chr(10) || '.'"))
+def _(spark, folder):
+    return file_segments(spark, folder, "sentence", "\n.")
+
+
+@query("text_file_delimited", file_segments_sql("custom_delimiter", "'" + SPLITS["custom_delimiter"][2] + "'"))
+def _(spark, folder):
+    delimiter = SPLITS["custom_delimiter"][2]
+    return file_segments(spark, folder, "custom_delimiter", delimiter, delimiter)
+
+
 @query(
     "json_lines",
     """SELECT 'c-' || conv_id || '-' || turn AS id, md5(text) AS digest,
