@@ -11,11 +11,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fathom.plans.keys import ref
+from fathom.sources import quoted
 
 # Delimiters by name, supported encodings and rows of a preview.
 DELIMITERS = {"comma": ",", "tab": "\t", "semicolon": ";", "pipe": "|"}
 ENCODINGS = ("utf-8-sig", "utf-8", "gb18030", "shift_jis")
 PREVIEW_ROWS = 200
+# A cell of a preview that spans more lines or characters counts as one with a stray quote.
+OPEN_LINES = 1_000
+OPEN_CHARS = 100_000
 
 
 def delimiter_of(name: str) -> str:
@@ -79,8 +83,18 @@ def read_delimited(
 
     Without ``schema`` the types come from all rows. Pass a schema for large
     inputs (it saves a pass) and wherever ids carry leading zeros. Cells with
-    line breaks need ``multi_line``, which reads every file in one task.
+    line breaks need ``multi_line``: records are then put together from lines,
+    so that files still are read split by split; they end in LF or CRLF.
     """
+    if multi_line:
+        sep = delimiter_of(delimiter)
+        lines = quoted.lines_of(spark, path, lambda value: decoded(value, java_charset(spark, encoding)))
+        records = quoted.quoted_records(lines, sep)
+        first = first_records(spark, path, encoding, sep, 1)[0]
+        if not first:
+            raise ValueError(f"No records in {path}")
+        names = repaired_names(first[0] if has_header else [f"column_{i + 1}" for i in range(len(first[0]))])
+        return quoted.parsed(records.where("number > 0") if has_header else records, names, schema, sep)
     names = repaired_names(_first_cells(spark, path, encoding, delimiter, multi_line))
     if not has_header:
         names = [f"column_{index + 1}" for index in range(len(names))]
@@ -107,20 +121,39 @@ def first_lines(spark: SparkSession, path: str, encoding: str, count: int) -> li
     return [lines[0].lstrip("\ufeff"), *lines[1:]] if lines else []
 
 
-def first_records(spark: SparkSession, path: str, encoding: str, delimiter: str, count: int) -> list[list[str]]:
-    """The first ``count`` records; cells may hold line breaks.
+def first_records(
+    spark: SparkSession, path: str, encoding: str, delimiter: str, count: int
+) -> tuple[list[list[str]], bool]:
+    """The first ``count`` records, and whether one of them has a quote that does not close.
 
-    Reads that many lines, and twice as many again while records are missing or the last
-    one is still open.
+    Cells may hold line breaks. Reads that many lines, and twice as many again while records are
+    missing. A record that is still open after ``OPEN_LINES`` lines or ``OPEN_CHARS`` characters is
+    taken to be its first line, with plain quotes.
     """
+    opening = re.compile(quoted.opens(delimiter))
     wanted = count
     while True:
         lines = first_lines(spark, path, encoding, wanted)
-        open_quote = sum(line.count('"') for line in lines) % 2 == 1
-        rows = [row for row in csv.reader((line + "\n" for line in lines), delimiter=delimiter) if row]
-        complete = rows[:-1] if open_quote else rows
-        if len(complete) >= count or len(lines) < wanted:
-            return (complete if len(lines) == wanted else rows)[:count]
+        ended, rows, stray, at = len(lines) < wanted, [], False, 0
+        while at < len(lines) and len(rows) < count:
+            text, last = lines[at], at
+            inside = bool(opening.match(text))
+            while inside and last + 1 < len(lines) and last - at < OPEN_LINES and len(text) < OPEN_CHARS:
+                last += 1
+                inside = bool(opening.match('"' + lines[last]))
+                text += "\n" + lines[last]
+            if inside and not ended and last + 1 == len(lines) and last - at < OPEN_LINES and len(text) < OPEN_CHARS:
+                break
+            if inside or len(text) > OPEN_CHARS:
+                stray |= inside
+                row, last = lines[at].split(delimiter), at
+            else:
+                row = next(csv.reader([part + "\n" for part in text.split("\n")], delimiter=delimiter), [])
+            if row and lines[at]:
+                rows.append(row)
+            at = last + 1
+        if len(rows) >= count or ended:
+            return rows, stray
         wanted *= 2
 
 
@@ -135,9 +168,10 @@ def preview_delimited(
 ) -> tuple[DataFrame, list[str]]:
     """The first records as text, short ones padded with empty cells, and warnings.
 
-    Takes the first lines of the input only, so it costs the same for any size.
+    Takes a bounded number of the first lines only, so it costs the same for any size, also where a
+    quote is never closed.
     """
-    rows = first_records(spark, path, encoding, delimiter_of(delimiter), limit + has_header)
+    rows, stray = first_records(spark, path, encoding, delimiter_of(delimiter), limit + has_header)
     if not rows:
         raise ValueError(f"No records in {path}")
     header = rows[0] if has_header else [f"column_{i + 1}" for i in range(max(map(len, rows)))]
@@ -146,6 +180,8 @@ def preview_delimited(
         warnings.append("blank_headers_renamed")
     if len({len(row) for row in rows}) > 1:
         warnings.append("ragged_rows_padded")
+    if stray:
+        warnings.append("unclosed_quotes")
     names = repaired_names(header)
     body = (rows[1:] if has_header else rows)[:limit]
     padded = [(row + [""] * len(names))[: len(names)] for row in body]
