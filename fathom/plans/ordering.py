@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import math
 import operator
 from collections.abc import Iterator, Sequence
 
@@ -125,7 +126,8 @@ def quantiles(
     """Exact interpolated quantiles of ``value`` per key as an array ``quantiles``.
 
     Groups without a value are absent. A first pass brackets the quantiles of every
-    group, :func:`narrowed_quantiles` finds them inside.
+    group, :func:`narrowed_quantiles` finds them inside. The passes are the same for any
+    number of groups; :func:`unpivoted` makes columns groups, too.
     """
     key = F.struct(*keys) if keys else F.struct(F.lit(0).alias("all"))
     present = df.where(F.col(value).isNotNull()).select(
@@ -141,6 +143,30 @@ def quantiles(
     return found.select(*[F.col("key")[name].alias(name) for name in keys], "quantiles")
 
 
+def unpivoted(df: DataFrame, keys: Sequence[str], values: Sequence[Column]) -> DataFrame:
+    """One row a value that is there: keys, the ``position`` of its column and ``value``."""
+    entries = F.array(*[F.struct(F.lit(i).alias("position"), v.cast("double").alias("value")) for i, v in enumerate(values)])
+    return df.select(*keys, F.inline(entries)).where(F.col("value").isNotNull())
+
+
+def _asked(probabilities: Sequence[float]) -> Column:
+    return F.array(
+        *[
+            F.struct(F.lit(index).alias("index"), F.lit(float(p)).alias("p"))
+            for index, p in enumerate(probabilities)
+        ]
+    )
+
+
+def _end(ends: str, side: int, beyond: float) -> Column:
+    """An end of a bracket. Groups too small for a margin of two rows are kept as a whole.
+
+    No value is above one that is no number.
+    """
+    given = F.element_at(ends, F.col("index") * 2 + side)
+    return F.when(F.col("total") * MARGIN < 2, F.lit(beyond)).otherwise(given)
+
+
 def narrowed_quantiles(
     counts: DataFrame,
     groups: DataFrame,
@@ -152,60 +178,80 @@ def narrowed_quantiles(
 
     ``counts`` has ``key``, ``value`` and count ``n``; ``groups`` has ``key``,
     ``total`` and the bracket ``ends``. One pass counts the values below each
-    bracket and keeps the distinct ones inside, a few in ten thousand. Their
-    positions give the answer. Should a bracket miss its position, the table-wide
-    order decides instead.
+    bracket and keeps the distinct ones inside, a few in ten thousand; while a bracket
+    holds more than ``range_rows`` of them it is cut down to the cells around its
+    position. What is left of a bracket is summed up in order. Groups whose bracket
+    misses its position are done again with open brackets.
     """
-    asked = F.array(
-        *[
-            F.struct(F.lit(index).alias("index"), F.lit(float(p)).alias("p"))
-            for index, p in enumerate(probabilities)
-        ]
-    )
     exact = F.col("p") * (F.col("total") - 1)
-    wanted = groups.select("key", "total", "ends", F.inline(asked)).select(
+    wanted = groups.select("key", "total", "ends", F.inline(_asked(probabilities))).select(
         "key",
         "index",
         F.floor(exact).alias("lower"),
         F.least(F.floor(exact) + 1, F.col("total") - 1).alias("upper"),
         (exact - F.floor(exact)).alias("weight"),
-        F.element_at("ends", F.col("index") * 2 + 1).alias("low"),
-        F.element_at("ends", F.col("index") * 2 + 2).alias("high"),
+        _end("ends", 1, -math.inf).alias("low"),
+        _end("ends", 2, math.nan).alias("high"),
     )
     brackets = wanted.select("key", "index", "low", "high")
-    near = counts.join(brackets, "key").where(
-        F.col("value") <= F.col("high")
-    )
+    near = counts.join(brackets, "key").where(F.col("value") <= F.col("high"))
     # A missing value stands for everything below the bracket.
     inside = F.when(F.col("value") >= F.col("low"), F.col("value"))
     kept = near.groupBy("key", "index", inside.alias("value")).agg(F.sum("n").alias("n"))
     kept, measured = materialise_measured(kept, "brackets")
-    below = F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0))
-    reached = kept.groupBy("key", "index").agg(below.alias("below"), F.sum("n").alias("through"))
-    targets = wanted.drop("low", "high").join(reached, ["key", "index"], "left")
-    held = (F.col("lower") >= F.col("below")) & (F.col("upper") < F.col("through"))
-    if targets.where(~F.coalesce(held, F.lit(False))).head(1):
-        distinct = counts.groupBy("key", "value").agg(F.sum("n").alias("n"))
-        return spread_quantiles(distinct, probabilities, range_rows=range_rows)
-    ranked = spread_positions(
-        kept.where(F.col("value").isNotNull()), measured["rows"], "key", "index", "value", range_rows=range_rows
-    )
-    starts = ranked.groupBy("key", "index").agg(F.min("before").alias("start"))
-    placed = ranked.join(targets.join(starts, ["key", "index"]), ["key", "index"])
-    at = F.col("below") + F.col("before") - F.col("start")
+    targets = wanted.drop("low", "high")
+    if measured["rows"] > range_rows:
+        kept = _refined(kept, targets, range_rows)
+    before = Window.partitionBy("key", "index").orderBy(F.col("value").asc_nulls_first())
+    at = F.coalesce(F.sum("n").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = kept.withColumn("at", at).join(targets, ["key", "index"])
 
     def holding(position: str) -> Column:
-        hit = (F.col(position) >= at) & (F.col(position) < at + F.col("n"))
+        hit = (F.col(position) >= F.col("at")) & (F.col(position) < F.col("at") + F.col("n"))
         return F.max(F.when(hit, F.col("value")))
 
     blended = placed.groupBy("key", "index", "weight").agg(
         holding("lower").alias("low"), holding("upper").alias("high")
     )
-    return _per_key(
-        blended.select(
-            "key", "index", (F.col("low") + (F.col("high") - F.col("low")) * F.col("weight")).alias("quantile")
+    between = F.col("low") + (F.col("high") - F.col("low")) * F.col("weight")
+    found = blended.select("key", "index", F.when(F.col("weight") == 0, F.col("low")).otherwise(between).alias("quantile"))
+    listed = groups.select("key", "total").join(_per_key(found), "key", "left")
+    missing = F.exists(F.col("quantiles"), lambda q: q.isNull()) | (F.size("quantiles") < len(probabilities))
+    marked = listed.withColumn("missed", F.coalesce(missing, F.lit(True)))
+    stored, seen = materialise_measured(marked, "quantiles", missed=F.count_if("missed"))
+    result = stored.where(~F.col("missed")).select("key", "quantiles")
+    if not seen["missed"]:
+        return result
+    ends = F.array(*[F.lit(end) for _ in probabilities for end in (-math.inf, math.nan)])
+    open_groups = stored.where("missed").select("key", "total", ends.alias("ends"))
+    again = counts.join(open_groups.select("key"), "key", "left_semi")
+    return result.unionByName(narrowed_quantiles(again, open_groups, probabilities, range_rows=range_rows))
+
+
+# A bracket is cut into this many cells at once.
+CELLS = 64
+
+
+def _refined(kept: DataFrame, targets: DataFrame, range_rows: int) -> DataFrame:
+    """Brackets cut down until none holds more than ``range_rows`` distinct values."""
+    while kept.groupBy("key", "index").count().agg(F.max("count")).first()[0] > range_rows:
+        cuts = kept.groupBy("key", "index").agg(
+            F.percentile_approx("value", [i / CELLS for i in range(1, CELLS)], ACCURACY).alias("cuts")
         )
-    )
+        cell = F.when(F.col("value").isNull(), -1).otherwise(F.size(F.filter("cuts", lambda cut: cut < F.col("value"))))
+        celled = kept.join(cuts, ["key", "index"]).select("key", "index", "value", "n", cell.alias("cell"))
+        cells = celled.groupBy("key", "index", "cell").agg(F.sum("n").alias("size"))
+        # At most CELLS + 1 rows a bracket.
+        before = Window.partitionBy("key", "index").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+        placed = cells.withColumn("at", F.coalesce(F.sum("size").over(before), F.lit(0))).join(targets, ["key", "index"])
+        needed = (F.col("upper") >= F.col("at")) & (F.col("lower") < F.col("at") + F.col("size")) & (F.col("cell") >= 0)
+        ends = placed.groupBy("key", "index").agg(
+            F.min(F.when(needed, F.col("cell"))).alias("first"), F.max(F.when(needed, F.col("cell"))).alias("last")
+        )
+        value = F.when(F.col("cell") >= F.col("first"), F.col("value"))
+        near = celled.join(ends, ["key", "index"]).where(F.col("cell") <= F.coalesce("last", F.lit(-1)))
+        kept = materialise(near.groupBy("key", "index", value.alias("value")).agg(F.sum("n").alias("n")), "brackets")
+    return kept
 
 
 def _per_key(found: DataFrame) -> DataFrame:
@@ -225,12 +271,7 @@ def spread_quantiles(
         F.min("before").alias("first"), F.sum("n").alias("size")
     )
     groups = spans.groupBy("key").agg(F.min("first").alias("start"), F.sum("size").alias("total"))
-    asked = F.array(
-        *[
-            F.struct(F.lit(index).alias("index"), F.lit(float(p)).alias("p"))
-            for index, p in enumerate(probabilities)
-        ]
-    )
+    asked = _asked(probabilities)
     exact = F.col("p") * (F.col("total") - 1)
     wanted = (
         groups.select("key", "start", "total", F.inline(asked))
