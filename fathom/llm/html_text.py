@@ -1,13 +1,16 @@
 """Main text of web pages after removing the template of their site.
 
 1. Every page becomes a tree; every element outside plain prose gets a hash of its whole
-   subtree, and each page sends its distinct hashes once. Spark counts them per host.
+   subtree, and each different page of a host sends its distinct hashes once (rows and mirrors
+   of one page count as one). Spark counts them per host.
 2. Subtrees that recur on at least ``SHARE`` of a host's pages (and on ``LEAST_PAGES``)
    are template: they are deleted wherever they stand. Inside an article the plain text
-   blocks are spared, so that repeated sentences of articles survive.
+   blocks are spared, so that repeated sentences of articles survive. On pages that mark no
+   article, a list or section that recurs word for word goes even between blocks of text.
 3. Elements that are no main text by their tag, role, class or id go, too, which also
-   serves hosts with few pages. If a page marks its article (``main`` or ``article``),
-   that is the text; otherwise the whole rest of the body is.
+   serves hosts with few pages, but never those around ``main``, an article or the main
+   heading. If a page marks its article (``main``, or ``article`` if it holds most of
+   ``main``), that is the text; otherwise the whole rest of the body is.
 
 Counted hashes are short. If a host's template hashes fit a measured bound
 (``NEAR_HASHES``) they go to the tasks that read the pages; beyond it pages and hashes
@@ -28,7 +31,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fathom.plans.storage import materialise
@@ -70,6 +73,14 @@ NO_TEXT_NAMES = frozenset(
     "replies share sharing social follow related recommended recommendations teaser teasers newsletter subscribe "
     "subscription signup login popup modal overlay paywall pagination pager toolbar skip hidden tags toc widget widgets".split()
 )
+# Elements without main text, unless they stand around the article.
+HOLDERS = frozenset("form fieldset label".split())
+CLOSED = NO_TEXT - HOLDERS
+# First parts of the names of articles that are cards or comments, and parts that tell a state.
+CARD_NAMES = frozenset("ad advert comment promo promoted recommended related sponsor sponsored teaser widget".split())
+STATES = frozenset("no not none without with has is open opened closed enabled disabled on off".split())
+# Articles are the text of ``main`` if they hold at least this share of it.
+ARTICLE_SHARE = 0.6
 SPACE = re.compile(r"[\s]+")
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>|\Z)", re.DOTALL)
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.IGNORECASE)
@@ -78,10 +89,10 @@ HOST = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)")
 
 
 class Element:
-    __slots__ = ("tag", "attributes", "children")
+    __slots__ = ("tag", "attributes", "children", "holds")
 
     def __init__(self, tag: str, attributes: str):
-        self.tag, self.attributes, self.children = tag, attributes, []
+        self.tag, self.attributes, self.children, self.holds = tag, attributes, [], False
 
 
 def parsed(page: str) -> Element:
@@ -132,30 +143,81 @@ def parsed(page: str) -> Element:
             at = close.end() if close else size
             continue
         stack.append(element)
+    _mark_holders(root)
     return root
 
 
+def _mark_holders(root: Element) -> None:
+    """Tell the elements that stand around the main heading, ``main`` or an article that is no card."""
+    order, stack = [], [root]
+    while stack:
+        top = stack.pop()
+        order.append(top)
+        stack += [c for c in top.children if isinstance(c, Element)]
+    for top in reversed(order):
+        for child in top.children:
+            if isinstance(child, str) or child.tag in CLOSED:
+                continue
+            if child.holds or child.tag in ("main", "h1") or child.tag == "article" and not excluded(child):
+                top.holds = True
+                break
+
+
+def _names_no_text(words: list[str], tag: str) -> bool:
+    """Whether names in class or id mark an element that is no main text.
+
+    A name with a part such as ``no`` or ``open`` tells a state, not what the element is. Prose and
+    articles are judged by whole names; of other elements a part suffices, as in ``site-footer``.
+    """
+    for word in words:
+        if word in NO_TEXT_NAMES:
+            return True
+        parts = NAME_PARTS.split(word)
+        if tag == "article":
+            if parts[0] in CARD_NAMES and STATES.isdisjoint(parts):
+                return True
+        elif tag not in PROSE and not NO_TEXT_NAMES.isdisjoint(parts) and STATES.isdisjoint(parts):
+            return True
+    return False
+
+
 def excluded(element: Element) -> bool:
-    """Whether the element is no main text by its tag, role, class or id."""
-    if element.tag in NO_TEXT:
+    """Whether the element is no main text by its tag, role, class or id.
+
+    The page, its body and ``main`` are never judged by name, and nothing around the article is.
+    """
+    if element.tag in CLOSED:
+        return True
+    holds = element.tag in ("#page", "html", "body", "main") or element.holds and element.tag != "article" and element.tag not in PROSE
+    if element.tag in HOLDERS and not holds:
         return True
-    if not element.attributes:
-        return False
-    for name, *values in ATTRIBUTE.findall(element.attributes):
+    for name, *values in ATTRIBUTE.findall(element.attributes) if element.attributes else ():
         name, value = name.lower(), next((v for v in values if v), "").lower()
         if name == "hidden" or name == "aria-hidden" and value == "true":
             return True
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             return True
+        if holds:
+            continue
         if name == "role" and value in NO_TEXT_ROLES:
             return True
-        if name in ("class", "id"):
-            for word in value.split():
-                if word in NO_TEXT_NAMES or not NO_TEXT_NAMES.isdisjoint(NAME_PARTS.split(word)):
-                    return True
+        if name in ("class", "id") and _names_no_text(value.split(), element.tag):
+            return True
     return False
 
 
+def text_mass(element: Element) -> int:
+    """Characters of text in the element, without white space at the ends of its pieces."""
+    mass, stack = 0, [element]
+    while stack:
+        node = stack.pop()
+        if isinstance(node, str):
+            mass += len(node.strip())
+        elif node is element or not excluded(node):
+            stack += node.children
+    return mass
+
+
 def _hash_into(element: Element, found: dict[int, int]) -> bytes:
     """Digest of a subtree; ``found`` gets the digest of each element that holds text."""
     order, stack = [], [element]
@@ -227,8 +289,10 @@ def main_text(page: str | None, template: frozenset[int] | set[int] = frozenset(
     roots = marked("main") or marked("article")
     inside = bool(roots)
     if inside and roots[0].tag == "main":
-        articles = [e for e in marked("article")]
-        roots = articles or roots
+        articles = marked("article")
+        # A card among the text of main is no article.
+        if articles and sum(map(text_mass, articles)) >= ARTICLE_SHARE * sum(map(text_mass, roots)):
+            roots = articles
     blocks: list[str] = []
     line: list[str] = []
 
@@ -269,23 +333,27 @@ def host_of(url: str | None) -> str | None:
     return found[1].lower() if found else None
 
 
+def _host(url: Column) -> Column:
+    return F.lower(F.regexp_extract(url, HOST.pattern, 1))
+
+
 def template_hashes(pages: DataFrame, share: float = SHARE, least: int = LEAST_PAGES) -> DataFrame:
-    """host, hash of the subtrees that recur across the pages of a host."""
+    """host, hash of the subtrees that recur across the different pages of a host."""
 
     def candidates(batches):
         for batch in batches:
             hosts, hashes = [], []
-            for url, page in zip(batch.column(0).to_pylist(), batch.column(1)):
-                host = host_of(url)
-                if host is None:
-                    continue
+            for host, page in zip(batch.column(0).to_pylist(), batch.column(1)):
                 found = template_candidates(page.as_py() or "")
                 hosts += [host] * (len(found) + 1)
                 hashes += [None, *found]
             yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(hashes, pa.int64())], names=["host", "hash"])
 
+    # Rows and mirrors of one page count once.
+    known = pages.select(_host(F.col("url")).alias("host"), F.sha2("html", 256).alias("digest"), "html").where("host <> ''")
+    different = known.groupBy("host", "digest").agg(F.first("html").alias("html"))
     counted = (
-        pages.select("url", "html")
+        different.select("host", "html")
         .mapInArrow(candidates, "host string, hash long")
         .groupBy("host", "hash")
         .agg(F.count(F.lit(1)).alias("n"))
@@ -325,8 +393,7 @@ def extract_text(pages: DataFrame, share: float = SHARE, near_hashes: int = NEAR
         return wanted.mapInArrow(near, RESULT)
 
     # A host's hashes are at most 1 / share times the elements of a page.
-    host = F.lower(F.regexp_extract("url", HOST.pattern, 1))
-    salted = wanted.select("*", host.alias("host"), (F.xxhash64("page_id", "url") % SALTS).alias("salt"))
+    salted = wanted.select("*", _host(F.col("url")).alias("host"), (F.xxhash64("page_id", "url") % SALTS).alias("salt"))
     lists = known.groupBy("host").agg(F.collect_list("hash").alias("hashes"))
     lists = lists.select("host", "hashes", F.explode(F.sequence(F.lit(1 - SALTS).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
 

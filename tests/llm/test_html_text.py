@@ -66,3 +66,30 @@ def test_templates_of_a_host_go_and_articles_stay(spark):
     for row in near:
         assert row.text == want[row.page_id] and row.n_chars == len(row.text)
     assert html_text.extract_text(pages.limit(0)).count() == 0
+
+
+def test_names_around_the_text_do_not_drop_it():
+    for page, want in [
+        ('<body class="no-sidebar"><article><p>Real text.</p></article></body>', "Real text."),
+        ('<html class="no-js cookie-consent"><body><p>Real text.</p></body></html>', "Real text."),
+        ('<body class="sidebar"><div class="page-banner-off"><p>Real text.</p></div></body>', "Real text."),
+        ('<article class="post comments-open"><p>Real text.</p></article>', "Real text."),
+        ('<article><p class="notice-period">Three months.</p><p class="notice">Sale</p></article>', "Three months."),
+        ('<form id="aspnet"><article><h2>Head</h2><p>Real text.</p></article><form>Mail</form></form>', "Head\nReal text."),
+        ('<form><h1>Head</h1><p>Real text.</p></form><form>Search</form>', "Head\nReal text."),
+        ('<div class="widget"><main><p>Real text.</p></main></div>', "Real text."),
+        ('<div class="site-footer"><p>Imprint</p></div><p>Real text.</p>', "Real text."),
+        ('<article><p>Real text.</p></article><div class="comments"><article class="comment-body"><p>First!</p></article></div>', "Real text."),
+        ("<main><h1>Head</h1><p>A first long paragraph of it.</p><article><p>Teaser card</p></article><p>A last paragraph.</p></main>",
+         "Head\nA first long paragraph of it.\nTeaser card\nA last paragraph."),
+        ("<main><p>Home</p><article><p>A long text that is most of main.</p></article></main>", "A long text that is most of main."),
+    ]:
+        assert html_text.main_text(page) == want, page
+
+
+def test_repeated_rows_and_mirrors_count_as_one_page(spark):
+    page = "<html><body><div><p>A page of its own.</p><section>More of it.</section></div></body></html>"
+    rows = [(1, "https://a.example/", page)] * 6 + [(i, f"https://a.example/{i}", page) for i in range(2, 8)]
+    for near in (html_text.NEAR_HASHES, 0):
+        got = html_text.extract_text(page_table(spark, rows).repartition(3), near_hashes=near).collect()
+        assert len(got) == 12 and {r.text for r in got} == {"A page of its own.\nMore of it."}
