@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,12 +34,48 @@ def _one_row_per(df: DataFrame, aggregates: list[Column], entries: list[Column])
     return df.agg(*aggregates).select(F.inline(F.array(*entries)))
 
 
-def correlation_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Pearson r and pair count for every pair of columns, in one pass.
+# Sums of a pair of columns over the rows in which both are present.
+_SUMS = ("n", "x", "y", "xx", "yy", "xy", "unbounded")
+# A variance below this share of the mean square is rounding: the column is constant.
+_ROUNDING = 1e-13
+
+
+def _pair_sums(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """One row a pair ``i < j``: the sums of values, squares and products, in one scan.
 
-    Every row is dealt to its pairs, which meet again on the map side: the plan does
-    not grow with the number of columns.
+    Tasks multiply batches of rows as matrices, values and their presence apart, and send one row
+    a pair, so the shuffle does not grow with the rows. Values are taken from the first row's, which
+    keeps squares small; infinite ones and those that are no numbers are counted aside.
     """
+    values = df.select(*[ref(name).cast("double").alias(f"v{i}") for i, name in enumerate(columns)])
+    first = values.head()
+    origin = np.array([v if v is not None and math.isfinite(v) else 0.0 for v in first] if first else [0.0] * len(columns))
+    lefts, rights = np.triu_indices(len(columns), 1)
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            raw = np.column_stack([np.asarray(c.fill_null(0.0)) for c in batch.columns])
+            there = np.column_stack([np.asarray(c.is_valid()) for c in batch.columns]).astype(np.float64)
+            finite = np.isfinite(raw)
+            x = np.where(finite & (there > 0), raw - np.where(finite, origin, 0.0), 0.0)
+            odd = there * ~finite
+            square = (x * x).T @ there
+            shifted = x.T @ there
+            unbounded = odd.T @ there
+            unbounded = unbounded + unbounded.T
+            found = np.stack([there.T @ there, shifted, shifted.T, square, square.T, x.T @ x, unbounded])[:, lefts, rights]
+            total = found if total is None else total + found
+        if total is not None:
+            arrays = [pa.array(lefts, pa.int32()), pa.array(rights, pa.int32()), *[pa.array(t) for t in total]]
+            yield pa.RecordBatch.from_arrays(arrays, names=["i", "j", *_SUMS])
+
+    listed = values.mapInArrow(sums, "i int, j int, " + ", ".join(f"{name} double" for name in _SUMS))
+    return listed.groupBy("i", "j").agg(*[F.sum(name).alias(name) for name in _SUMS])
+
+
+def correlation_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Pearson r and pair count for every pair of columns, in one scan for any number of columns."""
     pairs = list(combinations(range(len(columns)), 2))
     named = [(i, j, columns[i], columns[j]) for i, j in pairs]
     listed = df.sparkSession.createDataFrame(
@@ -47,12 +86,15 @@ def correlation_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         return listed.select(
             "left_column", "right_column", nothing.cast("long").alias("row_count"), nothing.cast("double").alias("correlation")
         )
-    values = df.select(F.array(*[ref(name).cast("double") for name in columns]).alias("values"))
-    dealt = values.select("values", F.inline(F.array(*[_pair(i, j) for i, j in pairs])))
-    sides = dealt.select("i", "j", F.get("values", F.col("i")).alias("x"), F.get("values", F.col("j")).alias("y"))
-    x, y = F.col("x"), F.col("y")
-    found = sides.groupBy("i", "j").agg(
-        pair_count(x, y).alias("row_count"), correlation(x, y).alias("correlation")
+
+    def variance(total: str, squares: str) -> Column:
+        mean, square = F.col(total) / F.col("n"), F.col(squares) / F.col("n")
+        return F.when(square - mean * mean > square * _ROUNDING, square - mean * mean).otherwise(0.0)
+
+    shared = F.col("xy") / F.col("n") - F.col("x") / F.col("n") * (F.col("y") / F.col("n"))
+    r = F.try_divide(shared, F.sqrt(variance("x", "xx")) * F.sqrt(variance("y", "yy")))
+    found = _pair_sums(df, columns).where("n > 0").select(
+        "i", "j", F.col("n").cast("long").alias("row_count"), F.when(F.col("unbounded") > 0, math.nan).otherwise(r).alias("correlation")
     )
     return listed.join(found, ["i", "j"], "left").select(
         "left_column",
@@ -62,10 +104,6 @@ def correlation_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
-def _pair(i: int, j: int) -> Column:
-    return F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"))
-
-
 def trend_statistics(
     df: DataFrame, time_columns: Sequence[str], numeric_columns: Sequence[str]
 ) -> DataFrame:

@@ -787,6 +787,24 @@ def _(spark, folder):
     return rounded(findings.correlation_pairs(lines_with_gaps(spark, folder), NUMBERS), "correlation")
 
 
+# Columns made of the four numbers of a line, each with gaps of its own.
+WIDE = {
+    f"w{k}": f"CASE WHEN (l_orderkey * 7 + l_linenumber) % {k + 11} <> 0 THEN "
+    f"l_quantity * {k % 7 + 1} + l_extendedprice * {k % 5} / 100 + l_discount * {k * k % 91} + l_tax * {k % 13} END"
+    for k in range(100)
+}
+WIDE_SQL = f"""WITH lines AS (SELECT [{", ".join(f"CAST({e} AS DOUBLE)" for e in WIDE.values())}] AS v FROM lineitem),
+    pairs AS (SELECT a.i AS i, b.i AS j FROM range(1, 101) a(i) JOIN range(1, 101) b(i) ON a.i < b.i)
+    SELECT 'w' || (i - 1) AS left_column, 'w' || (j - 1) AS right_column, COUNT(v[i] + v[j]) AS row_count,
+        ROUND(CORR(v[i], v[j]), 6) AS correlation FROM lines CROSS JOIN pairs GROUP BY i, j"""
+
+
+@query("correlation_wide", WIDE_SQL)
+def _(spark, folder):
+    wide = table(spark, folder, "lineitem").select(*[F.expr(e).alias(name) for name, e in WIDE.items()])
+    return rounded(findings.correlation_pairs(wide, list(WIDE)), "correlation")
+
+
 TREND_SQL = """SELECT 'ts' AS time_column, '{0}' AS numeric_column, COUNT(*) AS row_count,
     ROUND(CORR(EPOCH(ts), {0}), 6) AS correlation,
     ROUND(REGR_SLOPE({0}, EPOCH(ts)) * 86400, 6) AS slope_per_day,
