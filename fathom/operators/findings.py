@@ -38,18 +38,18 @@ def _one_row_per(df: DataFrame, aggregates: list[Column], entries: list[Column])
 _SUMS = ("n", "x", "y", "xx", "yy", "xy", "unbounded")
 # A variance below this share of the mean square is rounding: the column is constant.
 _ROUNDING = 1e-13
+_FIRST_ROWS = 100
 
 
 def _pair_sums(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """One row a pair ``i < j``: the sums of values, squares and products, in one scan.
 
     Tasks multiply batches of rows as matrices, values and their presence apart, and send one row
-    a pair, so the shuffle does not grow with the rows. Values are taken from the first row's, which
-    keeps squares small; infinite ones and those that are no numbers are counted aside.
+    a pair, so the shuffle does not grow with the rows. A value of each column is the origin of its
+    sums, which keeps squares small; infinite values and those that are no numbers are counted aside.
     """
     values = df.select(*[ref(name).cast("double").alias(f"v{i}") for i, name in enumerate(columns)])
-    first = values.head()
-    origin = np.array([v if v is not None and math.isfinite(v) else 0.0 for v in first] if first else [0.0] * len(columns))
+    origin = np.array(_origins(values))
     lefts, rights = np.triu_indices(len(columns), 1)
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,6 +74,21 @@ def _pair_sums(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return listed.groupBy("i", "j").agg(*[F.sum(name).alias(name) for name in _SUMS])
 
 
+def _origins(values: DataFrame) -> list[float]:
+    """A finite value of every column: from the first rows, or from all if they have none."""
+    found: dict[str, float] = {}
+    for row in values.head(_FIRST_ROWS):
+        for name, value in row.asDict().items():
+            if value is not None and math.isfinite(value):
+                found.setdefault(name, value)
+    missing = [name for name in values.columns if name not in found]
+    if missing:
+        finite = {name: F.when(F.abs(name) < math.inf, F.col(name)) for name in missing}
+        row = values.agg(*[F.first(value, ignorenulls=True).alias(name) for name, value in finite.items()]).first()
+        found |= {name: row[name] or 0.0 for name in missing}
+    return [found[name] for name in values.columns]
+
+
 def correlation_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Pearson r and pair count for every pair of columns, in one scan for any number of columns."""
     pairs = list(combinations(range(len(columns)), 2))
