@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathom.functions import text as tx
-from fathom.operators import corpus, corpus_profile, corpus_reduce
+from fathom.operators import corpus, corpus_profile, corpus_reduce, corpus_store
 from fathom.plans import table_queries
 from fathom.plans.storage import scratch_path
 from fathom.plans.table_queries import Query, rounded, table
@@ -741,6 +741,22 @@ def _(spark, folder):
     return stored.groupBy("corpus_id").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(
+    "replace_corpus_version",
+    f"""WITH {BASE}, moved AS (SELECT 'c-' || conv_id || '-' || turn AS id FROM conversations WHERE role = 'user')
+    SELECT 'chats' AS corpus_id, 'c-' || conv_id || '-' || turn AS id FROM conversations WHERE role <> 'user'
+    UNION ALL SELECT 'taken', id FROM moved""",
+)
+def _(spark, folder):
+    # Records move from one corpus to another, and a whole corpus goes.
+    path = scratch_path(spark, "store")
+    records, categories, chats = records_of(spark, folder), categories_of(spark, folder), chats_of(spark, folder)
+    corpus_store.commit_corpora(spark, path, 0, {CORPUS: records, "chats": chats}, categories)
+    corpus_store.replace_corpus(spark, path, "taken", chats.where("primary_category_id = 'role_user'"), categories)
+    corpus_store.replace_corpus(spark, path, CORPUS, records.limit(0), categories)
+    return corpus_store.open_corpora(spark, path).records.select("corpus_id", "id")
+
+
 @query(
     "edit_records",
     f"""WITH {BASE} SELECT id, md5(content) AS digest,
