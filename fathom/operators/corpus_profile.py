@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import difflib
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from typing import NamedTuple
 
+import ahocorasick
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -201,10 +203,35 @@ def distinct_keywords(keywords: Sequence[str]) -> list[str]:
     return list(dict.fromkeys(word.strip() for word in keywords if word.strip()))
 
 
-def keyword_hits(folded: Column, keywords: Sequence[str], fold) -> Column:
-    """The keywords that a folded text contains, each once."""
-    tests = [F.when(F.contains(folded, F.lit(fold(word))), F.lit(word)) for word in keywords]
-    return F.array_compact(F.array(*tests))
+def keyword_hits(texts: DataFrame, keywords: Sequence[str], fold: Callable[[str], str]) -> DataFrame:
+    """primary_category_id and keyword of every record, each keyword once that its ``folded`` text contains.
+
+    Each task builds one automaton of all keywords, so a text is read once whatever their number.
+    """
+    by_form: dict[str, list[str]] = {}
+    for word in keywords:
+        by_form.setdefault(fold(word), []).append(word)
+    everywhere = by_form.pop("", [])
+
+    def matches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = ahocorasick.Automaton()
+        for form, words in by_form.items():
+            automaton.add_word(form, words)
+        automaton.make_automaton()
+        for batch in batches:
+            rows, found = [], []
+            for row, text in enumerate(batch.column(1)):
+                text = text.as_py()
+                if text is None:
+                    continue
+                words = {id(words): words for _, words in automaton.iter(text)} if by_form else {}
+                hits = [word for same in words.values() for word in same] + everywhere
+                rows += [row] * len(hits)
+                found += hits
+            owners = batch.column(0).take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([owners, pa.array(found, pa.string())], names=["primary_category_id", "keyword"])
+
+    return texts.select("primary_category_id", "folded").mapInArrow(matches, "primary_category_id string, keyword string")
 
 
 def keyword_matches(records: DataFrame, keywords: Sequence[str]) -> DataFrame:
@@ -213,11 +240,10 @@ def keyword_matches(records: DataFrame, keywords: Sequence[str]) -> DataFrame:
     if not words:
         raise ValueError("keyword_matches needs keywords.")
     texts = spread_small(records.select("primary_category_id", "content"))
-    folded = texts.select("primary_category_id", tx.casefold(F.col("content")).alias("folded"))
-    hits = folded.select(
-        F.nullif("primary_category_id", F.lit("")).alias("primary_category_id"),
-        F.explode(keyword_hits(F.col("folded"), words, str.casefold)).alias("keyword"),
+    folded = texts.select(
+        F.nullif("primary_category_id", F.lit("")).alias("primary_category_id"), tx.casefold(F.col("content")).alias("folded")
     )
+    hits = keyword_hits(folded, words, str.casefold)
     return hits.groupBy("primary_category_id", "keyword").agg(F.count(F.lit(1)).alias("record_count"))
 
 

@@ -101,11 +101,7 @@ def source_category_chart(
 
 def _keyword_rows(records: DataFrame, words: Sequence[str]) -> DataFrame:
     texts = spread_small(records.select("primary_category_id", "content"))
-    lowered = texts.select("primary_category_id", F.lower("content").alias("lowered"))
-    return lowered.select(
-        "primary_category_id",
-        F.explode(keyword_hits(F.col("lowered"), words, str.lower)).alias("keyword"),
-    )
+    return keyword_hits(texts.select("primary_category_id", F.lower("content").alias("folded")), words, str.lower)
 
 
 def keyword_chart(records: DataFrame, keywords: Sequence[str], *, limit: int = KEYWORDS) -> Reduced:

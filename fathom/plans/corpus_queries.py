@@ -6,6 +6,7 @@ language, source and toxicity are tags, and one source counts as unknown.
 
 from __future__ import annotations
 
+import itertools
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -388,6 +389,26 @@ def _(spark, folder):
     return corpus_profile.keyword_record_counts(records_of(spark, folder), KEYWORDS)
 
 
+# Five thousand keywords: pairs of letters with a vowel, and their doubles.
+MANY_WORDS_SQL = """SELECT a.c || b.c || c.c || d.c AS keyword FROM (SELECT unnest(string_split('a b c d e i o n t s', ' ')) AS c) a,
+    (SELECT unnest(string_split('a e i o u r n t l m', ' ')) AS c) b, (SELECT unnest(string_split('a b c d e i o n t s', ' ')) AS c) c,
+    (SELECT unnest(string_split('n t e r s', ' ')) AS c) d"""
+MANY_WORDS = ["".join(p) for p in itertools.product("abcdeionts", "aeiournltm", "abcdeionts", "nters")]
+
+
+@query(
+    "many_keyword_counts",
+    f"""WITH {BASE}, words AS ({MANY_WORDS_SQL}),
+    folded AS (SELECT {fold_sql('content')} AS content FROM corpus),
+    grams AS (SELECT DISTINCT content, unnest(list_transform(range(1, length(content) - 2), lambda i: substr(content, i, 4))) AS keyword
+        FROM (SELECT DISTINCT content FROM folded)),
+    seen AS (SELECT g.keyword, COUNT(*) AS n FROM grams g JOIN folded f ON f.content = g.content GROUP BY g.keyword)
+    SELECT w.keyword, COALESCE(n, 0) AS record_count FROM words w LEFT JOIN seen s ON s.keyword = w.keyword""",
+)
+def _(spark, folder):
+    return corpus_profile.keyword_record_counts(records_of(spark, folder), MANY_WORDS)
+
+
 @query(
     "keyword_category_counts",
     f"""WITH {BASE}, {MATCHES} SELECT category_id, COALESCE(k.name, category_id, 'Uncategorised') AS name, keyword,
