@@ -1,7 +1,7 @@
 """Near duplicates by bottom-k sketches from one hash function.
 
-1. Every text's shingle set gives its size, a digest of the set and the ``SKETCH``
-   smallest hash values. Equal sets are one node from here on.
+1. Every text's shingle set gives its size, a digest of its shingles' words and the
+   ``SKETCH`` smallest hash values. Equal sets are one node from here on.
 2. Inverted lists of the retained values generate overlaps. A pair above the threshold
    shares at least a known number of retained values, so it shares one among each
    side's rarest values; only those lists are used. Common passages are frequent and
@@ -15,7 +15,8 @@
    bound; what the group has in common cancels out. Only such pairs are compared, which
    loses no pair and does not list the pairs of a group.
 5. The union sketch of a pair estimates its similarity and drops pairs that cannot
-   reach the threshold; the exact Jaccard of the full sets decides on all others.
+   reach the threshold; the exact Jaccard of the full sets, shingles compared word by
+   word, decides on all others.
 6. Links become components by star contraction.
 
 A pair of sets whose sketches are the sets is generated with certainty; for larger ones
@@ -30,7 +31,6 @@ extra columns are ignored here and kept by :func:`drop_near_copies`.
 
 from __future__ import annotations
 
-import hashlib
 from math import comb
 
 import numpy as np
@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fathom.llm.components import components
-from fathom.llm.shingles import shared, shingle_sets
+from fathom.llm.shingles import full_sets, shared, shingle_sets
 from fathom.plans.storage import discard_since, mark, materialise
 
 SKETCH = 48
@@ -63,10 +63,10 @@ def sketches(docs: DataFrame, size: int = SKETCH) -> DataFrame:
     def rows(batches):
         for batch in batches:
             sizes, ids, kept = [], [], []
-            for found in shingle_sets(batch.column(1).to_pylist()):
+            for found in full_sets(batch.column(1).to_pylist()):
                 sizes.append(len(found))
-                ids.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest() if len(found) else None)
-                kept.append(found[:size])
+                ids.append(found.digest)
+                kept.append(found.hashes[:size])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()), pa.array(kept, pa.list_(pa.int64()))],
                 names=["doc_id", "n_shingles", "set_id", "sketch"],
@@ -133,18 +133,18 @@ def _estimated(pairs: DataFrame, nodes: DataFrame, percent: int, size: int) -> D
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose full sets reach the threshold."""
+    """Pairs whose full sets reach the threshold: by hashes first, then word by word."""
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
 
     def keep(batches):
         for batch in batches:
             flags = []
-            sets_a = shingle_sets(batch.column("text_a").to_pylist())
-            sets_b = shingle_sets(batch.column("text_b").to_pylist())
+            sets_a = full_sets(batch.column("text_a").to_pylist())
+            sets_b = full_sets(batch.column("text_b").to_pylist())
             for one, other in zip(sets_a, sets_b):
-                both = shared(one, other)
-                flags.append(100 * both >= percent * (len(one) + len(other) - both))
+                needed = -(-percent * (len(one) + len(other)) // (100 + percent))
+                flags.append(shared(one.hashes, other.hashes) >= needed and one.shared(other) >= needed)
             yield batch.select(["a", "b"]).filter(pa.array(flags, pa.bool_()))
 
     return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(keep, "a long, b long")

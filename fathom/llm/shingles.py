@@ -2,12 +2,17 @@
 
 A-Z is lower-cased, words are runs of bytes other than ASCII white space, a text's set
 holds its distinct runs of five words, or its whole sequence where it has fewer. A null
-or blank text has the empty set.
+or blank text has the empty set. Hashes only find shingles: :class:`ShingleSet` keeps
+the words behind them, so sets are identified and compared by what they really hold.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import cached_property
+from itertools import batched
 
 import numpy as np
 
@@ -29,11 +34,11 @@ def _constants(count: int, seed: int) -> np.ndarray:
         return mixed(np.arange(1, count + 1, dtype=np.uint64) * _ODD + np.uint64(seed))
 
 
-_BYTES = _constants(256, 11)
-_BYTES[65:91] = _BYTES[97:123]
 _PLACES = _constants(WIDTH, 12) | np.uint64(1)
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[32, *range(9, 14)]] = True
+_LENGTHS = np.uint64(0xC2B2AE3D27D4EB4F)
+# Longer words are hashed one by one, so that no number of steps depends on a word.
+LONG_WORD = 64
+SLICE_SHINGLES = 4096
 
 
 class Powers:
@@ -55,21 +60,25 @@ class Powers:
         return self.up, self.down
 
 
-_POWERS = Powers(0xD6E8FEB86659FD93)
-
-
-def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and first byte of every word of ``data`` (bytes)."""
-    if not len(data):
-        return np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)
-    inside = ~_SPACE[data]
-    edges = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8)))
-    starts, ends = edges[::2], edges[1::2]
-    up, down = _POWERS.upto(len(data) + 1)
+def word_hashes(data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of each word ``data[start:end]``: eight bytes at a time, each step mixed."""
+    padded = np.frombuffer(data + bytes(8), dtype=np.uint8)
+    eight = np.ndarray(len(data) + 1, dtype="<u8", buffer=padded, strides=(1,))
+    sizes = ends - starts
+    hashes = mixed(sizes.astype(np.uint64) * _LENGTHS)
+    at = np.flatnonzero(sizes <= LONG_WORD)
+    step = 0
     with np.errstate(over="ignore"):
-        sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(_BYTES[data] * up[: len(data)])])
-        hashes = (sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _ODD
-    return mixed(hashes), starts
+        while len(at):
+            left = np.minimum(sizes[at] - step, 8)
+            cells = eight[starts[at] + step] & (~np.uint64(0) >> (64 - 8 * left).astype(np.uint64))
+            hashes[at] = mixed(hashes[at] * _ODD + cells)
+            step += 8
+            at = at[sizes[at] > step]
+    for i in np.flatnonzero(sizes > LONG_WORD).tolist():
+        digest = hashlib.blake2b(data[starts[i] : ends[i]], digest_size=8).digest()
+        hashes[i] = int.from_bytes(digest, "little")
+    return hashes
 
 
 def _combined(words: np.ndarray, width: int) -> np.ndarray:
@@ -81,28 +90,74 @@ def _combined(words: np.ndarray, width: int) -> np.ndarray:
     return mixed(total)
 
 
-def shingle_sets(texts: list[str | None]) -> Iterator[np.ndarray]:
-    """The sorted distinct shingle hashes (int64) of each text."""
+@dataclass
+class ShingleSet:
+    """Distinct shingles of a text: sorted hashes (int64) and where the words of each stand."""
+
+    hashes: np.ndarray
+    data: bytes
+    starts: np.ndarray
+    ends: np.ndarray
+
+    def __len__(self) -> int:
+        return len(self.hashes)
+
+    def words(self, at: np.ndarray | None = None) -> Iterator[bytes]:
+        """The words of the shingles (or of those at ``at``), by hash."""
+        starts = self.starts if at is None else self.starts[at]
+        ends = self.ends if at is None else self.ends[at]
+        return (self.data[low:high] for low, high in zip(starts.tolist(), ends.tolist()))
+
+    @cached_property
+    def digest(self) -> bytes | None:
+        """A digest of the words of all shingles; no word holds a line feed."""
+        if not len(self):
+            return None
+        made = hashlib.blake2b(digest_size=16)
+        for some in batched(self.words(), SLICE_SHINGLES):
+            made.update(b"\n".join(some) + b"\n")
+        return made.digest()
+
+    def shared(self, other: ShingleSet) -> int:
+        """How many shingles both hold, compared word by word."""
+        _, mine, its = np.intersect1d(self.hashes, other.hashes, assume_unique=True, return_indices=True)
+        return sum(a == b for a, b in zip(self.words(mine), other.words(its)))
+
+
+def full_sets(texts: list[str | None]) -> Iterator[ShingleSet]:
+    """The shingle set of each text."""
     at = 0
     while at < len(texts):
         chunk, size = [], 0
         while at < len(texts) and (not chunk or size < SLICE_BYTES):
-            chunk.append((texts[at] or "").encode("utf-8", "surrogatepass"))
+            # These methods of bytes lower A-Z and split at ASCII white space.
+            raw = (texts[at] or "").encode("utf-8", "surrogatepass").lower()
+            chunk.append(b" ".join(raw.split()))
             size += len(chunk[-1]) + 1
             at += 1
-        data = np.frombuffer(b" ".join(chunk) + b" ", dtype=np.uint8)
-        words, starts = word_hashes(data)
+        data = b" ".join(chunk) + b" "
+        inside = np.frombuffer(data, dtype=np.uint8) != 32
+        edges = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8)))
+        starts, ends = edges[::2], edges[1::2]
+        words = word_hashes(data, starts, ends)
         firsts = np.concatenate([[0], np.cumsum([len(c) + 1 for c in chunk])])
         bounds = np.searchsorted(starts, firsts).tolist()
         runs = _combined(words, WIDTH) if len(words) >= WIDTH else np.empty(0, dtype=np.uint64)
         for low, high in zip(bounds, bounds[1:]):
             count = high - low
+            width = min(count, WIDTH)
             if count >= WIDTH:
-                yield np.unique(runs[low : high - WIDTH + 1].view(np.int64))
-            elif count:
-                yield _combined(words[low:high], count).view(np.int64)
+                found = runs[low : high - WIDTH + 1].view(np.int64)
             else:
-                yield np.empty(0, dtype=np.int64)
+                found = _combined(words[low:high], count).view(np.int64) if count else np.empty(0, dtype=np.int64)
+            hashes, first = np.unique(found, return_index=True)
+            first += low
+            yield ShingleSet(hashes, data, starts[first], ends[first + width - 1] if count else first)
+
+
+def shingle_sets(texts: list[str | None]) -> Iterator[np.ndarray]:
+    """The sorted distinct shingle hashes (int64) of each text."""
+    return (found.hashes for found in full_sets(texts))
 
 
 def shared(left: np.ndarray, right: np.ndarray) -> int:

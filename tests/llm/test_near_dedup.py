@@ -5,10 +5,11 @@ from __future__ import annotations
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import Row
 
-from fathom.llm import near_dedup
+from fathom.llm import near_dedup, shingles
 from fathom.llm.components import components
 
 SCHEMA = "doc_id long, text string, node long, component string"
@@ -90,3 +91,24 @@ def test_components_of_a_path_a_star_and_a_ring(spark):
     got = {r.node: r.component for r in found.collect()}
     assert got == {**{i: 0 for i in range(1, 41)}, **{100 + i: 100 for i in range(1, 30)}, 201: 200, 202: 200}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_words_that_collide_under_polynomial_hashes_stay_apart(spark):
+    word = "a"
+    while len(word) < 1024:
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    texts = [word, other, f"one {word} two three four", f"one {other} two three four", word[:64], other[:64], word[:8], word[:7]]
+    docs = spark.createDataFrame([Row(i, t, -1, "x") for i, t in enumerate(texts)], SCHEMA)
+    assert {r.doc_id: r.component_id for r in near_dedup.near_components(docs).collect()} == {i: i for i in range(len(texts))}
+
+
+def test_sets_are_compared_by_their_words(monkeypatch):
+    texts = ["a b c d e f", "A  b\nc d e g", "a b c d e f", "short", "", None, "x" * 200 + " b c d e"]
+    sets = list(shingles.full_sets(texts))
+    assert [set(s.words()) for s in sets[:2]] == [{b"a b c d e", b"b c d e f"}, {b"a b c d e", b"b c d e g"}]
+    assert sets[0].shared(sets[1]) == 1 and sets[0].shared(sets[2]) == 2 and sets[4].shared(sets[0]) == 0
+    assert sets[0].digest == sets[2].digest != sets[1].digest and sets[4].digest is sets[5].digest is None
+    monkeypatch.setattr(shingles, "word_hashes", lambda data, starts, ends: np.zeros(len(starts), dtype=np.uint64))
+    one, other = shingles.full_sets(["a b c d e", "v w x y z"])
+    assert shingles.shared(one.hashes, other.hashes) == 1 and one.shared(other) == 0 and one.digest != other.digest
