@@ -36,6 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fathom.llm.names import unused
 from fathom.llm.shingles import WIDTH, _combined, mixed
 from fathom.plans.storage import materialise
 
@@ -333,8 +334,9 @@ def leaks(docs: DataFrame, items: DataFrame, share: float = SHARE) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, share: float = SHARE) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item, with all their columns."""
+    doc, text = unused(docs, "leaking_id"), unused(docs, "leaking_hash")
     found = materialise(
-        find_leaks(docs, items, share).select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash")).distinct(), "leaks"
+        find_leaks(docs, items, share).select(F.col("doc_id").alias(doc), F.col("text_hash").alias(text)).distinct(), "leaks"
     )
-    same = docs["doc_id"].cast("long").eqNullSafe(F.col("_doc")) & (F.xxhash64(docs["text"]) == F.col("_hash"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & (F.xxhash64("text") == F.col(text))
     return docs.join(found, same, "left_anti")

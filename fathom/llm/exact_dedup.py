@@ -11,7 +11,7 @@ should two texts ever share a digest, the job stops instead of merging them.
 Defined cases: null texts equal the empty text; the smallest doc_id stays and null
 counts as larger than any (a group without ids keeps null); rows that repeat a doc_id
 and text are one document and share its fate; an empty table gives no rows; extra
-columns are ignored here and kept by :func:`drop_copies`.
+columns of any name are ignored here and kept by :func:`drop_copies`.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fathom.llm.names import unused
 from fathom.plans.storage import materialise
 
 SALTS = 16
@@ -65,6 +66,7 @@ def mark_copies(docs: DataFrame, salts: int = SALTS) -> DataFrame:
 def drop_copies(docs: DataFrame, salts: int = SALTS) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
     groups = materialise(text_groups(docs, salts), "text-groups")
-    kept = groups.select(F.col("digest").alias("_digest"), F.col("keep_id").alias("_keep"))
-    digest = F.unhex(F.sha2(normalised(F.col("text")), 256))
-    return docs.join(kept, (digest == F.col("_digest")) & docs["doc_id"].eqNullSafe(F.col("_keep")), "left_semi")
+    digest, keep = unused(docs, "digest"), unused(docs, "keep_id")
+    kept = groups.select(F.col("digest").alias(digest), F.col("keep_id").alias(keep))
+    same = F.unhex(F.sha2(normalised(F.col("text")), 256)) == F.col(digest)
+    return docs.join(kept, same & F.col("doc_id").eqNullSafe(F.col(keep)), "left_semi")

@@ -26,7 +26,7 @@ under :func:`least_shared` of the retained values.
 Defined cases: null and blank texts have the empty set, link with nothing and are their
 own component; rows without doc_id take the component of rows with an equal set and
 null otherwise; rows that repeat a doc_id share its fate; an empty table gives no rows;
-extra columns are ignored here and kept by :func:`drop_near_copies`.
+extra columns of any name are ignored here and kept by :func:`drop_near_copies`.
 """
 
 from __future__ import annotations
@@ -39,6 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fathom.llm.components import components
+from fathom.llm.names import unused
 from fathom.llm.shingles import full_sets, shared, shingle_sets
 from fathom.plans.storage import discard_since, mark, materialise
 
@@ -293,7 +294,7 @@ def near_components(docs: DataFrame, percent: int = 80, size: int = SKETCH, smal
 
 def drop_near_copies(docs: DataFrame, percent: int = 80, size: int = SKETCH) -> DataFrame:
     """The rows of ``docs`` that stay, one document a component, with all their columns."""
-    place = mark()
-    kept = materialise(near_components(docs, percent, size).where("kept").select(F.col("doc_id").alias("_kept")).distinct(), "kept")
+    place, name = mark(), unused(docs, "kept_id")
+    kept = materialise(near_components(docs, percent, size).where("kept").select(F.col("doc_id").alias(name)).distinct(), "kept")
     discard_since(docs.sparkSession, place, kept)
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col(name)), "left_semi")
