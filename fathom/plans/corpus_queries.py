@@ -481,6 +481,40 @@ def _(spark, folder):
     return found.select("left_name", "right_name", "similarity", "reason")
 
 
+# Matching letters of two labels: the longest common block, earliest in both, then the same
+# on what stands before and after it, until no block is left.
+BLOCKS = """names AS (SELECT DISTINCT p_name AS name, lower(regexp_replace(p_name, '[ _-]', '', 'g')) AS plain FROM part),
+    parts AS (
+        SELECT a.name AS left_name, b.name AS right_name, 0 AS segment, a.plain AS one, b.plain AS two, 0 AS letters
+        FROM names a JOIN names b ON a.name < b.name
+        UNION ALL
+        SELECT left_name, right_name, 2 * segment + side, CASE side WHEN 0 THEN NULL WHEN 1 THEN left(one, i - 1) ELSE substr(one, i + n) END,
+            CASE side WHEN 0 THEN NULL WHEN 1 THEN left(two, j - 1) ELSE substr(two, j + n) END, CASE side WHEN 0 THEN n ELSE 0 END
+        FROM (SELECT left_name, right_name, segment, one, two, i, n, instr(two, substr(one, i, n)) AS j
+            FROM (SELECT *, unnest(range(1, length(one) + 1)) AS i FROM parts WHERE one IS NOT NULL) p,
+                LATERAL (SELECT unnest(range(1, length(one) - i + 2)) AS n) s
+            WHERE instr(two, substr(one, i, n)) > 0
+            QUALIFY ROW_NUMBER() OVER (PARTITION BY left_name, right_name, segment ORDER BY n DESC, i, j) = 1) block,
+            (SELECT unnest([0, 1, 2]) AS side) sides)"""
+
+
+@query(
+    "similar_part_names",
+    f"""WITH RECURSIVE {BLOCKS}, measured AS (
+        SELECT p.left_name, p.right_name, ANY_VALUE(a.plain) AS a, ANY_VALUE(b.plain) AS b,
+            2.0 * SUM(p.letters) / ANY_VALUE(length(a.plain) + length(b.plain)) AS similarity
+        FROM parts p JOIN names a ON a.name = p.left_name JOIN names b ON b.name = p.right_name GROUP BY 1, 2)
+    SELECT left_name, right_name, round(CAST(similarity AS DOUBLE), 3) AS similarity,
+        CASE WHEN a = b THEN 'normalized_equal' ELSE 'high_similarity' END AS reason
+    FROM measured WHERE similarity >= {corpus_profile.SIMILARITY} ORDER BY 3 DESC, 1, 2""",
+)
+def _(spark, folder):
+    """All pairs of part names that are nearly the same, without a limit."""
+    names = corpora.categories_for_names(table(spark, folder, "part").select(F.col("p_name").alias("name")))
+    found = corpus_profile.similar_labels(names, limit=None)
+    return found.select("left_name", "right_name", "similarity", "reason")
+
+
 @query(
     "corpus_field_profiles",
     f"""WITH {BASE} SELECT 'content' AS "column", COUNT(*) FILTER ({strip_sql('content')} = '') AS null_count,
