@@ -24,6 +24,9 @@ from fathom.plans.storage import materialise, materialise_measured
 
 TOP_VALUES = 10
 KEY_LIMIT = 64
+# Characters read of texts that are alike so far: at first, and at most in one round.
+PIECE = 256
+LONGEST_PIECE = 1 << 16
 
 QUARTILES = (0.25, 0.5, 0.75)
 
@@ -285,12 +288,45 @@ def _with_long_texts(df: DataFrame, counts: DataFrame, limit: int) -> DataFrame:
         .where(F.length("value") > KEY_LIMIT)
         .withColumn("key", _text_key(F.col("value"), T.StringType()))
     )
-    wanted = materialise(near.where("is_digest").select("position", "key", "n"), "digests")
+    tied = (standing == F.col("edge")).alias("tied")
+    wanted = _narrowed(texts, near.where("is_digest").select("position", "key", "n", tied), limit, len(fields))
     found = texts.join(wanted, ["position", "key"]).groupBy("position", "key")
     looked_up = found.agg(F.any_value("n").alias("n"), F.any_value("value").alias("value"))
     return short.unionByName(looked_up.select("position", "n", "value"))
 
 
+def _narrowed(texts: DataFrame, digests: DataFrame, limit: int, columns: int) -> DataFrame:
+    """position, key and n of the digests whose texts can be among the first ``limit``.
+
+    Those ``tied`` with the last place share its count and their first characters. While
+    more are tied than ``limit`` a column, their next characters are read, and only those
+    up to the new last place stay: a round moves a piece of each tied text, never a whole
+    long one, and texts differ somewhere, so it ends.
+    """
+    covered, step = KEY_LIMIT, PIECE
+    measure = {"tied": F.count_if("tied")}
+    wanted, seen = materialise_measured(digests, "digests", **measure)
+    while seen["tied"] > limit * columns:
+        open_keys = wanted.where("tied").select("position", "key", "n")
+        pieces = (
+            texts.withColumn("piece", F.substring("value", covered + 1, step))
+            .drop("value")
+            .join(open_keys, ["position", "key"])
+            .groupBy("position", "key")
+            .agg(F.any_value("n").alias("n"), F.any_value("piece").alias("piece"))
+        )
+        pieces = materialise(pieces, "pieces")
+        order = Window.partitionBy("position").orderBy("piece")
+        last = pieces.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit)
+        # One row per column of the table.
+        edge = last.groupBy("position").agg(F.max("piece").alias("edge"))
+        near = pieces.join(F.broadcast(edge), "position").where(F.col("piece") <= F.col("edge"))
+        still = near.select("position", "key", "n", (F.col("piece") == F.col("edge")).alias("tied"))
+        wanted, seen = materialise_measured(wanted.where("not tied").unionByName(still), "digests", **measure)
+        covered, step = covered + step, min(step * 4, LONGEST_PIECE)
+    return wanted.select("position", "key", "n")
+
+
 def _may_be_long(data_type: T.DataType) -> bool:
     return isinstance(data_type, (T.StringType, T.BinaryType, T.ArrayType, T.MapType, T.StructType))
 

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+from collections import Counter
 from datetime import date
 
 import pytest
@@ -165,3 +166,20 @@ def test_many_pairs_match_few(spark):
         assert n == row["row_count"] and r == pytest.approx(row["correlation"])
     empty = findings.correlation_pairs(df.limit(0), names).collect()
     assert len(empty) == 45 and {row["row_count"] for row in empty} == {0}
+
+
+def test_long_texts_that_begin_alike_are_narrowed(spark, monkeypatch):
+    start, longer = "s" * 64, "s" * 900
+    texts = [start, f"{start}b", f"{start}b", *[f"{longer}{i:05d}" for i in range(20_000)], *[f"{start}t{i}" for i in range(500)]]
+    notes = [f"{start}{i % 15:03d}" if i % 3 else None for i in range(len(texts))]
+    df = spark.createDataFrame(list(zip(texts, notes)), "v string, w string").repartition(4)
+    kept = []
+    narrowed = profile._narrowed
+    monkeypatch.setattr(profile, "_narrowed", lambda *args: kept.append(narrowed(*args)) or kept[-1])
+    found = {r["column"]: r["top_values"] for r in profile.column_profiles(df).collect()}
+    for name, values in (("v", texts), ("w", notes)):
+        counted = Counter(v for v in values if v is not None)
+        want = sorted(counted.items(), key=lambda e: (-e[1], e[0]))[: profile.TOP_VALUES]
+        assert [(e["value"], e["count"]) for e in found[name]] == want
+    (wanted,) = kept
+    assert all(row["count"] <= 2 * profile.TOP_VALUES for row in wanted.groupBy("position").count().collect())
