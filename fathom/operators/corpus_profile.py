@@ -30,6 +30,8 @@ TOP_COPIES = 20
 LISTED_IDS = 20
 TOP_LABEL_PAIRS = 10
 SIMILARITY = 0.88
+# Records with more tags than this are paired block by block.
+TAG_BLOCK = 256
 
 
 class CorpusProfile(NamedTuple):
@@ -305,8 +307,39 @@ def tag_pairs(tags: Column) -> Column:
     )
 
 
+def _block_pairs(tags: DataFrame) -> DataFrame:
+    """Pairs of the sorted tags of records too long for one row, from pairs of tag blocks.
+
+    The blocks are dealt over all tasks, so neither a row nor a task holds a record's pairs.
+    """
+    slots = int(tags.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def starts(first: Column) -> Column:
+        return F.explode(F.sequence(first, F.size("tags"), F.lit(TAG_BLOCK)))
+
+    def block(start: str) -> Column:
+        return F.slice("tags", F.col(start), F.lit(TAG_BLOCK))
+
+    lefts = tags.select("tags", starts(F.lit(1)).alias("left"))
+    both = lefts.select("tags", "left", starts(F.col("left")).alias("right"))
+    dealt = both.select(block("left").alias("lefts"), block("right").alias("rights")).repartition(slots)
+    pairs = F.transform(
+        "lefts",
+        lambda left: F.transform(
+            F.filter("rights", lambda right: right > left),
+            lambda right: F.struct(left.alias("left_tag"), right.alias("right_tag")),
+        ),
+    )
+    return dealt.select(F.inline(F.flatten(pairs)))
+
+
 def tag_cooccurrence(records: DataFrame) -> DataFrame:
-    pairs = records.where(F.size("tags") > 1).select(F.inline(tag_pairs(F.col("tags"))))
+    """Records that hold both tags, for every pair of tags that meet in a record."""
+    tagged = records.where(F.size("tags") > 1)
+    short = tagged.where(F.size("tags") <= TAG_BLOCK).select(F.inline(tag_pairs(F.col("tags"))))
+    long = tagged.where(F.size("tags") > TAG_BLOCK).select(F.sort_array(tx.clean_tags(F.col("tags"))).alias("tags"))
+    # A long list may hold one tag over and over, or nothing but blank ones.
+    pairs = short.unionByName(_block_pairs(long.where(F.size("tags") > 1)))
     return (
         pairs.groupBy("left_tag", "right_tag")
         .agg(F.count(F.lit(1)).alias("count"))
