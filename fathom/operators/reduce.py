@@ -34,6 +34,7 @@ CATEGORIES = 30
 BINS = 30
 DENSITY_BINS = 50
 AXIS_CATEGORIES = 15
+GRID_COLUMNS = 1_000
 
 
 class Reduced(NamedTuple):
@@ -413,8 +414,11 @@ def grid(
 ) -> DataFrame:
     """Pivot a reduced long result: one row per y, one column per x.
 
-    The x labels of a reduced result are few; they are read once to fix the columns.
+    The x labels of a reduced result are few; they are read once to fix the columns, and
+    more than ``GRID_COLUMNS`` are refused.
     """
-    labels = [row[0] for row in rows.select(x).distinct().orderBy(x).collect()]
+    labels = [row[0] for row in rows.select(x).distinct().orderBy(x).limit(GRID_COLUMNS + 1).collect()]
+    if len(labels) > GRID_COLUMNS:
+        raise ValueError(f"A grid has at most {GRID_COLUMNS} columns; reduce the values of {x} first.")
     wide = rows.groupBy(y).pivot(x, labels).agg(F.first(value))
     return wide if missing is None else wide.fillna(missing, subset=[str(label) for label in labels])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -26,31 +27,49 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-# Tables this process has written and not deleted, in order.
-_written: list[str] = []
+class _Written(threading.local):
+    """Tables a thread has written and not deleted, in order: threads never delete each other's."""
+
+    def __init__(self):
+        self.paths: list[str] = []
+        _of_threads.append(self.paths)
+
+    def __len__(self) -> int:
+        return len(self.paths)
+
+    def __getitem__(self, at):
+        return self.paths[at]
+
+
+_of_threads: list[list[str]] = []
+_written = _Written()
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A path in the shared folder that no other run uses."""
     path = f"{shared_folder(spark)}/fathom-{label}-{uuid.uuid4().hex}"
-    _written.append(path)
+    _written.paths.append(path)
     return path
 
 
 def mark() -> int:
-    """A place in the list of written tables, for :func:`discard_since`."""
-    return len(_written)
+    """A place in this thread's list of written tables, for :func:`discard_since`."""
+    return len(_written.paths)
 
 
 def discard_since(spark: SparkSession, place: int, *keep: DataFrame) -> None:
-    """Delete the tables written since ``place``, but those that ``keep`` was materialised to.
+    """Delete the tables this thread wrote since ``place``, but those that ``keep`` was materialised to.
 
     For tables nothing reads any more: whatever is still lazy over them must be in ``keep``.
     """
     kept = {getattr(df, "_scratch", None) for df in keep}
-    gone = [path for path in _written[place:] if path not in kept]
-    _written[place:] = [path for path in _written[place:] if path in kept]
-    for path in gone:
+    gone = [path for path in _written.paths[place:] if path not in kept]
+    _written.paths[place:] = [path for path in _written.paths[place:] if path in kept]
+    _delete(spark, gone)
+
+
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
         target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         files.delete(target, True)
@@ -68,7 +87,9 @@ def release_shuffles(spark: SparkSession) -> None:
 
 def clear(spark: SparkSession) -> None:
     """Delete every intermediate table of this process; results not yet collected are lost."""
-    discard_since(spark, 0)
+    for paths in _of_threads:
+        gone, paths[:] = list(paths), []
+        _delete(spark, gone)
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:

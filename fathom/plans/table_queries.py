@@ -8,6 +8,7 @@ the tables hold none.
 from __future__ import annotations
 
 import functools
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -298,6 +299,14 @@ def _(spark, folder):
     return rounded(tables.read_parquet(spark, path), "revenue", digits=2)
 
 
+@query("saved_steps_table", CHAIN_SQL)
+def _(spark, folder):
+    """The chain saved as a named table, read back from the catalog."""
+    name = f"saved_steps_{uuid.uuid4().hex}"
+    saved = steps.save_steps(with_gaps(spark, folder), CHAIN, "orders", name, location=scratch_path(spark, "saved-steps"))
+    return rounded(saved, "revenue", digits=2)
+
+
 @query(
     "sort_rows",
     f"""WITH {GAPS} SELECT o_orderkey, ROW_NUMBER() OVER (

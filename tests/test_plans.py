@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -96,3 +98,23 @@ def test_a_profile_leaves_only_its_results_behind(spark, table):
     assert result.columns.count() == 6 and result.dataset.count() == 1
     storage.discard_since(spark, place)
     assert len(storage._written) == place
+
+
+def test_threads_do_not_delete_each_others_tables(spark):
+    place = storage.mark()
+    mine = storage.materialise(spark.range(3), "mine")
+
+    def other():
+        start = storage.mark()
+        kept, gone = (storage.materialise(spark.range(n), "other") for n in (4, 5))
+        storage.discard_since(spark, start, kept)
+        return kept, gone
+
+    with ThreadPoolExecutor(1) as pool:
+        kept, gone = pool.submit(other).result()
+    assert mine.count() == 3 and kept.count() == 4
+    storage.discard_since(spark, place)
+    assert kept.count() == 4
+    for lost in (mine, gone):
+        with pytest.raises(Exception, match="exist"):
+            lost.count()

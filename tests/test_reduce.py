@@ -102,3 +102,11 @@ def test_crosstab_keeps_the_total(spark):
     )
     result = reduce.crosstab(df, "x", "y", x_limit=4, y_limit=3).rows
     assert result.count() <= 20 and result.agg(F.sum("source_count")).first()[0] == 1000
+
+
+def test_grids_refuse_too_many_columns(spark, monkeypatch):
+    monkeypatch.setattr(reduce, "GRID_COLUMNS", 3)
+    long = spark.range(4).select(F.col("id").alias("x"), F.lit("a").alias("y"), F.lit(1).alias("source_count"))
+    assert reduce.grid(long.where("x < 3")).columns == ["y", "0", "1", "2"]
+    with pytest.raises(ValueError, match="at most 3 columns"):
+        reduce.grid(long)
