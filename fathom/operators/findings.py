@@ -21,6 +21,7 @@ from fathom.functions.statistics import (
 )
 from fathom.operators.profile import finding
 from fathom.plans.keys import ref
+from fathom.plans.storage import materialise
 
 MIN_ROWS = 3
 STRONG_CORRELATION = 0.7
@@ -53,18 +54,28 @@ def _pair_sums(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     lefts, rights = np.triu_indices(len(columns), 1)
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
+        wide, total = len(columns), None
         for batch in batches:
-            raw = np.column_stack([np.asarray(c.fill_null(0.0)) for c in batch.columns])
-            there = np.column_stack([np.asarray(c.is_valid()) for c in batch.columns]).astype(np.float64)
-            finite = np.isfinite(raw)
-            x = np.where(finite & (there > 0), raw - np.where(finite, origin, 0.0), 0.0)
-            odd = there * ~finite
-            square = (x * x).T @ there
-            shifted = x.T @ there
-            unbounded = odd.T @ there
-            unbounded = unbounded + unbounded.T
-            found = np.stack([there.T @ there, shifted, shifted.T, square, square.T, x.T @ x, unbounded])[:, lefts, rights]
+            # One row a column: values, their squares and, apart, their presence.
+            both = np.empty((2 * wide, batch.num_rows))
+            there = np.ones((wide, batch.num_rows))
+            x, square = both[:wide], both[wide:]
+            for i, c in enumerate(batch.columns):
+                x[i] = np.asarray(c.fill_null(origin[i]) if c.null_count else c)
+                if c.null_count:
+                    there[i] = np.asarray(c.is_valid())
+            finite = np.isfinite(x)
+            bounded = finite.all()
+            if not bounded:
+                np.copyto(x, np.broadcast_to(origin[:, None], x.shape), where=~finite)
+            x -= origin[:, None]
+            np.multiply(x, x, out=square)
+            sides = both @ there.T
+            shifted, squares = sides[:wide], sides[wide:]
+            unbounded = np.zeros((wide, wide)) if bounded else (~finite).astype(np.float64) @ there.T
+            found = np.stack(
+                [there @ there.T, shifted, shifted.T, squares, squares.T, x @ x.T, unbounded + unbounded.T]
+            )[:, lefts, rights]
             total = found if total is None else total + found
         if total is not None:
             arrays = [pa.array(lefts, pa.int32()), pa.array(rights, pa.int32()), *[pa.array(t) for t in total]]
@@ -108,7 +119,9 @@ def correlation_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
     shared = F.col("xy") / F.col("n") - F.col("x") / F.col("n") * (F.col("y") / F.col("n"))
     r = F.try_divide(shared, F.sqrt(variance("x", "xx")) * F.sqrt(variance("y", "yy")))
-    found = _pair_sums(df, columns).where("n > 0").select(
+    # Written here, one row a pair, so that the scan runs on code the JVM compiles.
+    sums = materialise(_pair_sums(df, columns), "pairs")
+    found = sums.where("n > 0").select(
         "i", "j", F.col("n").cast("long").alias("row_count"), F.when(F.col("unbounded") > 0, math.nan).otherwise(r).alias("correlation")
     )
     return listed.join(found, ["i", "j"], "left").select(

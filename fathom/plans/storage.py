@@ -6,6 +6,9 @@ import gc
 import tempfile
 import threading
 import uuid
+import weakref
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -92,6 +95,35 @@ def clear(spark: SparkSession) -> None:
         _delete(spark, gone)
 
 
+# The JVM compiles no method of more bytes; it would interpret it row by row, some ten times slower.
+COMPILED_BYTES = 8000
+_METHOD_LIMIT = "spark.sql.codegen.hugeMethodLimit"
+_limiting = threading.Lock()
+_limited: weakref.WeakKeyDictionary[SparkSession, list] = weakref.WeakKeyDictionary()
+
+
+@contextmanager
+def compiled_methods(spark: SparkSession) -> Iterator[None]:
+    """Jobs run inside let Spark cut generated code of wide projections into methods the JVM compiles.
+
+    Spark's own limit lets a method of many columns through that is never compiled. The
+    session has its setting again when the last thread leaves.
+    """
+    with _limiting:
+        users = _limited.setdefault(spark, [0, None])
+        if users[0] == 0:
+            users[1] = spark.conf.get(_METHOD_LIMIT)
+            spark.conf.set(_METHOD_LIMIT, str(min(int(users[1]), COMPILED_BYTES)))
+        users[0] += 1
+    try:
+        yield
+    finally:
+        with _limiting:
+            users[0] -= 1
+            if users[0] == 0:
+                spark.conf.set(_METHOD_LIMIT, users[1])
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
@@ -99,7 +131,8 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     plan, and a lost executor costs a re-read instead of a recomputation.
     """
     path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
+    with compiled_methods(df.sparkSession):
+        df.write.parquet(path)
     stored = df.sparkSession.read.schema(df.schema).parquet(path)
     stored._scratch = path
     return stored

@@ -40,3 +40,20 @@ def test_the_shuffle_holds_one_row_a_pair_and_task(spark):
     sums = findings._pair_sums(df, df.columns)
     assert sums.count() == 10
     assert sums._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+
+
+def test_wide_projections_run_on_methods_the_jvm_compiles(spark, monkeypatch):
+    name, seen = "spark.sql.codegen.hugeMethodLimit", []
+    before, pair_sums = spark.conf.get(name), findings._pair_sums
+
+    def watched(df, columns):
+        sums = pair_sums(df, columns)
+        plain = type(sums.write).parquet
+        monkeypatch.setattr(type(sums.write), "parquet", lambda self, path: (seen.append(int(spark.conf.get(name))), plain(self, path))[1])
+        return sums
+
+    monkeypatch.setattr(findings, "_pair_sums", watched)
+    df = spark.range(100).select(*[(F.col("id") * (i + 1) % 7).alias(f"c{i}") for i in range(60)])
+    assert findings.correlation_pairs(df, df.columns).count() == 1770
+    assert seen and max(seen) <= 8000
+    assert spark.conf.get(name) == before
