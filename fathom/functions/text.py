@@ -37,8 +37,9 @@ FOLD_ONE_TO_MANY = {
 }
 
 # Token and segment patterns.
-TOKEN_RUN = "([\u4e00-\u9fff]+|[a-z0-9_]+)"
+TOKEN_RUN = "([\u4e00-\u9fff]{2,}+|[a-z0-9_]{2,}+)"
 IDEOGRAPH_START = "^[\u4e00-\u9fff]"
+IDEOGRAPHS_TO_PAIR = "[\u4e00-\u9fff]{5}"
 LINE_BREAK = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 PARAGRAPH_BREAK = "(?U)(?:\\r?\\n[\\s\\x1c-\\x1f]*){2,}"
 SENTENCE_END = "(?<=[。！？!?\\.])"
@@ -55,20 +56,14 @@ def strip(text: Column) -> Column:
 def casefold(text: Column) -> Column:
     """Fold case for matching. Texts without special letters pay for one test only."""
     lowered = F.lower(text)
-    folded = F.translate(
-        lowered, "".join(FOLD_ONE_TO_ONE), "".join(FOLD_ONE_TO_ONE.values())
-    )
-    for letter, replacement in FOLD_ONE_TO_MANY.items():
+    folded = lowered
+    for letter, replacement in {**FOLD_ONE_TO_ONE, **FOLD_ONE_TO_MANY}.items():
         folded = F.replace(folded, F.lit(letter), F.lit(replacement))
-    special = "[" + "".join((*FOLD_ONE_TO_ONE, *FOLD_ONE_TO_MANY)) + "]"
+    # ASCII characters, which are most, fail the first half of the class.
+    special = "[[^\\x00-\\x7f]&&[" + "".join((*FOLD_ONE_TO_ONE, *FOLD_ONE_TO_MANY)) + "]]"
     return F.when(lowered.rlike(special), folded).otherwise(lowered)
 
 
-def token_runs(text: Column) -> Column:
-    """Array of ideograph runs and alphanumeric runs of the folded text."""
-    return F.regexp_extract_all(casefold(text), F.lit(TOKEN_RUN), F.lit(1))
-
-
 def run_tokens(run: Column) -> Column:
     """Tokens of one run: long ideograph runs become overlapping pairs."""
     pairs = F.transform(
@@ -80,10 +75,12 @@ def run_tokens(run: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    """All tokens of a text in order; one-character runs are dropped."""
-    return F.flatten(
-        F.transform(F.filter(token_runs(text), lambda run: F.length(run) >= 2), run_tokens)
-    )
+    """All tokens of a text in order; one-character runs are dropped.
+
+    Only texts with a long ideograph run pay for a look at every run.
+    """
+    runs = F.regexp_extract_all(casefold(text), F.lit(TOKEN_RUN), F.lit(1))
+    return F.when(text.rlike(IDEOGRAPHS_TO_PAIR), F.flatten(F.transform(runs, run_tokens))).otherwise(runs)
 
 
 def raw_segments(text: Column, mode: str, delimiter: str = "") -> Column:

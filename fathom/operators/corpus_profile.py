@@ -283,9 +283,7 @@ def keyword_category_counts(
 
 def token_counts(records: DataFrame) -> DataFrame:
     texts = spread_small(records.select("content"))
-    runs = texts.select(F.explode(tx.token_runs(F.col("content"))).alias("run"))
-    long_enough = runs.where(F.length("run") >= 2)
-    tokens = long_enough.select(F.explode(tx.run_tokens(F.col("run"))).alias("token"))
+    tokens = texts.select(F.explode(tx.tokens(F.col("content"))).alias("token"))
     return tokens.groupBy("token").agg(F.count(F.lit(1)).alias("count"))
 
 

@@ -73,3 +73,25 @@ def test_missing_delimiter_and_unknown_mode(spark):
     for mode in ("custom_delimiter", "by_page"):
         with pytest.raises(ValueError):
             tx.raw_segments(F.col("t"), mode)
+
+
+def test_tokens_match_python(spark):
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("ab_1 Zß-ſé漢字体验很") for _ in range(rng.choice([0, 3, 40]))) for _ in range(200)]
+
+    def want(text):
+        runs = [run for run in re.findall("[\u4e00-\u9fff]+|[a-z0-9_]+", text.casefold()) if len(run) >= 2]
+        long = [len(run) > 4 and "一" <= run[0] <= "鿿" for run in runs]
+        return [t for run, cut in zip(runs, long) for t in ([run[i : i + 2] for i in range(len(run) - 1)] if cut else [run])]
+
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", tx.tokens(F.col("t")).alias("tokens"))
+    for text, tokens in df.collect():
+        assert tokens == want(text)
+    assert one(spark, None, tx.tokens(F.col("t"))) is None
+
+
+def test_tokens_per_record_finds_the_tokens_of_a_text_once(spark):
+    from fathom.plans.corpus_queries import QUERIES
+
+    plan = QUERIES["tokens_per_record"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("regexp_extract_all" in line for line in plan.splitlines()) == 1
