@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,6 +15,7 @@ from pyspark.sql import types as T
 from fathom.functions import text as tx
 from fathom.functions.casts import iso_timestamp
 from fathom.plans.parallel import spread_small
+from fathom.plans.storage import materialise
 from fathom.sources.tables import decoded, java_charset
 
 # Fixed value: the colour of a category that names none.
@@ -205,12 +208,45 @@ def ordinals(rows: DataFrame, *order: str) -> DataFrame:
     return cumulated(rows, {"index": F.lit(1).cast("long")}, *order)
 
 
+def running_in_split(rows: DataFrame, amount: str) -> DataFrame:
+    """Add ``local``, the sum of ``amount`` over the rows before in the same file and split.
+
+    For rows in the order of the reader: a split is read by one task, so nothing is shuffled.
+    """
+    names = [*rows.columns, "local"]
+    where = [rows.columns.index(name) for name in ("file", "split", amount)]
+
+    def running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, seen = None, 0
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            files, splits, n = (batch.column(i) for i in where)
+            code, split, n = np.asarray(files.dictionary_encode().indices), np.asarray(splits), np.asarray(n)
+            starts = np.flatnonzero(np.r_[True, (code[1:] != code[:-1]) | (split[1:] != split[:-1])])
+            before = n.cumsum() - n
+            base = before[starts]
+            if (files[0].as_py(), int(split[0])) == last:
+                base[0] = -seen
+            local = before - np.repeat(base, np.diff(np.r_[starts, len(n)]))
+            last, seen = (files[-1].as_py(), int(split[-1])), int(local[-1] + n[-1])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(local, pa.int64())], names=names)
+
+    return rows.mapInArrow(running, T.StructType([*rows.schema.fields, T.StructField("local", T.LongType())]))
+
+
 def text_lines(spark: SparkSession, path: str, encoding: str = "utf-8") -> DataFrame:
     """Every line of every file, whatever ends it, with its place: ``split``, ``line``, ``piece``.
 
     Joined by line feeds they are the text of the file: one that ends in a line break has an empty
     last line. An empty file has no lines.
     """
+    lines, closing = _read_and_closing_lines(spark, path, encoding)
+    return lines.unionByName(closing)
+
+
+def _read_and_closing_lines(spark: SparkSession, path: str, encoding: str) -> tuple[DataFrame, DataFrame]:
+    """The lines in the order of the reader, and the empty last ones, at most one a file."""
     charset = java_charset(spark, encoding)
     rows = spark.read.option("lineSep", "\n").text(path).select(
         F.col("_metadata.file_path").alias("file"),
@@ -237,7 +273,7 @@ def text_lines(spark: SparkSession, path: str, encoding: str = "utf-8") -> DataF
     closing = files.where("ended or returned").select(
         "file", "scope", "last.split", (F.col("last.line") + 1).alias("line"), F.lit(0).alias("piece"), F.lit("").alias("value")
     )
-    return lines.unionByName(closing)
+    return lines, closing
 
 
 def stitched_segments(
@@ -248,7 +284,8 @@ def stitched_segments(
     Lines are cut at their breaks. The breaks before a piece, counted through the file, name its
     segment; pieces of one name are joined, so a segment may begin and end in different splits.
     """
-    lines = text_lines(spark, path, encoding)
+    read, closing = _read_and_closing_lines(spark, path, encoding)
+    lines = read.unionByName(closing)
     blank = tx.strip(F.col("value")) == ""
     if mode == "paragraph":
         placed = cumulated(lines, {"number": blank.cast("long"), "at": F.lit(1).cast("long")}, "line", "piece")
@@ -261,11 +298,18 @@ def stitched_segments(
         skipped = ends.select(F.coalesce(edges, F.when(F.col("lines") > 2, 2).otherwise(1).cast("long")).alias("n"))
     else:
         cut = tx.line_pieces(F.col("value"), mode, delimiter)
-        placed = cumulated(lines.withColumn("cut", cut), {"breaks": (F.size("cut") - 1).cast("long")}, "line", "piece")
+        counted = read.withColumn("amount", (F.size(cut) - 1).cast("long"))
+        ahead = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+        totals = counted.groupBy("file", "split").agg(F.sum("amount").alias("total"))
+        # One short row a split.
+        shifts = materialise(totals.withColumn("shift", F.coalesce(F.sum("total").over(ahead), F.lit(0))), "splits")
+        local = running_in_split(counted, "amount").join(shifts, ["file", "split"]).withColumn("breaks", F.col("shift") + F.col("local"))
+        last = closing.join(shifts, ["file", "split"]).withColumn("breaks", F.col("shift") + F.col("total"))
+        placed = local.select(*read.columns, "breaks").unionByName(last.select(*read.columns, "breaks")).withColumn("cut", cut)
         pieces = placed.select("file", "scope", "split", "line", "piece", "breaks", F.posexplode("cut").alias("part", "value"))
         pieces = pieces.withColumn("number", F.col("breaks") + F.col("part"))
         # A sentence holds its end; only a file without any can be one blank segment.
-        whole = placed.groupBy("file").agg((F.sum(F.size("cut")) == F.count(F.lit(1))).alias("one"), F.bool_and(blank).alias("blank"))
+        whole = lines.withColumn("cut", cut).groupBy("file").agg((F.sum(F.size("cut")) == F.count(F.lit(1))).alias("one"), F.bool_and(blank).alias("blank"))
         skipped = whole.select((F.col("one") & F.col("blank")).cast("long").alias("n"))
     order = F.struct("split", "line", "piece", "part")
     joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order.alias("at"), F.col("value")))), lambda p: p["value"]), "\n")
@@ -275,7 +319,13 @@ def stitched_segments(
     if mode == "custom_delimiter":
         skipped = segments.select((F.col("content") == "").cast("long").alias("n"))
     kept = segments.where(F.col("content") != "")
-    indexed = kept.withColumn("index", F.col("number")) if mode == "sentence" else ordinals(kept, "number")
+    if mode == "sentence":
+        indexed = kept.withColumn("index", F.col("number"))
+    else:
+        # Numbered without the texts: a segment is blank if all its pieces are.
+        filled = pieces.groupBy("file", "number").agg(F.min("split").alias("split"), F.bool_or(~blank).alias("filled")).where("filled")
+        index = ordinals(filled.drop("filled"), "number").select("file", "number", "index")
+        indexed = kept.join(index, ["file", "number"])
     return indexed.drop("number"), skipped.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("skipped_segments"))
 
 

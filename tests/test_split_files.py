@@ -66,3 +66,13 @@ def test_other_encodings_and_line_breaks_in_delimiters(spark, tmp_path, small_sp
     read = corpora.read_text_corpus(spark, str(tmp_path), "c", mode="custom_delimiter", delimiter="\n---\n")
     assert sorted(r["content"] for r in read.records.collect()) == ["a", "b"] and read.skipped.first()[0] == 1
     assert corpora.read_text_corpus(spark, str(tmp_path), "c", mode="whole_input").records.select(F.count("id")).first()[0] == 1
+
+
+@pytest.mark.parametrize("mode, delimiter", [("sentence", ""), ("custom_delimiter", ";")])
+def test_texts_are_not_shuffled_to_count_their_breaks(spark, tmp_path, mode, delimiter):
+    (tmp_path / "a.txt").write_text("a. b; c\n" * 50)
+    read = corpora.read_text_corpus(spark, str(tmp_path), "c", mode=mode, delimiter=delimiter)
+    plan = read.records._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.splitlines() if "Window [" in line]
+    assert not any("value#" in line or "content#" in line or "cut#" in line for line in windows)
+    assert "MapInArrow" in plan and plan.count("Window [") == (0 if mode == "sentence" else 2)
