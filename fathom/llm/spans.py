@@ -114,6 +114,7 @@ def later_occurrences(rows: DataFrame, key: str) -> DataFrame:
     """
     first = rows.groupBy(key).agg(F.min("doc").alias("first_doc"), F.count(F.lit(1)).alias("n"))
     known = materialise(first.where("n > 1").select(key, "first_doc"), "repeated-keys")
+    release_shuffles(rows.sparkSession)
     again = F.col("place").bitwiseAND(F.lit(1 << SIZE_BITS)) != 0
     return rows.join(known, key).where((F.col("doc") > F.col("first_doc")) | again).select("doc", "variant", "place")
 

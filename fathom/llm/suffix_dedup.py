@@ -46,7 +46,7 @@ from fathom.llm.spans import (
     text_groups,
     unpack,
 )
-from fathom.plans.storage import mark, materialise, release_shuffles
+from fathom.plans.storage import discard_since, mark, materialise, release_shuffles
 
 LENGTH = 100
 FIRST = 32
@@ -195,10 +195,16 @@ def passage_ends(heads: DataFrame, length: int, first: int) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, first: int = FIRST) -> DataFrame:
-    """doc, variant, place of spans whose bytes are all covered by repeated strings."""
+    """doc, variant, place of spans whose bytes are all covered by repeated strings.
+
+    Of the tables it writes, only those the spans are read from are left.
+    """
+    since = mark()
     ranked = run_rows(docs, length, first)
     frequent = ranked.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("name")
-    left = materialise(ranked.join(materialise(frequent, "names"), "name"), "runs")
+    known = materialise(frequent, "names")
+    release_shuffles(docs.sparkSession)
+    left = materialise(ranked.join(known, "name"), "runs")
     release_shuffles(docs.sparkSession)
     whole = materialise(later_occurrences(left.select("context", "doc", "variant", "place"), "context"), "whole-runs")
     mixed = left.groupBy("name").agg(F.min("context").alias("least"), F.max("context").alias("most")).where("least <> most")
@@ -211,6 +217,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, first: int = FIRST) ->
         .select("name", "halves", "doc", "variant", "place")
     )
     strings = materialise(string_rows(docs, passage_ends(heads, length, first), length), "strings")
+    discard_since(docs.sparkSession, since, whole, strings)
     release_shuffles(docs.sparkSession)
     return whole.unionByName(later_occurrences(strings, "string"))
 

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import Row
 
 from fathom.llm import chunk_dedup, spans, suffix_dedup
+from fathom.plans import storage
 
 SCHEMA = "doc_id long, text string, place string, n int, data int"
 
@@ -179,3 +180,11 @@ def test_many_texts_without_doc_id_keep_their_own_spans(spark, operator, alone):
     texts = [letters(20 + i % 97) + passage + letters(30) + passage for i in range(2000) for passage in [letters(300)]]
     got = operator(table(spark, [(None, t) for t in texts])).collect()
     assert sorted(tuple(r)[1:] for r in got) == sorted(map(alone, texts))
+
+
+def test_finished_tables_are_deleted_before_strings_are_met(spark):
+    place = storage.mark()
+    found = suffix_dedup.repeated_spans(table(spark, corpus()))
+    left = [path.rsplit("/", 1)[1].removeprefix("fathom-").rsplit("-", 1)[0] for path in storage._written.paths[place:]]
+    assert left == ["whole-runs", "strings", "repeated-keys"]
+    assert found.count() > 0
