@@ -116,10 +116,8 @@ def typed_statistics(df: DataFrame) -> DataFrame:
     return df.agg(*aggregates).select(F.inline(F.array(*entries)))
 
 
-def _text_key(full: Column, data_type: T.DataType) -> Column:
+def _text_key(full: Column) -> Column:
     """Short texts as they are, long ones as digest with their length and shape."""
-    if not _may_be_long(data_type):
-        return full
     notes = F.concat_ws(
         "",
         F.when(casts.text_to_double(full).isNotNull(), F.lit("n")),
@@ -132,13 +130,17 @@ def _text_key(full: Column, data_type: T.DataType) -> Column:
     return F.when(F.length(full) > KEY_LIMIT, digest).otherwise(full)
 
 
-def _stacked(df: DataFrame, cells: dict[int, Column]) -> DataFrame | None:
-    """Counts of the distinct values of columns of one type."""
+def _stacked(df: DataFrame, cells: dict[int, Column], key: Column) -> DataFrame | None:
+    """Counts of the distinct values of columns of one type.
+
+    ``key`` is made of the stacked ``value``: one expression whatever the number of columns,
+    so that the code generated for it stays short enough to be compiled.
+    """
     if not cells:
         return None
     wide = df.select(*[cell.alias(str(index)) for index, cell in cells.items()])
     long = wide.unpivot([], wide.columns, "position", "value")
-    present = long.where(F.col("value").isNotNull())
+    present = long.where(F.col("value").isNotNull()).select("position", key.alias("value"))
     return present.groupBy(F.col("position").cast("int").alias("position"), "value").agg(
         F.count(F.lit(1)).alias("n")
     )
@@ -164,7 +166,8 @@ def value_counts(df: DataFrame) -> DataFrame:
         elif is_datetime(data_type):
             times[index] = column.cast("timestamp_ntz")
         else:
-            texts[index] = _text_key(as_text(column, data_type), data_type)
+            texts[index] = as_text(column, data_type)
+    value = F.col("value")
     kinds = {"whole": "long", "fraction": "double", "time": "timestamp_ntz", "text": "string"}
     parts = [
         counts.select(
@@ -176,7 +179,7 @@ def value_counts(df: DataFrame) -> DataFrame:
             "n",
         )
         for kind, cells in zip(kinds, (whole, fractions, times, texts))
-        if (counts := _stacked(df, cells)) is not None
+        if (counts := _stacked(df, cells, _text_key(value) if kind == "text" else value)) is not None
     ]
     return functools.reduce(DataFrame.unionByName, parts)
 
@@ -286,7 +289,7 @@ def _with_long_texts(df: DataFrame, counts: DataFrame, limit: int) -> DataFrame:
     texts = (
         df.select(F.inline(F.array(*fields)))
         .where(F.length("value") > KEY_LIMIT)
-        .withColumn("key", _text_key(F.col("value"), T.StringType()))
+        .withColumn("key", _text_key(F.col("value")))
     )
     tied = (standing == F.col("edge")).alias("tied")
     wanted = _narrowed(texts, near.where("is_digest").select("position", "key", "n", tied), limit, len(fields))

@@ -6,6 +6,7 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
+from fathom.functions import casts
 from fathom.operators import findings, profile
 
 
@@ -183,3 +184,18 @@ def test_long_texts_that_begin_alike_are_narrowed(spark, monkeypatch):
         assert [(e["value"], e["count"]) for e in found[name]] == want
     (wanted,) = kept
     assert all(row["count"] <= 2 * profile.TOP_VALUES for row in wanted.groupBy("position").count().collect())
+
+
+def test_text_keys_are_made_once_for_all_columns(spark):
+    table = spark.createDataFrame([tuple("abcdefghij")], [f"c{i}" for i in range(10)])
+    plan = profile.value_counts(table)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("sha2(") == 1
+
+
+def test_first_letters_tell_no_number_apart(spark):
+    signs, starts = ("", "+", "-", " \t-", "+ ", "\x00", "\u00a0", "_"), ("1", ".5", "1_0", "1e5", "0x1p3", "x1", "1d", "e5", ".", "")
+    words = ("inf", "iNf", "Infinity", "infinityx", "NaN", "nan", "na", "\u0130nf", "1 2", "\u0661")
+    texts = spark.createDataFrame([(s + t + e,) for s in signs for t in starts + words for e in ("", " ")], "text string")
+    value = F.regexp_replace("text", "(?<=\\d)_(?=\\d)", "")
+    plain = F.when(~value.rlike(casts.NUMBER_SUFFIX), value.try_cast("double"))
+    assert texts.where(~casts.text_to_double(F.col("text")).eqNullSafe(plain)).count() == 0
