@@ -42,8 +42,27 @@ class CorpusProfile(NamedTuple):
     findings: DataFrame
 
 
-def _length() -> Column:
-    return F.length(tx.strip(F.col("content")))
+# Columns of record_facts that stand for the content.
+FACTS = ("_content_length", "_content_digest")
+
+
+def _length(records: DataFrame) -> Column:
+    return F.col(FACTS[0]) if FACTS[0] in records.columns else F.length(tx.strip(F.col("content")))
+
+
+def _digest(records: DataFrame) -> Column:
+    return F.col(FACTS[1]) if FACTS[1] in records.columns else F.sha2("content", 256)
+
+
+def record_facts(records: DataFrame) -> DataFrame:
+    """Records with length and digest of the content in its place, written once.
+
+    Counts of lengths, copies, tags and sources read these short rows; the contents, and
+    whatever ``records`` is made of, are gone through once for all of them.
+    """
+    kept = ["id", "created_at", "primary_category_id", "tags", "source"]
+    values = (_length(records), _digest(records))
+    return materialise(records.select(*kept, *[v.alias(name) for v, name in zip(values, FACTS)]), "facts")
 
 
 def _no_source() -> Column:
@@ -54,7 +73,7 @@ def record_quality(
     records: DataFrame, *, short_chars: int = SHORT_CHARS, long_chars: int = LONG_CHARS
 ) -> DataFrame:
     """Counts of empty, short, long, uncategorised and sourceless records in one pass."""
-    length = _length()
+    length = _length(records)
     return records.agg(
         F.count(F.lit(1)).alias("record_count"),
         F.count_if(length == 0).alias("empty_record_count"),
@@ -67,7 +86,7 @@ def record_quality(
 
 def length_counts(records: DataFrame) -> DataFrame:
     """Records per trimmed length: one short row per length."""
-    return records.groupBy(_length().alias("length")).agg(F.count(F.lit(1)).alias("n"))
+    return records.groupBy(_length(records).alias("length")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def length_summary(records: DataFrame) -> DataFrame:
@@ -103,7 +122,7 @@ def copy_groups(records: DataFrame) -> DataFrame:
     """
     category = F.coalesce(F.nullif("primary_category_id", F.lit("")), F.lit(UNCATEGORIZED))
     per_category = records.groupBy(
-        F.sha2("content", 256).alias("digest"), category.alias("category_id")
+        _digest(records).alias("digest"), category.alias("category_id")
     ).agg(F.count(F.lit(1)).alias("n"))
     return (
         per_category.groupBy("digest")
@@ -138,7 +157,7 @@ def listed_copies(
     )
     # At most ``limit`` digests.
     members = records.select(
-        F.sha2("content", 256).alias("digest"), "id", "created_at", "primary_category_id"
+        _digest(records).alias("digest"), "id", "created_at", "primary_category_id"
     ).join(F.broadcast(top.select("digest")), "digest", "left_semi")
     place = F.row_number().over(Window.partitionBy("digest").orderBy("created_at", "id"))
     first_ids = (
@@ -475,7 +494,7 @@ def field_profiles(records: DataFrame) -> DataFrame:
     """
     no_tags = F.coalesce(F.size("tags"), F.lit(0)) <= 0
     missing = records.agg(
-        F.count_if(_length() == 0).alias("content"),
+        F.count_if(_length(records) == 0).alias("content"),
         F.count_if(F.coalesce("primary_category_id", F.lit("")) == "").alias("primary_category"),
         F.count_if(no_tags).alias("tags"),
         F.count_if(_no_source()).alias("source"),
@@ -530,9 +549,11 @@ def corpus_warnings() -> Column:
     return F.array_compact(F.array(*[F.when(test, F.lit(flag)) for flag, test in flags.items()]))
 
 
-def corpus_quality(records: DataFrame, categories: DataFrame) -> DataFrame:
-    """One row of quality counts, lengths and warnings."""
-    copies = copy_counts(copy_groups(records))
+def corpus_quality(
+    records: DataFrame, categories: DataFrame, *, groups: DataFrame | None = None
+) -> DataFrame:
+    """One row of quality counts, lengths and warnings; ``groups`` are copies already counted."""
+    copies = copy_counts(copy_groups(records) if groups is None else groups)
     lengths = length_summary(records)
     similar = similar_label_count(categories)
     return record_quality(records).withColumns(
@@ -716,17 +737,18 @@ def profile_corpus(
     records: DataFrame, categories: DataFrame, *, keywords: Sequence[str] = ()
 ) -> CorpusProfile:
     """Profile the records of one corpus; the small results are written once."""
-    quality = materialise(corpus_quality(records, categories), "quality")
+    facts = record_facts(records)
+    groups = materialise(copy_groups(facts), "copies")
+    quality = materialise(corpus_quality(facts, categories, groups=groups), "quality")
     fields = with_field_warnings(field_profiles(records), quality)
-    groups = materialise(copy_groups(records), "copies")
     words = distinct_keywords(keywords)
     findings = corpus_findings(
         quality,
-        copies=listed_copies(records, categories, groups),
-        conflicts=listed_copies(records, categories, groups, conflicts_only=True),
+        copies=listed_copies(facts, categories, groups),
+        conflicts=listed_copies(facts, categories, groups, conflicts_only=True),
         labels=similar_labels(categories),
         keywords=keyword_record_counts(records, words) if words else None,
         tokens=materialise(frequent_tokens(records), "tokens"),
-        pairs=materialise(tag_cooccurrence(records), "pairs"),
+        pairs=materialise(tag_cooccurrence(facts), "pairs"),
     )
     return CorpusProfile(fields, quality, findings)
