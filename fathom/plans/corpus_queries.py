@@ -11,13 +11,14 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fathom.functions import text as tx
 from fathom.operators import corpus, corpus_profile, corpus_reduce, corpus_store
 from fathom.plans import table_queries
 from fathom.plans.storage import scratch_path
 from fathom.plans.table_queries import Query, rounded, table
-from fathom.sources import corpora, sinks
+from fathom.sources import corpora, sinks, tables
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -924,8 +925,11 @@ def _(spark, folder):
 )
 def _(spark, folder):
     path = scratch_path(spark, "export")
-    sinks.export_corpus(records_of(spark, folder), categories_of(spark, folder), path, "csv")
-    back = spark.read.csv(path, header=True, escape='"', multiLine=True)
+    records, categories = records_of(spark, folder), categories_of(spark, folder)
+    sinks.export_corpus(records, categories, path, "csv")
+    columns = sinks.corpus_csv_rows(records, categories).columns
+    texts = T.StructType([T.StructField(name, T.StringType()) for name in columns])
+    back = tables.read_delimited(spark, path, schema=texts, multi_line=True)
     return back.select(
         "id", F.md5("content").alias("digest"), "primary_category", "tags", "source", "created_at"
     )

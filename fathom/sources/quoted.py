@@ -9,6 +9,7 @@ the number of its record. Lines of a record then meet, wherever the splits cut i
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -20,14 +21,33 @@ from fathom.plans.keys import ref
 _CELL = '"(?:[^"]++|"")*+'
 
 
-def opens(delimiter: str) -> str:
-    """A pattern of lines that begin outside of quotes and end inside; also Python's."""
+def _patterns(delimiter: str) -> tuple[str, str, str]:
+    """The delimiter, what may follow up to the next one, and a cell that begins without a quote."""
     sep = re.escape(delimiter)
     other = f"[^{sep}]*+" if len(delimiter) == 1 else f"(?:(?!{sep}).)*+"
     start = f'[^"{sep}]{other}' if len(delimiter) == 1 else f'(?!"|{sep}).{other}'
+    return sep, other, start
+
+
+def opens(delimiter: str) -> str:
+    """A pattern of lines that begin outside of quotes and end inside; also Python's."""
+    sep, other, start = _patterns(delimiter)
     return f'(?s)\\A(?:(?:{_CELL}"{other}|{start}|){sep})*+{_CELL}\\Z'
 
 
+def _cells(record: Column, delimiter: str) -> Column:
+    """The cells as they stand; one with text around its quotes, or without its last, takes all that follows."""
+    sep, _, start = _patterns(delimiter)
+    pattern = f'(?s){sep}({_CELL}"(?={sep}|\\z)|{start}|".*+|)'
+    return F.regexp_extract_all(F.concat(F.lit(delimiter), record), F.lit(pattern), F.lit(1))
+
+
+def _text(cell: Column) -> Column:
+    """The text of a cell: none where nothing stands, empty where a pair of quotes stands."""
+    bare = F.replace(F.substr(cell, F.lit(2), F.length(cell) - 2), F.lit('""'), F.lit('"'))
+    return F.when(F.startswith(cell, F.lit('"')), bare).when(cell != "", cell)
+
+
 def _composed(rows: DataFrame, partition: list[str], order: list[str]) -> DataFrame:
     """Add the state before each row, ``state_0`` or ``state_1`` by the state the partition begins in.
 
@@ -85,14 +105,22 @@ def quoted_records(lines: DataFrame, delimiter: str) -> DataFrame:
     return records.withColumn("value", F.regexp_replace("value", "\r\\z", ""))
 
 
-def lines_of(spark: SparkSession, path: str, decode) -> DataFrame:
-    """Lines with their place, as they stand between line feeds."""
-    return spark.read.option("lineSep", "\n").text(path).select(
+def lines_of(spark: SparkSession, path: str, decode: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Lines with their place, as they stand between line feeds; ``decode`` brings them to UTF-8.
+
+    A byte order mark is dropped at the start of a file only; Spark's reader does so for UTF-8.
+    """
+    lines = spark.read.option("lineSep", "\n").text(path).select(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("split"),
         F.monotonically_increasing_id().alias("line"),
-        F.regexp_replace(decode(F.col("value")), "^\ufeff", "").alias("value"),
+        "value",
     )
+    if decode is None:
+        return lines
+    begins = (F.col("split") == 0) & (F.col("line") == F.min("line").over(Window.partitionBy("file", "split")))
+    value = decode(F.col("value"))
+    return lines.withColumn("value", F.when(begins, F.regexp_replace(value, "^\ufeff", "")).otherwise(value))
 
 
 # The kinds a column of cells may have, in the order they are tried; a column without cells is text.
@@ -107,13 +135,14 @@ _KINDS = (
 
 
 def inferred_schema(texts: DataFrame) -> T.StructType:
-    """The narrowest type of :data:`_KINDS` that every cell of a column fits, in one pass over all rows."""
+    """The narrowest type of :data:`_KINDS` that every filled cell of a column fits, in one pass over all rows."""
+    cells = [F.nullif(ref(name), F.lit("")) for name in texts.columns]
     wanted = [
-        F.bool_and(F.coalesce(test(ref(name)), F.lit(False)) | ref(name).isNull()).alias(f"{i}_{kind}")
-        for i, name in enumerate(texts.columns)
+        F.bool_and(F.coalesce(test(cell), F.lit(False)) | cell.isNull()).alias(f"{i}_{kind}")
+        for i, cell in enumerate(cells)
         for kind, test in _KINDS
     ]
-    filled = [F.count(ref(name)).alias(f"{i}_filled") for i, name in enumerate(texts.columns)]
+    filled = [F.count(cell).alias(f"{i}_filled") for i, cell in enumerate(cells)]
     row = texts.agg(*wanted, *filled).first()
     fields = []
     for i, name in enumerate(texts.columns):
@@ -123,12 +152,34 @@ def inferred_schema(texts: DataFrame) -> T.StructType:
 
 
 def parsed(records: DataFrame, names: list[str], schema: T.StructType | None, delimiter: str) -> DataFrame:
-    """Cells of the records by their own types or those of ``schema``; a malformed record fails the query."""
-    options = {"sep": delimiter, "quote": '"', "escape": '"', "mode": "FAILFAST", "multiLine": "true", "maxCharsPerColumn": "-1"}
+    """Cells of the records by their own types or those of ``schema``; a malformed record fails the query.
+
+    Texts are taken as they stand between their quotes, since Spark's parser drops some characters and
+    does not tell an empty text from none. It reads all other types, and whole records in which text
+    stands around the quotes of a cell.
+    """
+    options = {
+        "sep": delimiter, "quote": '"', "escape": '"', "mode": "FAILFAST",
+        "multiLine": "true", "lineSep": "\n", "maxCharsPerColumn": "-1",
+    }
+
+    def typed(value: Column, kinds: dict[str, T.DataType]) -> Column:
+        return F.from_csv(value, ", ".join(f"{name} {kind.simpleString()}" for name, kind in kinds.items()), options)
+
+    split = records.select("value", _cells(F.col("value"), delimiter).alias("cells"))
+    last = F.element_at("cells", -1)
+    closed = ~F.startswith(last, F.lit('"')) | F.rlike(last, F.lit(f'\\A{_CELL}"\\z'))
 
     def cells(types: T.StructType) -> DataFrame:
-        plain = T.StructType([T.StructField(f"c{i}", field.dataType) for i, field in enumerate(types.fields)])
-        row = records.select(F.from_csv("value", plain.simpleString()[len("struct<"):-1].replace(":", " "), options).alias("row"))
+        kinds = {f"c{i}": field.dataType for i, field in enumerate(types.fields)}
+        others = {name: kind for name, kind in kinds.items() if not isinstance(kind, T.StringType)}
+        at = {name: F.get("cells", F.lit(i)) for i, name in enumerate(kinds)}
+        whole = (F.size("cells") == len(kinds)) & closed
+        # A first cell that holds a text keeps a record of missing values from being a blank line.
+        short = typed(F.concat_ws(delimiter, F.lit("-"), *[at[name] for name in others]), {"first": T.StringType(), **others})
+        rows = split.select("value", "cells", whole.alias("whole"), *([F.when(whole, short).alias("typed")] if others else []))
+        own = [(F.col("typed")[name] if name in others else _text(at[name])).alias(name) for name in kinds]
+        row = rows.select(F.when(F.col("whole"), F.struct(*own)).otherwise(typed(F.col("value"), kinds)).alias("row"))
         return row.select(*[F.col("row")[f"c{i}"].alias(name) for i, name in enumerate(names)])
 
     return cells(schema or inferred_schema(cells(T.StructType([T.StructField(name, T.StringType()) for name in names]))))

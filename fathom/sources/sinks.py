@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 TABLE_FORMATS = ("csv", "parquet")
 CORPUS_FORMATS = ("csv", "jsonl")
+# How Spark's writer keeps every cell: quotes doubled, white space at the ends and lone returns kept.
+# A missing value is an empty cell, an empty text a quoted one.
+CSV_CELLS = {"escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 
 
 class Export(NamedTuple):
@@ -31,7 +34,7 @@ def _write(df: DataFrame, path: str, kind: str, fmt: str) -> Export:
     seen = Observation()
     writer = df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("errorifexists")
     if fmt == "csv":
-        writer.csv(path, header=True, escape='"')
+        writer.options(**CSV_CELLS).csv(path, header=True)
     elif fmt == "jsonl":
         writer.option("ignoreNullFields", False).json(path)
     else:
@@ -60,20 +63,19 @@ def _iso(time: Column) -> Column:
     return F.when(fraction == "000000", whole).otherwise(F.concat(whole, F.lit("."), fraction))
 
 
-def corpus_csv_rows(records: DataFrame, categories: DataFrame) -> DataFrame:
-    """The thirteen columns of the CSV form: names for ids, tags as one text."""
-    blank = F.lit("")
+def _csv_cells(records: DataFrame, categories: DataFrame) -> DataFrame:
+    """The thirteen columns of the CSV form: names for ids, tags as one text. What is missing stays so."""
     return (
         _labelled(records, categories)
         .orderBy("created_at", "id")
         .select(
             "id",
             "content",
-            "primary_category",
-            F.array_join("tags", ", ").alias("tags"),
-            F.coalesce("source", blank).alias("source"),
-            F.coalesce("location", blank).alias("location"),
-            F.coalesce("speaker", blank).alias("speaker"),
+            F.col("category_name").alias("primary_category"),
+            F.when(F.size("tags") > 0, F.array_join("tags", ", ")).alias("tags"),
+            "source",
+            "location",
+            "speaker",
             "record_time",
             "note",
             "custom_fields_json",
@@ -84,6 +86,11 @@ def corpus_csv_rows(records: DataFrame, categories: DataFrame) -> DataFrame:
     )
 
 
+def corpus_csv_rows(records: DataFrame, categories: DataFrame) -> DataFrame:
+    """The rows of the CSV form, with blanks for what a record does not name."""
+    return _csv_cells(records, categories).fillna("", ["primary_category", "tags", "source", "location", "speaker"])
+
+
 def corpus_json_rows(records: DataFrame, categories: DataFrame) -> DataFrame:
     """The JSON form: tags as a list, custom fields as an object, blanks as null."""
     fields = F.try_parse_json(F.coalesce("custom_fields_json", F.lit("{}")))
@@ -114,10 +121,14 @@ def corpus_json_rows(records: DataFrame, categories: DataFrame) -> DataFrame:
 def export_corpus(
     records: DataFrame, categories: DataFrame, path: str, fmt: str = "jsonl"
 ) -> Export:
-    """Write a corpus as CSV or JSON lines; an empty corpus is refused."""
+    """Write a corpus as CSV or JSON lines; an empty corpus is refused.
+
+    In CSV, what a record does not name is an empty cell, which a reader that tells the two apart
+    keeps from an empty text.
+    """
     if fmt not in CORPUS_FORMATS:
         raise ValueError(f"Corpora are written as {' or '.join(CORPUS_FORMATS)}, not {fmt}.")
     if records.isEmpty():
         raise ValueError("The corpus has no records to write.")
-    build = corpus_csv_rows if fmt == "csv" else corpus_json_rows
+    build = _csv_cells if fmt == "csv" else corpus_json_rows
     return _write(build(records, categories), path, "text_corpus", fmt)

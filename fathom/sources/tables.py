@@ -84,11 +84,13 @@ def read_delimited(
     Without ``schema`` the types come from all rows. Pass a schema for large
     inputs (it saves a pass) and wherever ids carry leading zeros. Cells with
     line breaks need ``multi_line``: records are then put together from lines,
-    so that files still are read split by split; they end in LF or CRLF.
+    so that files still are read split by split; they end in LF or CRLF. A text
+    cell with nothing in it is then missing, and one of two quotes is empty.
     """
     if multi_line:
         sep = delimiter_of(delimiter)
-        lines = quoted.lines_of(spark, path, lambda value: decoded(value, java_charset(spark, encoding)))
+        charset = java_charset(spark, encoding)
+        lines = quoted.lines_of(spark, path, None if charset == "UTF-8" else lambda value: decoded(value, charset))
         records = quoted.quoted_records(lines, sep)
         first = first_records(spark, path, encoding, sep, 1)[0]
         if not first:
