@@ -1210,7 +1210,7 @@ def _(spark, folder):
     path = scratch_path(spark, "delimited")
     broken = F.concat("text", F.lit('\r\n"x"')).alias("text")
     rows = table(spark, folder, "documents").select("doc_id", broken, "lang", "n_chars")
-    rows.write.option("sep", ";").option("escape", '"').option("header", True).csv(path)
+    rows.write.options(**sinks.CSV_CELLS).option("sep", ";").option("header", True).csv(path)
     back = tables.read_delimited(spark, path, delimiter="semicolon", multi_line=True)
     return back.select(F.col("doc_id").cast("long"), F.md5("text").alias("digest"), "lang", F.col("n_chars").cast("long"))
 

@@ -68,3 +68,7 @@ def test_only_the_mark_at_the_start_of_a_file_is_dropped(spark, tmp_path, encodi
     (tmp_path / "a.csv").write_bytes('\ufeff"x\ny",1\n"p\n\ufeffq",2\n'.encode(encoding))
     read = tables.read_delimited(spark, str(tmp_path / "a.csv"), encoding=encoding, has_header=False, multi_line=True)
     assert sorted(map(tuple, read.collect())) == [("p\n\ufeffq", 2), ("x\ny", 1)]
+
+
+def test_multiline_round_trip_keeps_every_text(spark, odd):
+    assert differences(spark, odd, "csv_multiline_round_trip") == []
