@@ -72,3 +72,15 @@ def test_only_the_mark_at_the_start_of_a_file_is_dropped(spark, tmp_path, encodi
 
 def test_multiline_round_trip_keeps_every_text(spark, odd):
     assert differences(spark, odd, "csv_multiline_round_trip") == []
+
+
+def test_table_round_trip_keeps_every_cell(spark, odd):
+    assert differences(spark, odd, "csv_round_trip") == []
+
+
+def test_table_export_keeps_the_ends_of_cells(spark, tmp_path):
+    rows = [(" a ", "\r"), ("", None), (None, "\tb\n")]
+    df = spark.createDataFrame(rows, "t string, u string")
+    sinks.export_table(df, str(tmp_path / "out"), "csv")
+    back = tables.read_delimited(spark, str(tmp_path / "out"), schema=df.schema, multi_line=True)
+    assert sorted(map(tuple, back.collect()), key=repr) == sorted(rows, key=repr)
