@@ -73,12 +73,14 @@ def quoted_records(lines: DataFrame, delimiter: str) -> DataFrame:
     ``lines`` has the lines without their line feeds: file, split, line, value. Blank lines between
     records are dropped; a quote that is never closed makes one record of the rest of its file.
     """
-    value = F.regexp_replace("value", "\r\\z", "")
+    opening = F.lit(opens(delimiter))
+    # A line without quotes keeps its state, so no pattern has to be matched along it.
+    quotes = F.contains("value", F.lit('"'))
     marked = lines.select(
         "file", "split", "line", "value",
-        F.rlike("value", F.lit(opens(delimiter))).alias("from_out"),
-        F.rlike(F.concat(F.lit('"'), "value"), F.lit(opens(delimiter))).alias("from_in"),
-        (value == "").alias("blank"),
+        F.when(quotes, F.rlike("value", opening)).otherwise(False).alias("from_out"),
+        F.when(quotes, F.rlike(F.concat(F.lit('"'), "value"), opening)).otherwise(True).alias("from_in"),
+        F.col("value").isin("", "\r").alias("blank"),
     )
     composed = _composed(marked, ["file", "split"], ["line"])
     starts = [(~F.col(f"state_{i}") & ~F.col("blank")).cast("long") for i in (0, 1)]
